@@ -293,7 +293,8 @@ def recall_by_value(
 
 def rate_name(rate: float) -> str:
     """``0.005`` gives ``0p500pct``, the suffix of the report columns."""
-    return f"{rate:.3%}".rstrip("0").rstrip("%").replace(".", "p") + "pct"
+    whole, thousandths = divmod(round(rate * 100_000), 1000)
+    return f"{whole}p{thousandths:03d}pct"
 
 
 def evaluate_all(
