@@ -82,7 +82,7 @@ def main():
     import __spark_entry__ as entry
     from txrisk.session import build_session
 
-    conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
     spark = build_session("oracle", "local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk.functions import scalar as X
-from txrisk.plans.inputs import FACTS, facts, scored
+from txrisk.plans.inputs import FACTS, facts
 from txrisk.plans.registry import query, rounded
 from txrisk.sources.tables import read_table
 from txrisk.streaming.scoring import quarantine

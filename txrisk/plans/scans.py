@@ -5,19 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txrisk.operators import joins, profile, ranking, selection
-from txrisk.plans.inputs import (
-    CURVE,
-    ENRICHED,
-    ENRICHED_TYPES,
-    FACTS,
-    SCORED,
-    enriched,
-    facts,
-    scored,
-    stack_sql,
-)
-from txrisk.plans.registry import query, rounded
+from txrisk.operators import joins, profile
+from txrisk.plans.inputs import ENRICHED, ENRICHED_TYPES, FACTS, SCORED, enriched, facts, scored
+from txrisk.plans.registry import query
 from txrisk.session import scratch_path
 from txrisk.sources import tables, typing
 from txrisk.sources.tables import read_table
@@ -43,8 +33,7 @@ def scan_csv(spark, sf):
     path = scratch_path(spark, "orders-csv")
     orders = read_table(spark, sf, "orders", ["o_orderkey", "o_orderpriority", "o_totalprice"])
     tables.write_csv(orders, path)
-    schema = tables.read_csv(spark, path, rows=1).schema
-    back = tables.read_csv(spark, path, schema)
+    back = tables.read_csv(spark, path, orders.schema)
     total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
     return back.groupBy("o_orderpriority").agg(
         F.count(F.lit(1)).alias("n"), F.round(total, 2).alias("total")
@@ -80,7 +69,6 @@ def rename_by_pattern(spark, sf):
 
 
 _PINNED = {"id": "int", "sec": "int", "label": "tinyint", "amount": "double"}
-_NUMBERS = [c for c, t in ENRICHED_TYPES.items() if t != "string" and c not in _PINNED]
 
 
 def _narrow_sql() -> str:
@@ -161,9 +149,6 @@ def table_inventory(spark, sf):
     return tables.table_inventory({t: read_table(spark, sf, t) for t in TABLES}, COLUMN_COUNTS)
 
 
-_RATES_SQL = "(VALUES (CAST(0.005 AS DOUBLE)), (CAST(0.01 AS DOUBLE)), (CAST(0.02 AS DOUBLE)), (CAST(0.05 AS DOUBLE))) AS r(review_rate)"
-
-
 @query(
     "report_bundle_json",
     f"""WITH {FACTS}, {SCORED},

@@ -56,7 +56,7 @@ def rename_by_pattern(frame: DataFrame, pattern: str, old: str, new: str) -> tup
 
 def block_members(blocks: DataFrame, column: str = "columns") -> DataFrame:
     """Turn a comma-separated member list into an array of trimmed names."""
-    names = F.transform(F.split(F.col(column), ","), F.trim)
+    names = F.transform(F.split(F.col(column), ","), lambda n: F.trim(n))
     return blocks.withColumn(column, F.filter(names, lambda n: n != ""))
 
 
