@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from txrisk.functions.scalar import drift_band, usable
 from txrisk.operators.joins import broadcast_if_small
-from txrisk.operators.ordering import exact_quantiles, prefix_sums, value_ranges
+from txrisk.operators.ordering import exact_quantiles, many_value_ranges, prefix_sums
+from txrisk.session import materialise
 from txrisk.settings import DRIFT, SCALE, DriftRules, Scale
 
 _PERIODS_AT_ONCE = 60
@@ -49,8 +50,8 @@ def bucket_counts(
     for start in range(0, len(features), scale.unpivot_columns):
         chunk = features[start : start + scale.unpivot_columns]
         work = frame.select(*by, *[usable(c).alias(c) for c in chunk])
-        for i, c in enumerate(chunk):
-            work = value_ranges(work, c, edges[c][1:-1], f"__b{i}")
+        inner = {c: edges[c][1:-1] for c in chunk}
+        work = many_value_ranges(work, inner, {c: f"__b{i}" for i, c in enumerate(chunk)})
         cells = [
             F.struct(
                 F.lit(c).alias("feature"), F.when(F.col(c).isNotNull(), F.col(f"__b{i}")).alias("b")
@@ -134,17 +135,19 @@ def ks_by_period(
     Rows are first counted per distinct value, with one count column for the
     reference and one per period, so the values are put in order once.
     """
-    periods = sorted(r[0] for r in current.select(period).distinct().collect())
+    sizes = {r[0]: r[1] for r in current.groupBy(period).count().collect()}
+    periods = sorted(sizes)
+    rows = reference.count() + sum(sizes.values())
     parts = []
     for first in range(0, len(periods), _PERIODS_AT_ONCE):
         some = periods[first : first + _PERIODS_AT_ONCE]
         for start in range(0, len(features), scale.unpivot_columns):
             chunk = list(features[start : start + scale.unpivot_columns])
-            parts.append(_ks(reference, current, chunk, period, some, rules, scale))
+            parts.append(_ks(reference, current, chunk, period, some, rows, rules, scale))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _ks(reference, current, features, period, periods, rules, scale):
+def _ks(reference, current, features, period, periods, rows, rules, scale):
     cells = F.inline(
         F.array(*[F.struct(F.lit(c).alias("feature"), usable(c).alias("v")) for c in features])
     )
@@ -165,8 +168,15 @@ def _ks(reference, current, features, period, periods, rules, scale):
     counted = stacked.groupBy("feature", "v").agg(
         *[F.count_if(F.col("side") == s).alias(f"n_{m}") for s, m in zip(sides, names)]
     )
+    counted = materialise(counted, "values")
+    known = rows if rows <= scale.single_task_rows else None
     curves = prefix_sums(
-        counted, "v", {m: F.col(f"n_{m}") for m in names}, partition_by=["feature"], scale=scale
+        counted,
+        "v",
+        {m: F.col(f"n_{m}") for m in names},
+        partition_by=["feature"],
+        rows=known,
+        scale=scale,
     )
     totals = counted.groupBy("feature").agg(*[F.sum(f"n_{m}").alias(f"t_{m}") for m in names])
     share = lambda m: F.try_divide(F.col(m), F.col(f"t_{m}"))

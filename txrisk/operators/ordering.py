@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalar import usable
+from txrisk.session import materialise
 from txrisk.settings import SCALE, Scale
 
 _INF = float("inf")
@@ -39,25 +40,53 @@ def value_ranges(frame: DataFrame, column: str, splits: Sequence[float], out: st
     return cut.transform(frame).withColumn(out, F.col(out).cast("int"))
 
 
-def _range_frame(
-    frame: DataFrame, value: str, tie: str | None, bucket: str, scale: Scale
-) -> DataFrame | None:
-    """Add a range number that follows ascending (value, tie); None if the
-    frame is small enough for one task per group."""
-    grid = [i / scale.max_buckets for i in range(1, scale.max_buckets)]
+def many_value_ranges(
+    frame: DataFrame, splits: Mapping[str, Sequence[float]], outs: Mapping[str, str]
+) -> DataFrame:
+    """``value_ranges`` for many columns in one projection."""
+    inner = {c: sorted({float(s) for s in v if math.isfinite(s)}) for c, v in splits.items()}
+    cut = [c for c in inner if inner[c]]
+    if cut:
+        frame = Bucketizer(
+            splitsArray=[[-_INF, *inner[c], _INF] for c in cut],
+            inputCols=cut,
+            outputCols=[outs[c] for c in cut],
+            handleInvalid="keep",
+        ).transform(frame)
+    return frame.withColumns(
+        {outs[c]: F.col(outs[c]).cast("int") if c in cut else F.lit(0) for c in inner}
+    )
+
+
+def _sketch(value: Column, parts: int) -> Column:
+    """About equal cuts of a column into ``parts``."""
+    # As text: one call to the JVM instead of one per probability.
+    probs = ", ".join(f"{i / parts}D" for i in range(1, parts))
+    return F.percentile_approx(value, F.expr(f"array({probs})"), F.lit(max(1000, 4 * parts)))
+
+
+def count_sortable(frame: DataFrame, value: str) -> int:
+    """Number of rows; an error if any has no value to sort by."""
     stats = frame.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col(value).isNull() | F.isnan(value)).alias("bad"),
-        F.percentile_approx(value, grid, 4 * scale.max_buckets).alias("grid"),
     ).first()
     if stats["bad"]:
         raise ValueError(f"{stats['bad']} rows have no value in the sort column {value!r}")
-    buckets = min(scale.max_buckets, -(-stats["n"] // scale.single_task_rows))
+    return stats["n"]
+
+
+def _range_frame(
+    frame: DataFrame, value: str, tie: str | None, bucket: str, rows: int | None, scale: Scale
+) -> DataFrame | None:
+    """Add a range number that follows ascending (value, tie); None if the
+    frame is small enough for one task per group."""
+    rows = count_sortable(frame, value) if rows is None else rows
+    buckets = min(scale.max_buckets, -(-rows // scale.single_task_rows))
     if buckets <= 1:
         return None
 
-    step = max(1, scale.max_buckets // buckets)
-    picked = list(stats["grid"])[step - 1 :: step]
+    picked = frame.agg(_sketch(F.col(value), buckets).alias("q")).first()["q"]
     repeats = {v: picked.count(v) for v in set(picked)} if tie else {}
     hot = {v: n for v, n in repeats.items() if n > 1}
     edges = sorted({*picked, *hot, *[_after(v) for v in hot]})
@@ -77,7 +106,7 @@ def _range_frame(
     cuts = (
         ranged.filter(F.col(bucket).isin(list(hot_range)))
         .groupBy(bucket)
-        .agg(F.percentile_approx(share, [i / fine for i in range(1, fine)], 4 * fine).alias("cuts"))
+        .agg(_sketch(share, fine).alias("cuts"))
         .collect()
     )
     inner = set(range(1, len(edges) + 1))
@@ -101,16 +130,22 @@ def prefix_sums(
     partition_by: Sequence[str] = (),
     tie: str | None = None,
     descending: bool = False,
+    rows: int | None = None,
     scale: Scale = SCALE,
 ) -> DataFrame:
     """Inclusive running sums in the order of ``value`` (then ``tie`` ascending).
 
     ``value`` must be a non-null double and ``tie`` a unique number; without
-    ``tie`` the (partition, value) pairs must be distinct.  One set of ranges
-    serves all partitions: a partition's share of a range is never larger than
-    the range itself.
+    ``tie`` the (partition, value) pairs must be distinct.  ``rows`` is an upper
+    bound of the rows of a partition, if the caller knows one; a frame that is
+    costly to compute is then written out before it is read several times.
+    One set of ranges serves all partitions: a partition's share of a range is
+    never larger than the range itself.
     """
     keys = list(partition_by)
+    if rows is not None and rows > scale.single_task_rows:
+        frame = materialise(frame, "sorted")
+        rows = None
     names = list(sums)
     work = frame.select("*", *[c.alias(f"__in_{n}") for n, c in sums.items()])
     order = [F.col(value).desc() if descending else F.col(value).asc()]
@@ -122,7 +157,7 @@ def prefix_sums(
         work = work.withColumn("__tie", -F.col(tie).cast("double"))
     tie_key = "__tie" if tie and descending else tie
 
-    ranged = _range_frame(work, value, tie_key, "__range", scale)
+    ranged = _range_frame(work, value, tie_key, "__range", rows, scale)
     running = lambda w: [F.sum(f"__in_{n}").over(w).alias(n) for n in names]
     out = frame.columns + names
     if ranged is None:
@@ -180,35 +215,62 @@ def exact_quantiles(
     """
     keys = [by] if by else []
     work = frame.select(*keys, *[usable(c).alias(c) for c in columns])
-    counted = work.groupBy(*keys).agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)])
-    counts = {
-        (row[by] if by else None, c): row[f"n_{i}"]
-        for row in counted.collect()
-        for i, c in enumerate(columns)
-    }
-    result: dict[tuple, list[float] | None] = {k: None for k, n in counts.items() if n == 0}
-    if max(counts.values(), default=0) <= scale.single_task_rows:
-        rows = work.groupBy(*keys).agg(
-            *[F.percentile(c, list(map(float, probs))).alias(f"q_{i}") for i, c in enumerate(columns)]
-        )
-        for row in rows.collect():
-            for i, c in enumerate(columns):
-                key = (row[by] if by else None, c)
-                if counts.get(key):
-                    result[key] = list(row[f"q_{i}"])
-        return result
+    if work.count() * len(columns) <= 5 * scale.single_task_rows:
+        return _ranked(work, columns, probs, by)
 
+    result: dict[tuple, list[float] | None] = {}
     for start in range(0, len(columns), scale.unpivot_columns):
         chunk = list(columns[start : start + scale.unpivot_columns])
-        found = _bracketed(work, chunk, probs, by, counts, accuracy, everywhere=False)
-        lost = {c for (_, c), v in found.items() if None in v}
+        found = _bracketed(work, chunk, probs, by, accuracy, everywhere=False)
+        lost = {c for (_, c), v in found.items() if v and None in v}
         if lost:  # a sketch missed its error bound: rank every value instead
-            found.update(_bracketed(work, sorted(lost), probs, by, counts, accuracy, everywhere=True))
+            found.update(_bracketed(work, sorted(lost), probs, by, accuracy, everywhere=True))
         result.update(found)
     return result
 
 
-def _bracketed(work, columns, probs, by, counts, accuracy, everywhere):
+def _ranked(work, columns, probs, by):
+    """Quantiles of few rows: count each value, rank the counts."""
+    keys = [by] if by else []
+    group = [*keys, "feature"]
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in columns])
+    tally = work.select(*keys, F.inline(cells)).groupBy(*group, "v").agg(
+        F.count("v").alias("n")
+    )
+    upto = W.partitionBy(*group).orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = tally.select(
+        *group,
+        "v",
+        F.sum("n").over(W.partitionBy(*group)).alias("all"),
+        F.sum("n").over(upto).alias("upto"),
+        "n",
+    )
+    aggs = []
+    for j, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("all") - 1)
+        lo = F.floor(h)
+        hi = F.least(lo + 1, F.col("all") - 1)
+        holds = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)
+        aggs += [
+            F.max(F.when(holds(lo), F.col("v"))).alias(f"a{j}"),
+            F.max(F.when(holds(hi), F.col("v"))).alias(f"b{j}"),
+            F.max(h - lo).alias(f"w{j}"),
+        ]
+    result: dict[tuple, list[float] | None] = {}
+    for row in ranked.groupBy(*group).agg(F.max("all").alias("all"), *aggs).collect():
+        key = (row[by] if by else None, row["feature"])
+        result[key] = (
+            [row[f"a{j}"] + (row[f"b{j}"] - row[f"a{j}"]) * row[f"w{j}"] for j in range(len(probs))]
+            if row["all"]
+            else None
+        )
+    for c in columns:
+        if not by:
+            result.setdefault((None, c), None)
+    return result
+
+
+def _bracketed(work, columns, probs, by, accuracy, everywhere):
     keys = [by] if by else []
     slack = 3.0 / accuracy
     if everywhere:
@@ -216,12 +278,15 @@ def _bracketed(work, columns, probs, by, counts, accuracy, everywhere):
     else:
         points = [min(1.0, max(0.0, p + s)) for p in probs for s in (-slack, slack)]
     sketch = work.groupBy(*keys).agg(
-        *[F.percentile_approx(c, points, accuracy).alias(f"a_{i}") for i, c in enumerate(columns)]
+        *[F.percentile_approx(c, points, accuracy).alias(f"a_{i}") for i, c in enumerate(columns)],
+        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
     )
+    counts: dict[tuple, int] = {}
     brackets: dict[str, list[tuple[float, float]]] = {c: [] for c in columns}
     edges: dict[str, set[float]] = {c: set() for c in columns}
     for row in sketch.collect():
         for i, c in enumerate(columns):
+            counts[(row[by] if by else None, c)] = row[f"n_{i}"]
             marks = row[f"a_{i}"]
             if marks is None:
                 continue
@@ -233,12 +298,11 @@ def _bracketed(work, columns, probs, by, counts, accuracy, everywhere):
                 hi = _INF if p >= 1 - slack else marks[2 * j + 1]
                 brackets[c].append((lo, hi))
 
-    ranged = work
     kept: dict[str, list[int] | None] = {}
-    for i, c in enumerate(columns):
+    splits: dict[str, list[float]] = {}
+    for c in columns:
         if everywhere:
-            ranged = value_ranges(ranged, c, sorted(edges[c]), f"__r{i}")
-            kept[c] = None
+            splits[c], kept[c] = sorted(edges[c]), None
             continue
         merged: list[list[float]] = []
         for lo, hi in sorted(brackets[c]):
@@ -251,8 +315,9 @@ def _bracketed(work, columns, probs, by, counts, accuracy, everywhere):
         )
         starts = [-_INF, *inner]
         kept[c] = [k for k, s in enumerate(starts) if any(lo <= s <= hi for lo, hi in merged)]
-        ranged = value_ranges(ranged, c, inner, f"__r{i}")
+        splits[c] = inner
 
+    ranged = many_value_ranges(work, splits, {c: f"__r{i}" for i, c in enumerate(columns)})
     cells = []
     for i, c in enumerate(columns):
         inside = F.col(c) if kept[c] is None else F.when(F.col(f"__r{i}").isin(kept[c]), F.col(c))
@@ -287,7 +352,7 @@ def _bracketed(work, columns, probs, by, counts, accuracy, everywhere):
     wanted = [
         (g, c, j, lo, hi)
         for (g, c), n in counts.items()
-        if n and c in columns
+        if n
         for j, (_, lo, hi, _) in enumerate(_targets(probs, n))
     ]
     schema = "feature string, j int, lo long, hi long"
@@ -305,8 +370,8 @@ def _bracketed(work, columns, probs, by, counts, accuracy, everywhere):
             F.max(F.when(F.col("hi").between(F.col("first"), F.col("last")), F.col("v"))).alias("b"),
         )
     )
-    found: dict[tuple, list[float | None]] = {
-        (g, c): [None] * len(probs) for (g, c), n in counts.items() if n and c in columns
+    found: dict[tuple, list[float | None] | None] = {
+        (g, c): [None] * len(probs) if n else None for (g, c), n in counts.items()
     }
     for row in hits.collect():
         key = (row[by] if by else None, row["feature"])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from txrisk.operators.ordering import prefix_sums
+from txrisk.operators.ordering import count_sortable, prefix_sums
 from txrisk.operators.profile import density_histogram
 from txrisk.settings import (
     COST,
@@ -51,7 +51,9 @@ def score_groups(
 ) -> DataFrame:
     """One row per distinct score, highest first, with running counts: tied
     scores are one threshold, and a score shared by many rows is one row."""
-    grouped = frame.groupBy(*by, F.col(names.score).cast("double").alias("score")).agg(
+    score = F.col(names.score).cast("double").alias("score")
+    rows = count_sortable(frame.select(score), "score")
+    grouped = frame.groupBy(*by, score).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(names.label).cast("long")).alias("pos")
     )
     return prefix_sums(
@@ -60,6 +62,7 @@ def score_groups(
         {"seen": F.col("n"), "caught": F.col("pos")},
         partition_by=by,
         descending=True,
+        rows=rows,
         scale=scale,
     )
 

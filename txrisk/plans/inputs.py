@@ -167,22 +167,22 @@ curve AS (
 
 def lines_by_year(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Shipped lines before 1999 (the reference) and after, by year."""
-    lines = read_table(
-        spark, sf, "lineitem",
-        ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate"],
-    ).select(
-        "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        # a feature that goes missing: prices of returned lines are blank later
-        F.when(
-            ~((F.col("l_returnflag") == "R") & (F.year("l_shipdate") >= 1999)), F.col("l_extendedprice")
-        ).alias("price_known"),
-        # a feature that collapses onto one value
-        F.when(
-            (F.col("l_returnflag") == "A") & (F.year("l_shipdate") >= 2000), F.lit(1.0)
-        ).otherwise(F.col("l_quantity")).alias("quantity_stuck"),
-        F.date_format("l_shipdate", "yyyy").alias("period"),
+    lines = read_table(spark, sf, "lineitem")
+    cut = F.lit("1999-01-01 00:00:00").cast("timestamp")
+    before, after = (
+        lines.filter(f).select(
+            "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+            # a feature that goes missing: prices of returned lines are blank later
+            F.when((F.col("l_returnflag") != "R") | (F.col("l_shipdate") < cut), F.col("l_extendedprice"))
+            .alias("price_known"),
+            # a feature that collapses onto one value
+            F.when((F.col("l_returnflag") == "A") & (F.year("l_shipdate") >= 2000), F.lit(1.0))
+            .otherwise(F.col("l_quantity")).alias("quantity_stuck"),
+            F.year("l_shipdate").cast("string").alias("period"),
+        )
+        for f in (F.col("l_shipdate") < cut, F.col("l_shipdate") >= cut)
     )
-    return lines.filter(F.col("period") < "1999"), lines.filter(F.col("period") >= "1999")
+    return before, after
 
 
 DRIFT_FEATURES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,13 @@ TWINS: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def in_utc(spark: SparkSession, sf: str) -> DataFrame:
+            # The tables hold times without a zone; every plan reads them as UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf)
+
+        QUERIES[name] = in_utc
         if sql is not None:
             TWINS[name] = sql
         return fn

@@ -13,17 +13,22 @@ from pyspark.sql import types as T
 def read_table(
     spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """One Parquet table; times come back as plain timestamps (UTC session),
-    which watermarks and date functions accept."""
-    frame = spark.read.parquet(f"{folder}/{name}.parquet")
-    if columns:
-        frame = frame.select(*columns)
-    return frame.select(
-        *[
-            F.col(f.name).cast("timestamp").alias(f.name)
+    """One Parquet table.  Times without a zone are read as plain timestamps
+    (the session is in UTC), which watermarks accept and filters push down."""
+    path = f"{folder}/{name}.parquet"
+    frame = spark.read.parquet(path)
+    if any(isinstance(f.dataType, T.TimestampNTZType) for f in frame.schema.fields):
+        frame = spark.read.schema(plain_times(frame.schema)).parquet(path)
+    return frame.select(*columns) if columns else frame
+
+
+def plain_times(schema: T.StructType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField(f.name, T.TimestampType(), f.nullable)
             if isinstance(f.dataType, T.TimestampNTZType)
-            else F.col(f.name)
-            for f in frame.schema.fields
+            else f
+            for f in schema.fields
         ]
     )
 
