@@ -10,8 +10,8 @@ from txrisk.operators import encoding as E
 from txrisk.operators import modeling as M
 from txrisk.operators.ranking import Scored
 from txrisk.plans.inputs import ENRICHED, FACTS, enriched, facts, scored
-from txrisk.plans.registry import query, rounded
-from txrisk.session import scratch_path
+from txrisk.plans.registry import mean_rounded, mean_rounded_sql, query, rounded
+from txrisk.session import materialise, scratch_path
 from txrisk.sources.tables import plain_times, read_table
 from txrisk.streaming import scoring as S
 
@@ -41,16 +41,22 @@ _ADDR = "coalesce(CAST(CAST(addr AS DOUBLE) AS VARCHAR), '(missing)')"
 _UID = f"{_CARD} || '_' || {_ADDR} || '_' || CAST(CAST(floor(sec / 86400.0) - age AS DOUBLE) AS VARCHAR)"
 
 
-def _split(spark, sf, frame=enriched):
-    split, _ = E.time_split(frame(spark, sf), "sec")
+def _halves(frame):
+    split, _ = E.time_split(frame, "sec")
     return (
         split.filter("split = 'train'").drop("split"),
         split.filter("split = 'valid'").drop("split"),
     )
 
 
+def _split(spark, sf):
+    """Enriched rows before and after the time cut."""
+    return _halves(enriched(spark, sf))
+
+
 def _encoded(spark, sf):
-    train, valid = _split(spark, sf)
+    """The feature stage: write the join, fit on its earlier part, encode both."""
+    train, valid = _halves(materialise(enriched(spark, sf), "joined"))
     model = E.RiskEncoder(SPEC).fit(train)
     return model, model.transform(train), model.transform(valid)
 
@@ -81,11 +87,12 @@ def category_map(spark, sf):
 
 @query(
     "group_agg_map",
-    f"""WITH {_SPLIT} SELECT {_CARD} AS label, round(avg(amount), 4) AS mean, round(stddev_samp(amount), 4) AS std FROM train GROUP BY 1""",
+    f"""WITH {_SPLIT} SELECT {_CARD} AS label, {mean_rounded_sql('avg(amount)')} AS mean, round(stddev_samp(amount), 4) AS std FROM train GROUP BY 1""",
 )
 def group_agg_map(spark, sf):
     train, _ = _split(spark, sf)
-    return rounded(E.group_aggregate_map(train, X.label_of(train, "card"), "amount"), 4)
+    learnt = E.group_aggregate_map(train, X.label_of(train, "card"), "amount")
+    return learnt.select("label", mean_rounded("mean").alias("mean"), F.round("std", 4).alias("std"))
 
 
 @query(
@@ -119,7 +126,7 @@ def frequency_encode(spark, sf):
 @query(
     "group_agg_encode",
     f"""WITH {_SPLIT}, m AS (SELECT {_CARD} AS label, avg(amount) AS mean, stddev_samp(amount) AS std FROM train GROUP BY 1)
-        SELECT id, round(mean, 4) AS amount_mean_by_card, round(std, 4) AS amount_std_by_card,
+        SELECT id, {mean_rounded_sql('mean')} AS amount_mean_by_card, round(std, 4) AS amount_std_by_card,
           round(amount / nullif(mean, 0), 6) AS amount_ratio_to_card_mean FROM valid LEFT JOIN m ON m.label = {_CARD}""",
 )
 def group_agg_encode(spark, sf):
@@ -129,7 +136,7 @@ def group_agg_encode(spark, sf):
     joined = E.lookup_join(work, "card_label", stats, "label", stats.count())
     return joined.select(
         "id",
-        F.round("mean", 4).alias("amount_mean_by_card"),
+        mean_rounded("mean").alias("amount_mean_by_card"),
         F.round("std", 4).alias("amount_std_by_card"),
         F.round(X.ratio_or_null(F.col("amount"), F.col("mean")), 6).alias("amount_ratio_to_card_mean"),
     )
@@ -151,8 +158,8 @@ def group_agg_encode(spark, sf):
           SELECT 'browser_family', lower(split_part(coalesce(product, '(missing)'), ' ', 1)), amount, balance FROM train),
         m AS (SELECT "column", label, count(*) AS n, count(*) / CAST((SELECT count(*) FROM train) AS DOUBLE) AS share,
           avg(amount) AS amount_mean, avg(balance) AS balance_mean FROM l GROUP BY 1, 2)
-        SELECT "column", label, n, round(share, 6) AS share, round(amount_mean, 4) AS amount_mean, round(balance_mean, 4) AS balance_mean,
-          CASE WHEN "column" IN ('card_addr', 'product', 'segment', 'device_brand', 'browser_family')
+        SELECT "column", label, n, round(share, 6) AS share, {mean_rounded_sql('amount_mean')} AS amount_mean,
+          {mean_rounded_sql('balance_mean')} AS balance_mean, CASE WHEN "column" IN ('card_addr', 'product', 'segment', 'device_brand', 'browser_family')
             THEN row_number() OVER (PARTITION BY "column" ORDER BY label) - 1 END AS code FROM m""",
 )
 def encode_fit_state(spark, sf):
@@ -164,8 +171,8 @@ def encode_fit_state(spark, sf):
         "label",
         "n",
         F.round("share", 6).alias("share"),
-        F.round(f"mean_{values.index('amount')}", 4).alias("amount_mean"),
-        F.round(f"mean_{values.index('balance')}", 4).alias("balance_mean"),
+        mean_rounded(f"mean_{values.index('amount')}").alias("amount_mean"),
+        mean_rounded(f"mean_{values.index('balance')}").alias("balance_mean"),
         F.col("code").cast("long").alias("code"),
     )
 
@@ -192,7 +199,7 @@ def _encode_sql() -> str:
         stats = {"card": [("amount", "a"), ("balance", "b")], "addr": [("amount", "a")], "uid": [("amount", "a")]}
         for v, k in stats.get(c, []):
             cols += [
-                f"round(m{i}.{k}m, 4) AS {v}_mean_by_{c}",
+                f"{mean_rounded_sql(f'm{i}.{k}m')} AS {v}_mean_by_{c}",
                 f"round(m{i}.{k}sd, 4) AS {v}_std_by_{c}",
                 f"round({v} / nullif(m{i}.{k}m, 0), 4) AS {v}_ratio_to_{c}_mean",
             ]
@@ -210,7 +217,7 @@ def encode_transform(spark, sf):
     return rounded(
         valid.withColumns(
             {
-                c: F.round(c, 4)
+                c: mean_rounded(c) if "_mean_by_" in c else F.round(c, 4)
                 for c in valid.columns
                 if "_by_" in c or "_to_" in c or c in ("amount_log", "b_discount")
             }
@@ -237,7 +244,10 @@ def encoder_reload_equal(spark, sf):
 
 @query("feature_manifest")
 def feature_manifest(spark, sf):
-    return E.feature_manifest(*_encoded(spark, sf))
+    model, train, valid = _encoded(spark, sf)
+    return E.feature_manifest(
+        model, materialise(train, "features-train"), materialise(valid, "features-valid")
+    )
 
 
 @query(
@@ -283,7 +293,7 @@ _FEATURES = ["amount", "card", "addr", "age", "balance"]
 
 
 def _model_split(spark, sf):
-    return _split(spark, sf, facts)
+    return _halves(facts(spark, sf))
 
 
 def _logistic():
@@ -320,6 +330,7 @@ def cv_summary(spark, sf):
 @query("ablation_compare")
 def ablation_compare(spark, sf):
     model, train, valid = _encoded(spark, sf)
+    train, valid = materialise(train, "features-train"), materialise(valid, "features-valid")
     features = [c for c in model.feature_names if not c.endswith("_code")]
     return M.ablation(_logistic(), train, valid, features, M.entity_features(features), NAMES)
 

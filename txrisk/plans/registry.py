@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,3 +44,16 @@ def rounded(frame: DataFrame, places: int = 6) -> DataFrame:
             c = c.cast("long")
         cells.append(c.alias(f.name))
     return frame.select(*cells)
+
+
+# Means of whole cents end in exact halves of the last printed digit; a nudge
+# keeps the order of summation from deciding which way they round.
+NUDGE = 1e-7
+
+
+def mean_rounded(name: str, places: int = 4) -> Column:
+    return F.round(F.col(name) + F.lit(NUDGE), places)
+
+
+def mean_rounded_sql(expression: str, places: int = 4) -> str:
+    return f"round({expression} + CAST({NUDGE!r} AS DOUBLE), {places})"
