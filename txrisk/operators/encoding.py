@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from txrisk.functions import scalar as X
 from txrisk.operators.joins import lookup_join
 from txrisk.operators.ordering import exact_quantiles
-from txrisk.operators.selection import block_reduce, constant_columns, near_constant_rescue
+from txrisk.operators.selection import block_reduce, judge_columns
 from txrisk.session import materialise, scratch_path
 from txrisk.settings import (
     BLOCK_CORRELATION,
@@ -187,24 +187,22 @@ class RiskEncoder(Estimator):
         if spec.label not in dataset.columns:
             raise ValueError(f"fit needs the label column {spec.label!r}: the rescue rule compares rates")
         candidates = [c for c in dataset.columns if c not in spec.kept_aside]
-        constant = {r["column"] for r in constant_columns(dataset, candidates).collect()}
-        varied = [c for c in candidates if c not in constant]
-
         # One row per column comes to the driver, here and below.
-        judged = near_constant_rescue(
+        judged = judge_columns(
             dataset,
             spec.label,
-            varied,
+            candidates,
             threshold=self.near_constant_share,
             min_rare_rows=self.rescue_min_rows,
             min_lift=self.rescue_min_lift,
             scale=self.scale,
         ).collect()
-        dropped = {r["column"] for r in judged if r["decision"] == "drop"}
-        survivors = [c for c in varied if c not in dropped]
+        constant = {r["column"] for r in judged if r["distinct_values"] <= 1}
+        dropped = {r["column"] for r in judged if r["decision"] == "drop"} | constant
+        survivors = [c for c in candidates if c not in dropped]
         decisions = [
             (c, None, 1.0, 0, None, None, "drop", "single distinct value") for c in sorted(constant)
-        ] + [tuple(r) for r in judged]
+        ] + [tuple(r)[:8] for r in judged if r["column"] not in constant]
 
         blocks = [[c for c in b if c in survivors] for b in spec.blocks]
         in_blocks = {c for b in blocks for c in b}
@@ -230,14 +228,14 @@ class RiskEncoder(Estimator):
             "lookup_rows": {},
             "decisions": decisions,
         }
-        lookups = self._learn(dataset, state)
+        lookups = self._learn(dataset, state, judged[0]["rows"])
         model = RiskEncoderModel(state, lookups, self.scale)
         model.block_evidence = evidence
         produced = model._features(dataset)
         state["features"] = [c for c in produced if c not in spec.kept_aside]
         return model
 
-    def _learn(self, dataset: DataFrame, state: dict) -> DataFrame:
+    def _learn(self, dataset: DataFrame, state: dict, rows: int) -> DataFrame:
         """All lookups from one shuffle: labels are stacked and aggregated
         where they arise, then coded, and written once."""
         spec = self.spec
@@ -253,7 +251,6 @@ class RiskEncoder(Estimator):
             *[labels[c].alias(c) for c in names],
         )
         stacked = work.unpivot([f"__v{i}" for i in range(len(values))], names, "column", "label")
-        rows = dataset.count()
         learnt = stacked.groupBy("column", "label").agg(
             F.count(F.lit(1)).alias("n"),
             *[F.avg(f"__v{i}").alias(f"mean_{i}") for i in range(len(values))],

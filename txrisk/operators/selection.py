@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -47,6 +48,7 @@ def dominant_value(counts: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
             F.struct(-F.col("n"), F.col("value").isNotNull(), F.col("value")),
         ).alias("d"),
         F.sum("n").alias("rows"),
+        F.count("value").alias("distinct_values"),
         *[F.sum(c).alias(f"{c}_rows") for c in carried],
     )
     return found.select(
@@ -55,6 +57,7 @@ def dominant_value(counts: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
         F.try_divide(F.col("d.n"), F.col("rows")).alias("dominant_share"),
         "rows",
         F.col("d.n").alias("dominant_rows"),
+        "distinct_values",
         *[F.col(f"{c}_rows") for c in carried],
         *[F.col(f"d.{c}").alias(f"{c}_dominant") for c in carried],
     )
@@ -77,6 +80,30 @@ def near_constant_rescue(
     Rule and rescue read the same counts, so the whole verdict costs one
     shuffle of (column, value) pairs.
     """
+    judged = judge_columns(
+        frame,
+        label,
+        columns,
+        threshold=threshold,
+        min_rare_rows=min_rare_rows,
+        min_lift=min_lift,
+        scale=scale,
+    )
+    return judged.drop("rows", "distinct_values")
+
+
+def judge_columns(
+    frame: DataFrame,
+    label: str,
+    columns: Sequence[str],
+    *,
+    threshold: float = NEAR_CONSTANT_SHARE,
+    min_rare_rows: int = RESCUE_MIN_ROWS,
+    min_lift: float = RESCUE_MIN_LIFT,
+    scale: Scale = SCALE,
+) -> DataFrame:
+    """The near-constant verdict with the table's rows and each column's
+    distinct values, which the same counts give."""
     work = frame.select(*columns, F.col(label).cast("long").alias("__y"))
     counts = value_counts_long(work, list(columns), [F.sum("__y").alias("y")], scale)
     judged = dominant_value(counts, ["y"])
@@ -101,6 +128,8 @@ def near_constant_rescue(
         .when(rescued, "rescued: rare values linked to the label")
         .otherwise("near-constant, rare values unremarkable")
         .alias("reason"),
+        "rows",
+        "distinct_values",
     )
 
 
@@ -151,37 +180,43 @@ def block_reduce(
     """Keep one column per correlated cluster of each block: the one with the
     most distinct values, the earlier on ties.
 
-    Returns the kept columns and the evidence table.  The loop is over blocks
-    (tens); what it handles on the driver is one small matrix per block.
+    Returns the kept columns and the evidence table.  One pass counts the
+    values of all blocks, each over its complete rows; then every block with
+    something to compare costs one pass for its small matrix (tens of blocks).
     """
+    found = [[c for c in block if c in frame.columns] for block in blocks]
+    compared = [b for b in found if len(b) > 1]
+    distinct: dict[str, int] = {}
+    rows: dict[str, int] = {}
+    if compared:
+        masked = []
+        for block in compared:
+            complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in block])
+            masked += [F.when(complete, F.col(c)).alias(c) for c in block]
+        names = [c for b in compared for c in b]
+        per_column = (
+            value_counts_long(frame.select(*masked), names, scale=scale)
+            .filter("value IS NOT NULL")
+            .groupBy("column")
+            .agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows"))
+        )
+        for r in per_column.collect():
+            distinct[r["column"]], rows[r["column"]] = r["values"], r["rows"]
+
     kept: list[str] = []
     evidence = []
-    for number, block in enumerate(blocks, start=1):
-        present = [c for c in block if c in frame.columns]
+    for number, present in enumerate(found, start=1):
         if not present:
             continue
-        if len(present) == 1:
-            clusters, distinct = [[0]], {}
+        if rows.get(present[0], 0) < 2:
+            # a single column, or nothing to correlate: the first one stays
+            clusters = [list(range(len(present)))]
         else:
             complete = frame.select(*present).na.drop(subset=present)
-            if len(complete.limit(2).take(2)) < 2:
-                clusters, distinct = [list(range(len(present)))], None
-            else:
-                clusters = greedy_clusters(correlation_matrix(complete, present), threshold)
-                contested = [present[i] for c in clusters if len(c) > 1 for i in c]
-                distinct = {}
-                if contested:
-                    per_column = (
-                        value_counts_long(complete.select(*contested), contested, scale=scale)
-                        .groupBy("column")
-                        .agg(F.count("value").alias("n"))
-                    )
-                    distinct = {r["column"]: r["n"] for r in per_column.collect()}
+            clusters = greedy_clusters(correlation_matrix(complete, present), threshold)
         for place, members in enumerate(clusters, start=1):
             names = [present[i] for i in members]
-            chosen = names[0]
-            if len(names) > 1 and distinct is not None:
-                chosen = max(names, key=lambda c: (distinct[c], -names.index(c)))
+            chosen = max(names, key=lambda c: (distinct.get(c, 0), -names.index(c)))
             kept.append(chosen)
             evidence.append((number, place, chosen, len(names), ", ".join(names)))
     table = frame.sparkSession.createDataFrame(

@@ -20,6 +20,7 @@ from txrisk.plans.inputs import (
     stack_sql,
 )
 from txrisk.plans.registry import query, rounded
+from txrisk.session import materialise
 from txrisk.sources import tables
 from txrisk.sources.tables import read_table
 
@@ -206,7 +207,8 @@ _PROFILE = _profile_sql()
 
 
 def _profile(spark, sf):
-    return profile.column_profile(enriched(spark, sf), _FAMILIES, _PATTERNS)
+    joined = materialise(enriched(spark, sf), "joined")  # read once per pass below
+    return profile.column_profile(joined, _FAMILIES, _PATTERNS)
 
 
 @query("column_profile", f"WITH {_PROFILE} SELECT * FROM prof")
@@ -294,7 +296,8 @@ _COUNTS_SQL = f"""{_CANDIDATE_SQL}, long AS ({stack_sql('t', _CANDIDATES, extra=
 )
 def dominant_value(spark, sf):
     work = _candidates(spark, sf).select(*_CANDIDATES)
-    return rounded(selection.dominant_value(profile.value_counts_long(work, _CANDIDATES)))
+    found = selection.dominant_value(profile.value_counts_long(work, _CANDIDATES))
+    return rounded(found.drop("distinct_values"))
 
 
 _RESCUE_ROWS = 40

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.operators.joins import enrich_one_to_one
-from txrisk.sources.tables import read_table
+from txrisk.session import materialise
+from txrisk.sources.tables import read_table, spread
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,23 +167,27 @@ curve AS (
 
 
 def lines_by_year(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Shipped lines before 1999 (the reference) and after, by year."""
-    lines = read_table(spark, sf, "lineitem")
-    cut = F.lit("1999-01-01 00:00:00").cast("timestamp")
-    before, after = (
-        lines.filter(f).select(
-            "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-            # a feature that goes missing: prices of returned lines are blank later
-            F.when((F.col("l_returnflag") != "R") | (F.col("l_shipdate") < cut), F.col("l_extendedprice"))
-            .alias("price_known"),
-            # a feature that collapses onto one value
-            F.when((F.col("l_returnflag") == "A") & (F.year("l_shipdate") >= 2000), F.lit(1.0))
-            .otherwise(F.col("l_quantity")).alias("quantity_stuck"),
-            F.year("l_shipdate").cast("string").alias("period"),
-        )
-        for f in (F.col("l_shipdate") < cut, F.col("l_shipdate") >= cut)
+    """Shipped lines before 1999 (the reference) and after, by year.
+
+    Monitoring passes over the features several times, so they are written
+    first, as the feature stage does; later filters are pushed to that table.
+    """
+    lines = read_table(
+        spark, sf, "lineitem",
+        ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate"],
+    )
+    year = F.year("l_shipdate")
+    features = lines.select(
+        "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        # a feature that goes missing: prices of returned lines are blank later
+        F.when((F.col("l_returnflag") != "R") | (year < 1999), F.col("l_extendedprice")).alias("price_known"),
+        # a feature that collapses onto one value
+        F.when((F.col("l_returnflag") == "A") & (year >= 2000), F.lit(1.0))
+        .otherwise(F.col("l_quantity")).alias("quantity_stuck"),
+        year.cast("string").alias("period"),
     )
-    return before, after
+    table = materialise(spread(features), "features")
+    return table.filter(F.col("period") < "1999"), table.filter(F.col("period") >= "1999")
 
 
 DRIFT_FEATURES = [

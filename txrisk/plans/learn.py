@@ -163,7 +163,7 @@ def group_agg_encode(spark, sf):
             THEN row_number() OVER (PARTITION BY "column" ORDER BY label) - 1 END AS code FROM m""",
 )
 def encode_fit_state(spark, sf):
-    train, _ = _split(spark, sf)
+    train, _ = _halves(materialise(enriched(spark, sf), "joined"))
     model = E.RiskEncoder(SPEC).fit(train)
     values = model.state["values"]
     return model.lookups.select(

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from txrisk.operators import joins, profile
 from txrisk.plans.inputs import ENRICHED, ENRICHED_TYPES, FACTS, SCORED, enriched, facts, scored
 from txrisk.plans.registry import query
-from txrisk.session import scratch_path
+from txrisk.session import materialise, scratch_path
 from txrisk.sources import tables, typing
 from txrisk.sources.tables import read_table
 
@@ -99,7 +99,7 @@ def _narrow_sql() -> str:
 
 @query("type_narrowing_plan", _narrow_sql())
 def type_narrowing_plan(spark, sf):
-    return typing.narrowing_plan(enriched(spark, sf), _PINNED)
+    return typing.narrowing_plan(materialise(enriched(spark, sf), "joined"), _PINNED)
 
 
 _COERCED = ["o_orderpriority", "price_text", "key_text"]

@@ -33,6 +33,13 @@ def plain_times(schema: T.StructType) -> T.StructType:
     )
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a plain scan that was stored in fewer pieces than that;
+    a large table, which has more, is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | None = None, rows: int | None = None
 ) -> DataFrame:
