@@ -236,12 +236,12 @@ def weighted_drift(drift: DataFrame, importance: DataFrame, weight: str = "weigh
     """
     # one row per feature
     weights = broadcast_if_small(importance.select("feature", F.col(weight).alias("w")))
-    total = importance.agg(F.sum(weight)).scalar()
+    total = weights.agg(F.sum("w")).first()[0] or 0.0
     score = F.sum(F.col("psi") * F.coalesce("w", F.lit(0.0)))
     return (
         drift.join(weights, "feature", "left")
         .groupBy("period")
-        .agg(F.when(total > 0, score / total).alias("weighted_psi"))
+        .agg(F.when(F.lit(total > 0), F.try_divide(score, F.lit(total))).alias("weighted_psi"))
     )
 
 

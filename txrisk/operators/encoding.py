@@ -91,22 +91,28 @@ class EncoderSpec:
 
 def frequency_map(frame: DataFrame, label: Column) -> DataFrame:
     """Share of rows per label, missing included."""
-    counted = frame.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.agg(F.sum("n")).scalar()
-    return counted.select("label", "n", (F.col("n") / rows).alias("share"))
+    rows = frame.count()
+    return (
+        frame.groupBy(label.alias("label"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("share", F.col("n") / F.lit(rows))
+    )
 
 
 def category_map(frame: DataFrame, label: Column, scale: Scale = SCALE) -> DataFrame:
-    """Labels numbered from 0 in sorted order."""
-    labels = frame.select(F.lit("c").alias("column"), label.alias("label")).distinct()
-    return ordered_index(labels, "column", "label", "code", scale).select("label", "code")
+    """Labels numbered from 0 in sorted order, with their share of rows."""
+    labels = frequency_map(frame, label).select(F.lit("c").alias("column"), "label", "share")
+    return ordered_index(labels, "column", "label", "code", scale).select("label", "code", "share")
 
 
 def group_aggregate_map(frame: DataFrame, label: Column, value: str) -> DataFrame:
-    """Mean and sample spread per label; the spread of a single row is null."""
+    """Mean and sample spread per label, and its share of rows; the spread of
+    a single row is null."""
+    rows = frame.count()
     return frame.groupBy(label.alias("label")).agg(
         F.avg(F.col(value).cast("double")).alias("mean"),
         F.stddev_samp(F.col(value).cast("double")).alias("std"),
+        (F.count(F.lit(1)) / F.lit(rows)).alias("share"),
     )
 
 
@@ -147,7 +153,7 @@ def encode_category(
     frame: DataFrame, label: str, codes: DataFrame, rows: int, out: str, scale: Scale = SCALE
 ) -> DataFrame:
     """Code of each label, -1 for a label never seen."""
-    joined = lookup_join(frame, label, codes.withColumn("share", F.lit(0.0)), "label", rows, scale=scale)
+    joined = lookup_join(frame, label, codes, "label", rows, scale=scale)
     return joined.withColumn(out, F.coalesce("code", F.lit(UNSEEN_CODE))).drop("code", "share")
 
 

@@ -131,21 +131,21 @@ def prefix_sums(
     tie: str | None = None,
     descending: bool = False,
     rows: int | None = None,
+    costly: bool = False,
     scale: Scale = SCALE,
 ) -> DataFrame:
     """Inclusive running sums in the order of ``value`` (then ``tie`` ascending).
 
     ``value`` must be a non-null double and ``tie`` a unique number; without
     ``tie`` the (partition, value) pairs must be distinct.  ``rows`` is an upper
-    bound of the rows of a partition, if the caller knows one; a frame that is
-    costly to compute is then written out before it is read several times.
-    One set of ranges serves all partitions: a partition's share of a range is
+    bound of the rows of a partition, if the caller knows one (and has checked
+    the values).  A ``costly`` frame that needs ranges is written out before it
+    is read several times.  One set of ranges serves all partitions: a partition's share of a range is
     never larger than the range itself.
     """
     keys = list(partition_by)
-    if rows is not None and rows > scale.single_task_rows:
-        frame = materialise(frame, "sorted")
-        rows = None
+    if costly and rows is not None and rows > scale.single_task_rows:
+        frame, rows = materialise(frame, "sorted"), None
     names = list(sums)
     work = frame.select("*", *[c.alias(f"__in_{n}") for n, c in sums.items()])
     order = [F.col(value).desc() if descending else F.col(value).asc()]
@@ -179,7 +179,7 @@ def prefix_sums(
         *keys, "__range", *[F.sum(f"__all_{n}").over(before).alias(f"__off_{n}") for n in names]
     )
     if not keys:
-        # At most two rows per range, and ranges are capped by ``max_buckets``.
+        # One row per range: a few times ``max_buckets`` at most.
         offsets = F.broadcast(offsets)
     joined = local.join(offsets, [*keys, "__range"])
     return joined.select(
@@ -205,7 +205,7 @@ def exact_quantiles(
     *,
     by: str | None = None,
     scale: Scale = SCALE,
-    accuracy: int = 10_000,
+    accuracy: int | None = None,
 ) -> dict[tuple, list[float] | None]:
     """Linear-interpolation quantiles of many columns, exact at any size.
 
@@ -215,9 +215,13 @@ def exact_quantiles(
     """
     keys = [by] if by else []
     work = frame.select(*keys, *[usable(c).alias(c) for c in columns])
-    if work.count() * len(columns) <= 5 * scale.single_task_rows:
+    rows = work.count()
+    if rows * len(columns) <= 5 * scale.single_task_rows:
         return _ranked(work, columns, probs, by)
 
+    # Finer sketches on larger tables keep the bracketed values few.
+    if accuracy is None:
+        accuracy = min(100_000, max(10_000, 6 * rows // scale.single_task_rows))
     result: dict[tuple, list[float] | None] = {}
     for start in range(0, len(columns), scale.unpivot_columns):
         chunk = list(columns[start : start + scale.unpivot_columns])

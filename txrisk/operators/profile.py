@@ -223,19 +223,14 @@ def column_profile(
 
 def missing_profile(profile: DataFrame, top: int = 25) -> DataFrame:
     """The emptiest columns, with how many are complete and nearly empty."""
-    totals = profile.agg(
-        F.struct(
-            F.count_if(F.col("missing_pct") == 0).alias("complete"),
-            F.count_if(F.col("missing_pct") > 90).alias("nearly_empty"),
-        )
-    ).scalar()
+    table = W.partitionBy()  # one row per column
     return (
         profile.select(
             "column",
             "family",
             "missing_pct",
-            totals["complete"].alias("columns_complete"),
-            totals["nearly_empty"].alias("columns_nearly_empty"),
+            F.count_if(F.col("missing_pct") == 0).over(table).alias("columns_complete"),
+            F.count_if(F.col("missing_pct") > 90).over(table).alias("columns_nearly_empty"),
         )
         .orderBy(F.desc("missing_pct"), "column")
         .limit(top)
@@ -308,7 +303,8 @@ def daily_rate(frame: DataFrame, ts: str, label: str) -> DataFrame:
     daily = frame.groupBy(F.date_format(ts, "yyyy-MM-dd").alias("day")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(label).cast("long").alias("positives")
     )
-    overall = daily.agg(F.try_divide(F.sum("positives"), F.sum("rows"))).scalar()
+    table = W.partitionBy()  # one row per day
+    overall = F.try_divide(F.sum("positives").over(table), F.sum("rows").over(table))
     return daily.select(
         "*", _rate(F.col("positives"), F.col("rows")).alias("rate"), overall.alias("overall_rate")
     ).orderBy("day")

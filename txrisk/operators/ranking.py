@@ -47,12 +47,16 @@ def _money(amount: Column) -> Column:
 
 
 def score_groups(
-    frame: DataFrame, names: Scored = NAMES, by: Sequence[str] = (), scale: Scale = SCALE
+    frame: DataFrame,
+    names: Scored = NAMES,
+    by: Sequence[str] = (),
+    scale: Scale = SCALE,
+    rows: int | None = None,
 ) -> DataFrame:
     """One row per distinct score, highest first, with running counts: tied
     scores are one threshold, and a score shared by many rows is one row."""
     score = F.col(names.score).cast("double").alias("score")
-    rows = count_sortable(frame.select(score), "score")
+    rows = count_sortable(frame.select(score), "score") if rows is None else rows
     grouped = frame.groupBy(*by, score).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(names.label).cast("long")).alias("pos")
     )
@@ -63,18 +67,23 @@ def score_groups(
         partition_by=by,
         descending=True,
         rows=rows,
+        costly=True,
         scale=scale,
     )
 
 
 def ranking_metrics(
-    frame: DataFrame, names: Scored = NAMES, by: Sequence[str] = (), scale: Scale = SCALE
+    frame: DataFrame,
+    names: Scored = NAMES,
+    by: Sequence[str] = (),
+    scale: Scale = SCALE,
+    rows: int | None = None,
 ) -> DataFrame:
     """Average precision, its baseline and lift, and ROC-AUC, per group.
 
     Both areas are sums over score groups, so one aggregate ends the plan.
     """
-    g = score_groups(frame, names, by, scale)
+    g = score_groups(frame, names, by, scale, rows)
     neg = F.col("n") - F.col("pos")
     neg_seen = F.col("seen") - F.col("caught")
     sums = g.groupBy(*by).agg(
@@ -122,7 +131,34 @@ def pr_curve(
     return points.unionByName(ends)
 
 
-def ranked_rows(frame: DataFrame, names: Scored = NAMES, scale: Scale = SCALE) -> DataFrame:
+@dataclass(frozen=True)
+class Totals:
+    """Size of a scored table: its rows, positives and their money."""
+
+    rows: int
+    positives: int
+    value: float
+
+
+def totals_of(frame: DataFrame, names: Scored = NAMES) -> Totals:
+    """One row, from one pass; also refuses rows without a score."""
+    y = F.col(names.label).cast("long")
+    s = F.col(names.score).cast("double")
+    hit = F.when(y == 1, _money(F.col(names.amount))).otherwise(F.lit(0).cast(MONEY))
+    row = frame.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(y).alias("positives"),
+        F.sum(hit).alias("value"),
+        F.count_if(s.isNull() | F.isnan(s)).alias("bad"),
+    ).first()
+    if row["bad"]:
+        raise ValueError(f"{row['bad']} rows have no score")
+    return Totals(row["rows"], row["positives"] or 0, float(row["value"] or 0))
+
+
+def ranked_rows(
+    frame: DataFrame, names: Scored = NAMES, rows: int | None = None, scale: Scale = SCALE
+) -> DataFrame:
     """Each row's place, riskiest first (the lower id on ties), with positives
     and their value caught up to it."""
     work = frame.select(
@@ -138,24 +174,22 @@ def ranked_rows(frame: DataFrame, names: Scored = NAMES, scale: Scale = SCALE) -
         {"n_flagged": F.lit(1), "caught": F.col("y"), "caught_value": hit},
         tie="id",
         descending=True,
+        rows=rows,
         scale=scale,
-    ).select("n_flagged", "threshold", "caught", F.col("caught_value").cast("decimal(38,4)").alias("caught_value"))
-
-
-def _totals(frame: DataFrame, names: Scored) -> Column:
-    y = F.col(names.label).cast("long")
-    hit = F.when(y == 1, _money(F.col(names.amount))).otherwise(F.lit(0).cast(MONEY))
-    return frame.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum(y).alias("positives"),
-            F.sum(hit).cast("double").alias("value"),
-        )
-    ).scalar()
+    ).select(
+        "n_flagged",
+        "threshold",
+        "caught",
+        F.col("caught_value").cast("decimal(38,4)").alias("caught_value"),
+    )
 
 
 def cost_curve(
-    frame: DataFrame, names: Scored = NAMES, cost: CostModel = COST, scale: Scale = SCALE
+    frame: DataFrame,
+    names: Scored = NAMES,
+    cost: CostModel = COST,
+    scale: Scale = SCALE,
+    totals: Totals | None = None,
 ) -> DataFrame:
     """What flagging the top k rows costs, for every k from 0 to n."""
     none = frame.sparkSession.range(1).select(
@@ -164,20 +198,20 @@ def cost_curve(
         F.lit(0).cast("long").alias("caught"),
         F.lit(0).cast("decimal(38,4)").alias("caught_value"),
     )
-    t = _totals(frame, names)
-    points = ranked_rows(frame, names, scale).unionByName(none)
+    t = totals or totals_of(frame, names)
+    points = ranked_rows(frame, names, t.rows, scale).unionByName(none)
     base = points.select(
         "n_flagged",
-        (F.col("n_flagged") / t["rows"]).alias("review_rate"),
+        (F.col("n_flagged") / F.lit(t.rows)).alias("review_rate"),
         "threshold",
         F.col("caught").cast("double").alias("positives_caught"),
-        (t["positives"] - F.col("caught")).cast("double").alias("positives_missed"),
+        (F.lit(t.positives) - F.col("caught")).cast("double").alias("positives_missed"),
         (F.col("n_flagged") - F.col("caught")).cast("double").alias("false_alarms"),
-        F.coalesce(F.try_divide(F.col("caught"), t["positives"]), F.lit(0.0)).alias("recall"),
+        F.coalesce(F.try_divide(F.col("caught"), F.lit(t.positives)), F.lit(0.0)).alias("recall"),
         F.coalesce(F.try_divide(F.col("caught"), F.col("n_flagged")), F.lit(0.0)).alias("precision"),
         F.col("caught_value").cast("double").alias("__value"),
-        (t["value"] - F.col("caught_value").cast("double")).alias("__missed_value"),
-        (t["value"] + t["positives"] * cost.chargeback).alias("__nothing"),
+        (F.lit(t.value) - F.col("caught_value").cast("double")).alias("__missed_value"),
+        F.lit(t.value + t.positives * cost.chargeback).alias("__nothing"),
     )
     missed = F.col("__missed_value") + F.col("positives_missed") * cost.chargeback
     caught = F.col("positives_caught") * cost.review + (1 - cost.recovery) * (
@@ -212,12 +246,10 @@ def annualised(savings: Column, days: Column) -> Column:
     return savings * 365 / F.greatest(days, F.lit(1))
 
 
-def _cuts(frame: DataFrame, rates: Sequence[float]) -> DataFrame:
+def _cuts(frame: DataFrame, rates: Sequence[float], rows: int) -> DataFrame:
     """One row per review rate with the number of rows it stands for."""
-    spark = frame.sparkSession
-    rows = frame.agg(F.count(F.lit(1))).scalar()
-    wanted = spark.createDataFrame([(float(r),) for r in rates], "review_rate double")
-    k = F.greatest(F.lit(1), F.bround(rows * F.col("review_rate"), 0).cast("long"))
+    wanted = frame.sparkSession.createDataFrame([(float(r),) for r in rates], "review_rate double")
+    k = F.greatest(F.lit(1), F.bround(F.lit(rows) * F.col("review_rate"), 0).cast("long"))
     return wanted.withColumn("n_reviewed", k)
 
 
@@ -228,16 +260,16 @@ def review_rate_metrics(
     scale: Scale = SCALE,
 ) -> DataFrame:
     """What reviewing the riskiest share catches, for each share."""
-    ranked = ranked_rows(frame, names, scale).withColumnRenamed("n_flagged", "n_reviewed")
-    t = _totals(frame, names)
+    t = totals_of(frame, names)
+    ranked = ranked_rows(frame, names, t.rows, scale).withColumnRenamed("n_flagged", "n_reviewed")
     # one row per review rate
-    at = ranked.join(F.broadcast(_cuts(frame, rates)), "n_reviewed")
+    at = ranked.join(F.broadcast(_cuts(frame, rates, t.rows)), "n_reviewed")
     return at.select(
         "review_rate",
         "n_reviewed",
         "threshold",
         F.col("caught").alias("positives_caught"),
-        F.coalesce(F.try_divide(F.col("caught"), t["positives"]), F.lit(0.0)).alias("recall"),
+        F.coalesce(F.try_divide(F.col("caught"), F.lit(t.positives)), F.lit(0.0)).alias("recall"),
         (F.col("caught") / F.col("n_reviewed")).alias("precision"),
     )
 
@@ -246,11 +278,13 @@ def threshold_table(
     frame: DataFrame,
     curve: DataFrame,
     rates: Sequence[float] = HEADLINE_REVIEW_RATES,
+    rows: int | None = None,
 ) -> DataFrame:
     """The rows of the cost curve at the headline review rates."""
     picked = curve.withColumnRenamed("n_flagged", "n_reviewed").drop("review_rate")
     # one row per review rate
-    return picked.join(F.broadcast(_cuts(frame, rates)), "n_reviewed").select(
+    cuts = _cuts(frame, rates, frame.count() if rows is None else rows)
+    return picked.join(F.broadcast(cuts), "n_reviewed").select(
         "review_rate",
         "n_reviewed",
         "threshold",
@@ -270,11 +304,14 @@ def nearest_savings(table: DataFrame, rate: float) -> DataFrame:
     ).select("p.*")
 
 
-def curve_thin(curve: DataFrame, max_rows: int = 2000) -> DataFrame:
-    """Every m-th row of the curve from the first, about ``max_rows`` of them."""
-    rows = curve.agg(F.count(F.lit(1))).scalar()
-    step = F.when(rows <= max_rows, F.lit(1)).otherwise(F.floor(rows / max_rows))
-    return curve.filter(F.pmod(F.col("n_flagged"), step) == 0)
+def curve_thin(curve: DataFrame, max_rows: int = 2000, rows: int | None = None) -> DataFrame:
+    """Every m-th row of the curve from the first, about ``max_rows`` of them.
+
+    ``rows`` is the length of the curve, if known: one more than the table's.
+    """
+    rows = curve.count() if rows is None else rows
+    step = 1 if rows <= max_rows else rows // max_rows
+    return curve.filter(F.col("n_flagged") % step == 0)
 
 
 def recall_by_value(
@@ -282,16 +319,16 @@ def recall_by_value(
 ) -> DataFrame:
     """Recall by count against recall by money at one review rate, and the
     mean amount of what is caught and missed."""
-    t = _totals(frame, names)
-    ranked = ranked_rows(frame, names, scale).withColumnRenamed("n_flagged", "n_reviewed")
+    t = totals_of(frame, names)
+    ranked = ranked_rows(frame, names, t.rows, scale).withColumnRenamed("n_flagged", "n_reviewed")
     value = F.col("caught_value").cast("double")
-    return ranked.join(F.broadcast(_cuts(frame, [rate])), "n_reviewed").select(
+    return ranked.join(F.broadcast(_cuts(frame, [rate], t.rows)), "n_reviewed").select(
         "review_rate",
         "n_reviewed",
-        F.try_divide(F.col("caught"), t["positives"]).alias("recall_by_count"),
-        F.try_divide(value, t["value"]).alias("recall_by_value"),
+        F.try_divide(F.col("caught"), F.lit(t.positives)).alias("recall_by_count"),
+        F.try_divide(value, F.lit(t.value)).alias("recall_by_value"),
         F.try_divide(value, F.col("caught")).alias("mean_caught"),
-        F.try_divide(t["value"] - value, t["positives"] - F.col("caught")).alias("mean_missed"),
+        F.try_divide(F.lit(t.value) - value, F.lit(t.positives) - F.col("caught")).alias("mean_missed"),
     )
 
 
@@ -313,8 +350,9 @@ def evaluate_all(
 
     The curve's best points and review-rate rows come from one pass over it.
     """
-    curve = cost_curve(frame, names, cost, scale)
-    cuts = _cuts(frame, rates)
+    t = totals_of(frame, names)
+    curve = cost_curve(frame, names, cost, scale, t)
+    cuts = _cuts(frame, rates, t.rows)
     marked = curve.join(
         F.broadcast(cuts.withColumnRenamed("n_reviewed", "n_flagged").withColumnRenamed("review_rate", "at")),
         "n_flagged",
@@ -343,13 +381,9 @@ def evaluate_all(
         F.col("c.threshold").alias("best_threshold_within_capacity"),
         F.col("c.recall").alias("best_recall_within_capacity"),
     )
-    areas = ranking_metrics(frame, names, scale=scale).select(
-        F.struct("pr_auc", "pr_auc_baseline", "pr_auc_lift", "roc_auc").alias("s")
-    )
-    s = areas.scalar()
-    return costs.select(
-        *[s[c].alias(c) for c in ("pr_auc", "pr_auc_baseline", "pr_auc_lift", "roc_auc")], "*"
-    )
+    names_of_areas = ["pr_auc", "pr_auc_baseline", "pr_auc_lift", "roc_auc"]
+    areas = ranking_metrics(frame, names, scale=scale, rows=t.rows).select(*names_of_areas).first()
+    return costs.select(*[F.lit(areas[c]).cast("double").alias(c) for c in names_of_areas], "*")
 
 
 def period_performance(

@@ -82,7 +82,7 @@ def frequency_map(spark, sf):
 def category_map(spark, sf):
     train, _ = _split(spark, sf)
     pair = X.join_labels(X.label_of(train, "card"), X.label_of(train, "addr"))
-    return E.category_map(train, pair)
+    return E.category_map(train, pair).drop("share")
 
 
 @query(
@@ -131,7 +131,7 @@ def frequency_encode(spark, sf):
 )
 def group_agg_encode(spark, sf):
     train, valid = _split(spark, sf)
-    stats = E.group_aggregate_map(train, X.label_of(train, "card"), "amount").withColumn("share", F.lit(0.0))
+    stats = E.group_aggregate_map(train, X.label_of(train, "card"), "amount")
     work = valid.select("id", "amount", X.label_of(valid, "card").alias("card_label"))
     joined = E.lookup_join(work, "card_label", stats, "label", stats.count())
     return joined.select(
@@ -351,8 +351,10 @@ _CONTRIB = f"""{FACTS}, means AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c i
 
 def _contributions(spark, sf):
     f = facts(spark, sf)
-    means = f.agg(F.struct(*[F.avg(c).alias(c) for c in _WEIGHTS])).scalar()
-    return f.select("id", *[((F.col(c) - means[c]) * F.lit(w)).alias(c) for c, w in _WEIGHTS.items()])
+    means = f.agg(*[F.avg(c).alias(c) for c in _WEIGHTS]).first()
+    return f.select(
+        "id", *[((F.col(c) - F.lit(means[c])) * F.lit(w)).alias(c) for c, w in _WEIGHTS.items()]
+    )
 
 
 @query(

@@ -92,7 +92,9 @@ def cost_curve(spark, sf):
 
 @query("curve_thin", f"WITH {CURVE} SELECT {_CURVE_COLUMNS} FROM curve WHERE n_flagged % (SELECT CASE WHEN count(*) <= 2000 THEN 1 ELSE count(*) // 2000 END FROM curve) = 0")
 def curve_thin(spark, sf):
-    return _rounded_money(R.curve_thin(R.cost_curve(scored(spark, sf))))
+    frame = scored(spark, sf)
+    totals = R.totals_of(frame)
+    return _rounded_money(R.curve_thin(R.cost_curve(frame, totals=totals), rows=totals.rows + 1))
 
 
 @query("best_point_unconstrained", f"WITH {CURVE} SELECT {_POINT_COLUMNS} FROM curve ORDER BY total_cost, n_flagged LIMIT 1")
@@ -126,9 +128,10 @@ def best_point_capacity(spark, sf):
 )
 def threshold_table(spark, sf):
     frame = scored(spark, sf)
-    table = R.threshold_table(frame, R.cost_curve(frame), RATES)
-    nearest = R.nearest_savings(table, 0.023).select("review_rate").scalar()
-    return _rounded_money(table.withColumn("is_nearest", F.col("review_rate") == nearest))
+    totals = R.totals_of(frame)
+    table = R.threshold_table(frame, R.cost_curve(frame, totals=totals), RATES, totals.rows)
+    nearest = R.nearest_savings(table, 0.023).first()["review_rate"]
+    return _rounded_money(table.withColumn("is_nearest", F.col("review_rate") == F.lit(nearest)))
 
 
 @query(
