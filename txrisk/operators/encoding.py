@@ -40,7 +40,11 @@ from txrisk.settings import (
 
 @dataclass(frozen=True)
 class EncoderSpec:
-    """Which column plays which role.  A role without a column is skipped."""
+    """Which column plays which role.  A role without a column is skipped.
+
+    The defaults are fixed values: the columns of the public card-transaction
+    dataset this encoding was designed on.
+    """
 
     id: str = "TransactionID"
     time: str = "TransactionDT"

@@ -130,10 +130,17 @@ def score(
     frame: DataFrame,
     features: Sequence[str],
     keep: Sequence[str],
+    copies: dict[str, str] | None = None,
 ) -> DataFrame:
-    """The kept columns and the probability of the positive class."""
-    out = model.transform(candidate.prepare(frame.select(*keep, *features), features))
-    return out.select(*keep, vector_to_array("__p")[1].alias("score"))
+    """The kept columns and the probability of the positive class.
+
+    ``copies`` names a second column for values to keep that may be features
+    themselves, untouched by the model's preparation.
+    """
+    extra = [F.col(c).alias(new) for c, new in (copies or {}).items()]
+    rows = frame.select(*keep, *features, *extra)
+    out = model.transform(candidate.prepare(rows, features))
+    return out.select(*keep, *(copies or {}).values(), vector_to_array("__p")[1].alias("score"))
 
 
 def batch_scores(
@@ -176,26 +183,16 @@ def compare_candidates(
     table = []
     for candidate in candidates:
         model = fit(candidate, train, features, names.label)
-        carried = _kept(keep, features)
-        scored = score(candidate, model, _copy_used(valid, features, keep), features, carried)
+        copies = {c: f"__k_{c}" for c in keep}
+        scored = score(candidate, model, valid, features, [], copies)
         scored = scored.select(
-            *[F.col(k).alias(c) for k, c in zip(carried, keep)], F.col("score").alias(names.score)
+            *[F.col(k).alias(c) for c, k in copies.items()], F.col("score").alias(names.score)
         ).persist()
         row = evaluate_all(scored, names=names, scale=scale, **evaluation)
         table.append(row.select(F.lit(candidate.name).alias("model"), "*"))
     return reduce(DataFrame.unionByName, table).orderBy(F.desc("pr_auc"), "model")
 
 
-def _kept(keep: Sequence[str], features: Sequence[str]) -> list[str]:
-    return [f"__k_{c}" if c in features else c for c in keep]
-
-
-def _copy_used(frame: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """A kept column that is also a feature is carried under a second name."""
-    twice = {c: f"__k_{c}" for c in keep if c in features}
-    return frame.select("*", *[F.col(c).alias(k) for c, k in twice.items()])
-
-
 # ----------------------------------------------------------------------- folds
 
 

@@ -304,7 +304,7 @@ def _logistic():
 def logistic_scores(spark, sf):
     train, valid = _model_split(spark, sf)
     model = M.fit(_logistic(), train, _FEATURES, "label")
-    return M.score(_logistic(), model, M._copy_used(valid, _FEATURES, ["id"]), _FEATURES, ["id", "label"])
+    return M.score(_logistic(), model, valid, _FEATURES, ["id", "label"])
 
 
 @query("gbt_scores")
