@@ -205,13 +205,37 @@ def _encode_sql() -> str:
             ]
     base = """id, sec, label_y AS label, amount, card, addr, age, balance, has_returns, has_bulk, r_value, b_lines,
       round(b_discount, 4) AS b_discount, hour, day_of_week, round(amount_log, 4) AS amount_log, amount_cents, amount_is_round"""
-    return f"""WITH {_SPLIT}, {', '.join(maps)}, v AS (SELECT * EXCLUDE (label), label AS label_y, CAST(floor(sec / 3600.0) AS BIGINT) % 24 AS hour,
+    parts = [
+        f"""v_{part} AS (SELECT * EXCLUDE (label), label AS label_y, CAST(floor(sec / 3600.0) AS BIGINT) % 24 AS hour,
         CAST(floor(sec / 86400.0) AS BIGINT) % 7 AS day_of_week, ln(1 + amount) AS amount_log, round(amount - floor(amount), 4) AS amount_cents,
-        CAST(CASE WHEN round(amount - floor(amount), 4) = 0 THEN 1 ELSE 0 END AS BIGINT) AS amount_is_round FROM valid)
-      SELECT {base}, {', '.join(cols)} FROM v {' '.join(joins)}"""
+        CAST(CASE WHEN round(amount - floor(amount), 4) = 0 THEN 1 ELSE 0 END AS BIGINT) AS amount_is_round FROM {part}),
+      enc_{part} AS (SELECT {base}, {', '.join(cols)} FROM v_{part} {' '.join(joins)})"""
+        for part in ("train", "valid")
+    ]
+    return f"WITH {_SPLIT}, {', '.join(maps)}, {', '.join(parts)}"
+
+
+_ENCODED = _encode_sql()
+
+
+def _manifest_sql() -> str:
+    rows = [(c, "base_numeric", c) for c in
+            ("amount", "card", "addr", "age", "balance", "has_returns", "has_bulk", "r_value", "b_lines", "b_discount")]
+    rows += [(c, "derived_time", "sec") for c in ("hour", "day_of_week")]
+    rows += [(c, "derived_amount", "amount") for c in ("amount_log", "amount_cents", "amount_is_round")]
+    rows += [(f"{c}_code", "category_code", c) for c in ("card_addr", "product", "segment", "device_brand", "browser_family")]
+    rows += [(f"{c}_freq", "frequency", c) for c in SPEC.frequency]
+    rows += [(n, "aggregate", f"{v} by {g}") for g, v in SPEC.aggregates for n in E.aggregate_names(g, v)]
+    share = "round_even(avg(CASE WHEN {0} IS NULL THEN 1.0e0 ELSE 0.0e0 END) * 100, 2)"
+    body = " UNION ALL ".join(
+        f"""SELECT '{f}' AS feature, '{k}' AS kind, '{s}' AS source, (SELECT {share.format(f)} FROM enc_train) AS missing_pct_train,
+          (SELECT {share.format(f)} FROM enc_valid) AS missing_pct_test"""
+        for f, k, s in rows
+    )
+    return f"{_ENCODED} {body}"
 
 
-@query("encode_transform", _encode_sql())
+@query("encode_transform", f"{_ENCODED} SELECT * FROM enc_valid")
 def encode_transform(spark, sf):
     _, _, valid = _encoded(spark, sf)
     return rounded(
@@ -242,7 +266,7 @@ def encoder_reload_equal(spark, sf):
     )
 
 
-@query("feature_manifest")
+@query("feature_manifest", _manifest_sql())
 def feature_manifest(spark, sf):
     model, train, valid = _encoded(spark, sf)
     return E.feature_manifest(
