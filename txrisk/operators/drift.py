@@ -259,6 +259,7 @@ def score_drift(
     """How scores, alerts and the weighted drift moved from period to period.
     Periods below ``min_rows`` rows are left out."""
     spark = scored.sparkSession
+    drift = broadcast_if_small(drift)  # periods x features rows, read twice below
     found = exact_quantiles(scored, [score], [0.5, 0.9, 0.99], by=period, scale=scale)
     kind = scored.schema[period].dataType.simpleString()
     marks = spark.createDataFrame(
