@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.llm import decontaminate, exact, html, language, packing, quality, toxicity
+from txrisk.llm import decontaminate, exact, html, jaccard, language, packing, quality, toxicity
 from txrisk.llm.common import read
 
 
@@ -35,6 +35,10 @@ def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(read(spark, sf, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.join_components(read(spark, sf, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
     return found.select("doc_id", "item_id", "start", "n_words", "n_equal", "n_compared", "best_window")
@@ -50,7 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_packing, op3_exact_dedup, op4_toxicity, op5_html_extraction,
-        op6_language_id, op8_decontamination,
+        op6_language_id, op7_ngram_jaccard_join, op8_decontamination,
     )
 }
 
