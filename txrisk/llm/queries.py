@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.llm import decontaminate, exact, html, jaccard, language, packing, quality, toxicity
+from txrisk.llm import (
+    decontaminate,
+    exact,
+    html,
+    jaccard,
+    language,
+    packing,
+    phrases,
+    quality,
+    suffixes,
+    toxicity,
+)
 from txrisk.llm.common import read
 
 
@@ -44,6 +55,14 @@ def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id", "start", "n_words", "n_equal", "n_compared", "best_window")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.remove_repeats(read(spark, sf, "documents")).drop("n_spans")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -55,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_classifier, op2_packing, op3_exact_dedup, op4_toxicity, op5_html_extraction,
         op6_language_id, op7_ngram_jaccard_join, op8_decontamination,
+        op9_suffix_array_dedup, op10_substring_dedup,
     )
 }
 
