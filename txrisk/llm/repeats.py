@@ -59,6 +59,17 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(powers, dtype=U)
 
 
+def prefixes(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the `length` units from each position on (0 where fewer are left)."""
+    found = np.zeros(len(hashes), dtype=np.int64)
+    if len(hashes) >= length:
+        sums = np.zeros(len(hashes) + 1, dtype=U)
+        np.cumsum(hashes * _powers(_BASE, len(hashes)), out=sums[1:])
+        back = _powers(_INVERSE, len(hashes) - length + 1)
+        found[: len(back)] = _mixed((sums[length:] - sums[:-length]) * back).view(np.int64)
+    return found
+
+
 def runs(hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """first window, last window, anchor and content hash of every run of a text."""
     n = len(hashes) - length + 1
@@ -262,7 +273,8 @@ def later_windows(rows: DataFrame, flags: DataFrame, units: Units, compare: Call
     whole = every.filter("r.whole").select("doc", "tag", "r.first", "r.last")
     found = whole.unionByName(spans)
     if not every.filter("r.hot and not r.whole").isEmpty():
-        windows = packed.mapInArrow(_cut(units, True), schema).withColumn("name", F.xxhash64("cut"))
+        crowded = flags.filter(F.exists("runs", lambda r: r["hot"] & ~r["whole"]))
+        windows = _zipped(rows).join(crowded, ["doc", "tag"]).mapInArrow(_cut(units, True), schema).withColumn("name", F.xxhash64("cut"))
         order = Window.partitionBy("name", "cut").orderBy("doc", "tag", "start")
         later = windows.withColumn("place", F.row_number().over(order)).filter("place > 1")
         found = found.unionByName(later.select("doc", "tag", F.col("start").alias("first"), F.col("start").alias("last")))

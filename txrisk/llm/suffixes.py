@@ -6,7 +6,7 @@ through several shuffles.  Positions that cannot repeat go first: a string of
 other content are compared (see `repeats`).  Spark deals those out by anchor and sorts them;
 equal strings meet in one shard.  There, positions get the rank of their
 first bytes, and pairs of ranks at growing offsets are sorted and ranked anew.  A
-position leaves once its rank is unique; those that reach the threshold with a
+window leaves once a rank in it is unique; those that reach the threshold with a
 shared rank repeat, and all but the first by place are removed.
 """
 
@@ -31,38 +31,59 @@ def bytes_of(length: int) -> repeats.Units:
     )
 
 
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dense ranks of values by sorting, and how often each rank occurs."""
+    order = np.argsort(values)
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = values[order][1:] != values[order][:-1]
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.cumsum(fresh) - 1
+    return rank, np.diff([*np.flatnonzero(fresh), len(order)])
+
+
+def steps(length: int) -> list[int]:
+    """Lengths that ranks stand for, each at most twice the one before; the first is hashed."""
+    found = [length]
+    while found[0] > 8 and len(found) < 4:
+        found.insert(0, -(-found[0] // 2))
+    return found
+
+
 def doubling(length: int):
     """Compares byte strings by prefix doubling; see `repeats.later_windows`."""
+    lengths = steps(length)
 
     def compare(cuts: list[bytes], doc, tag, start) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(c) for c in cuts])
-        text = np.frombuffer(b"".join(cuts), dtype=np.uint8)
-        base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        hashes = _byte_hashes(b"".join(cuts))
+        base = np.cumsum(sizes) - sizes
         counts = sizes - length + 1
         run = np.repeat(np.arange(len(cuts)), counts)
         inside = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
         active = base[run] + inside  # the windows that may still repeat
-        known = 1
-        rank = text.astype(np.int64)
-        while known < length and len(active):
-            step = min(known, length - known)
-            # a rank is needed wherever the rest of an active window will look
-            wanted = np.zeros(len(text) + 1, dtype=np.int32)
-            np.add.at(wanted, active, 1)
-            np.add.at(wanted, active + length - known - step + 1, -1)
-            places = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
-            pair = rank[places] * (rank.max() + 1) + rank[places + step]
-            order = np.argsort(pair, kind="stable")
-            fresh = np.ones(len(order), dtype=bool)
-            fresh[1:] = pair[order][1:] != pair[order][:-1]
-            rank = np.zeros(len(text), dtype=np.int64)
-            rank[places[order]] = np.cumsum(fresh)
-            known += step
-            alone = np.bincount(rank[active], minlength=rank.max() + 1) < 2
-            keep = ~alone[rank[active]]
+        # where in a window the strings of each step begin
+        offsets = [[0]]
+        for short, long in zip(lengths[-2::-1], lengths[:0:-1], strict=True):
+            offsets.insert(0, sorted({o + x for o in offsets[0] for x in (0, long - short)}))
+        rank = repeats.prefixes(hashes, lengths[0])
+        have = 0
+        for now, at in zip(lengths, offsets, strict=True):
+            wanted = np.zeros(len(hashes), dtype=bool)
+            for o in at:
+                wanted[active + o] = True
+            places = np.flatnonzero(wanted)
+            # a pair of ranks at a distance names the longer string; sorting the pairs ranks it
+            pair = rank[places] if not have else rank[places] * top + rank[places + now - have]
+            found, times = _ranked(pair)
+            top, have = len(times), now
+            rank = np.zeros(len(hashes), dtype=np.int64)
+            rank[places] = found
+            keep = np.ones(len(active), dtype=bool)
+            for o in at:
+                keep &= times[rank[active + o]] > 1
             active, run, inside = active[keep], run[keep], inside[keep]
-        if not len(active):
-            return run, inside
+            if not len(active):
+                return run, inside
         # of equal windows the first by document, tag and start stays
         order = np.lexsort([start[run] + inside, tag[run], doc[run], rank[active]])
         later = np.zeros(len(order), dtype=bool)
