@@ -43,6 +43,7 @@ class Settings:
     `growth` is the ratio of the size classes that share a cut into column
     blocks, `spare` the blocks beyond the bound (so that an empty block need not
     count as agreement), `rows` and `columns` the blocks of the product.
+    Block keys meet in buckets, one for each `bucket_chars` of text.
     """
 
     shingle: int = 3
@@ -51,6 +52,7 @@ class Settings:
     spare: int = 2
     rows: int = 256
     columns: int = 4096
+    bucket_chars: int = 8_000_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -61,23 +63,46 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+_BASE = U(0x9E3779B97F4A7C15)
+_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BYTES = mixed(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    powers = np.full(n, base, dtype=U)
+    powers[:1] = 1
+    return np.cumprod(powers, dtype=U)
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word between ASCII white space, from running sums over the bytes."""
+    units = np.frombuffer(raw, dtype=np.uint8)
+    if not len(units):
+        return np.zeros(0, dtype=U)
+    edge = np.diff(np.concatenate([[True], _IS_SPACE[units], [True]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = np.zeros(len(units) + 1, dtype=U)
+    np.cumsum(_BYTES[units] * _powers(_BASE, len(units)), out=sums[1:])
+    return mixed((sums[end] - sums[start]) * _powers(_INVERSE, len(units))[start])
+
+
 def shingles(text: str, size: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a whole text: lower-case A-Z, words between ASCII white space."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=U)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=U, count=len(words))
+    h = word_hashes(text.encode().lower())
+    if not len(h):
+        return h
     k = min(size, len(h))
     found = np.full(len(h) - k + 1, k, dtype=U)
     for i in range(k):
-        found = mixed(found + h[i : len(h) - k + 1 + i]) * U(2 * i + 3)
-    return np.unique(found)
+        found = (found ^ (found >> U(31))) * U(0x94D049BB133111EB) + h[i : len(h) - k + 1 + i]
+    return np.unique(mixed(found))
 
 
 def size_classes(most: int, settings: Settings) -> np.ndarray:
-    """Lower ends of the size classes up to beyond `most`."""
+    """Lower ends of the size classes, to two classes beyond that of `most`."""
     ends = [1]
-    while ends[-1] <= most * settings.growth + 2:
+    while ends[-1] <= most * settings.growth**3 + 2:
         ends.append(max(ends[-1] + 1, int(ends[-1] * settings.growth)))
     return np.array(ends)
 
@@ -88,40 +113,114 @@ def most_apart(size: int, settings: Settings) -> int:
 
 
 def block_keys(found: np.ndarray, ends: np.ndarray, settings: Settings) -> np.ndarray:
-    """Hashes of a row's column blocks, in its size class and, if a linked row may lie there, the next."""
+    """Hashes of a row's column blocks, cut as for its own size class and for each larger one that may hold a linked row."""
     n = len(found)
     if not n:
-        return np.zeros(0, dtype=np.int64)
-    own = int(np.searchsorted(ends, n, side="right")) - 1
-    kinds = [own] + [own + 1] * (100 * n >= settings.percent * int(ends[own + 1]))
-    keys = []
+        return np.zeros(0, dtype=U)
+    kind = int(np.searchsorted(ends, n, side="right")) - 1
     place, value = mixed(found ^ U(0x5851F42D4C957F2D)), mixed(found + U(0x14057B7EF767814F))
-    for kind in kinds:
+    keys = []
+    while True:
         blocks = most_apart(int(ends[kind + 1]) - 1, settings) + 1 + settings.spare
-        block = (place % U(blocks)).astype(np.int64)
-        sums = np.zeros(blocks, dtype=U)
-        np.add.at(sums, block, value)
-        salt = np.arange(blocks, dtype=U) + U(kind << 32)
-        key = mixed(mixed(salt) ^ sums)
-        empty = np.bincount(block, minlength=blocks) == 0
+        block = place % U(blocks)
+        order = np.argsort(block, kind="stable")
+        filled, first = np.unique(block[order], return_index=True)
+        key = mixed(mixed(filled + U(kind << 32)) ^ np.add.reduceat(value[order], first))
+        keys.append(key)
         # linked rows agree in at least blocks - apart blocks, so in a filled one if fewer are empty
-        keys.append(key if empty.sum() >= blocks - most_apart(n, settings) else key[~empty])
-    return np.concatenate(keys).view(np.int64)
+        if blocks - len(filled) >= blocks - most_apart(n, settings):
+            empty = np.setdiff1d(np.arange(blocks, dtype=U), filled)
+            keys.append(mixed(mixed(empty + U(kind << 32))))
+        kind += 1
+        if 100 * n < settings.percent * int(ends[kind]):
+            return np.concatenate(keys)
 
 
 def _describe(settings: Settings):
     def run(found: list[str]) -> dict[str, list]:
         sets = [shingles(t, settings.shingle) for t in found]
-        ends = size_classes(max(map(len, sets), default=0), settings)
         return {
             "n": pa.array([len(s) for s in sets], pa.int64()),
             "row": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-            "keys": pa.array([block_keys(s, ends, settings) for s in sets], pa.list_(pa.int64())),
         }
 
     return run
 
 
+def _short(row: bytes) -> int:
+    """The first 8 bytes of a row's name; a clash only makes two rows candidates."""
+    return int.from_bytes(row[:8], "big", signed=True)
+
+
+def _tiles(settings: Settings, buckets: int, keys: int = 1_000_000):
+    """Block keys of a batch of rows, dealt to buckets by key: each tile holds sorted keys and the rows they are of."""
+
+    def flush(held: list[np.ndarray], names: list[int]) -> Iterator[tuple[int, bytes, bytes]]:
+        key = np.concatenate(held)
+        name = np.repeat(np.array(names, dtype=np.int64), [len(h) for h in held])
+        order = np.lexsort([name, key])
+        key, name = key[order], name[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        key, name = key[new], name[new]
+        bucket = (key % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        key, name, bucket = key[order], name[order], bucket[order]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        for a, b in zip(first, [*first[1:], len(key)], strict=True):
+            yield int(bucket[a]), key[a:b].tobytes(), name[a:b].tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names, have = [], [], 0
+        ends = size_classes(1024, settings)
+
+        def tiles() -> pa.RecordBatch:
+            columns = list(zip(*flush(held, names), strict=True))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())],
+                names=["bucket", "keys", "names"],
+            )
+
+        for batch in batches:
+            for text in batch.column("text"):
+                found = shingles(text.as_py(), settings.shingle)
+                if not len(found):
+                    continue
+                if len(found) * settings.growth**3 + 2 >= ends[-1]:
+                    ends = size_classes(2 * len(found), settings)
+                held.append(block_keys(found, ends, settings))
+                names.append(_short(xxhash.xxh3_128_digest(found.tobytes())))
+                have += len(held[-1])
+                if have >= keys:
+                    yield tiles()
+                    held, names, have = [], [], 0
+        if held:
+            yield tiles()
+
+    return run
+
+
+def _meet(tiles: pa.Table) -> pa.Table:
+    """Rows that share a key, each with the least row of that key."""
+    key = np.frombuffer(b"".join(tiles.column("keys").to_pylist()), dtype=U)
+    name = np.frombuffer(b"".join(tiles.column("names").to_pylist()), dtype=np.int64)
+    order = np.lexsort([name, key])
+    key, name = key[order], name[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    least = np.repeat(name[first], np.diff([*first, len(key)]))
+    apart = name != least
+    pairs = np.unique(np.stack([name[apart], least[apart]], axis=1), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def candidates(frame: DataFrame, settings: Settings) -> DataFrame:
+    """node (first 8 bytes of a row's name), root: the candidate components."""
+    size = frame.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = int(min(1 << 20, max(16, size // settings.bucket_chars)))
+    tiles = frame.mapInArrow(_tiles(settings, buckets), "bucket int, keys binary, names binary")
+    return components(tiles.groupBy("bucket").applyInArrow(_meet, "a long, b long"))
+
+
 def overlaps(
     left: list[np.ndarray], right: list[np.ndarray], settings: Settings
 ) -> np.ndarray:
@@ -195,20 +294,12 @@ def join_components(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     never name a component that has another id.  An empty table gives no row.
     """
     frame = texts(docs)
-    described = materialise(
-        per_row(frame, "text", _describe(settings), "n long, row binary, keys array<long>"), "shingled"
-    )
-    # candidates carry the first 8 bytes of a row's name: a clash only adds a candidate
-    short = F.conv(F.hex(F.substring("row", 1, 7)), 16, 10).cast("long")
-    once = described.filter("n > 0").select(short.alias("short"), "keys").dropDuplicates(["short"])
-    keyed = once.select("short", F.explode("keys").alias("key"))
-    centres = keyed.groupBy("key").agg(F.min("short").alias("centre"), F.max("short").alias("other"))
-    shared = centres.filter("centre <> other").select("key", "centre")
-    edges = keyed.join(shared, "key").select(F.col("short").alias("a"), F.col("centre").alias("b"))
-    candidates = components(edges)
-
-    sizes = candidates.groupBy("root").agg(F.count("*").alias("of"))
-    parts = candidates.join(sizes, "root").select(
+    described = materialise(per_row(frame, "text", _describe(settings), "n long, row binary"), "shingled")
+    short = F.conv(F.hex(F.substring("row", 1, 8)), 16, -10).cast("long")
+    near = candidates(frame.select("text"), settings)
+
+    sizes = near.groupBy("root").agg(F.count("*").alias("of"))
+    parts = near.join(sizes, "root").select(
         F.col("node").alias("short"), "root", F.ceil(F.col("of") / settings.rows).alias("n_parts")
     )
     ids = described.filter("n > 0").groupBy("row").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("f"))
@@ -237,6 +328,17 @@ def join_components(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     )
 
 
+def keep_one(docs: DataFrame, settings: Settings = Settings(shingle=5, percent=80)) -> DataFrame:
+    """The rows of `docs` whose id names their component, with all their columns.
+
+    Rows of one id stand or fall together; rows without an id stay where their
+    whole component has none.
+    """
+    found = join_components(docs, settings)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+
+
 def _incidence(found: DataFrame, settings: Settings) -> DataFrame:
     """The n-grams of candidate rows.  A row that shares its doc_id with another text is left to that text's own row."""
 
