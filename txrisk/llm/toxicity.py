@@ -16,6 +16,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,3 +195,20 @@ def classify(
         "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
     )
+
+
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds: int = 5, settings: Settings = Settings()
+) -> DataFrame:
+    """The rows of `docs` that the classifier does not reject, with all their columns."""
+    model = fit(docs, training_rows(labels, folds), settings)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                model.score(model.slots(terms(t.as_py() or "", settings.bits, settings.stems))) < threshold
+                for t in batch.column("text")
+            ]
+            yield batch.filter(pa.array(found, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
