@@ -32,7 +32,7 @@ def test_one_class_has_no_area(spark):
     assert none["roc_auc"] is None and none["pr_auc"] is None
 
 
-@pytest.mark.parametrize("scale", [Scale(), TINY, Scale(single_task_rows=1, max_buckets=4)])
+@pytest.mark.parametrize("scale", [Scale(), TINY, Scale(single_task_rows=1)])
 def test_cost_curve_by_hand(four, scale):
     curve = {r["n_flagged"]: r for r in R.cost_curve(four, scale=scale).collect()}
     assert sorted(curve) == [0, 1, 2, 3, 4]

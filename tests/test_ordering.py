@@ -36,11 +36,32 @@ def test_prefix_sums_with_heavy_ties(ties, descending, scale):
 
 def test_no_range_holds_the_hot_value_whole(ties):
     _, frame = ties
-    ranged = O._range_frame(frame, "s", "id", "r", None, TINY)
+    ranged = O._range_frame(frame, [F.col("s"), F.col("id")], "r", frame.count(), TINY)
     sizes = [r["count"] for r in ranged.groupBy("r").count().collect()]
     assert max(sizes) < 0.1 * frame.count()
 
 
+@pytest.mark.parametrize("kind", ["string", "long", "decimal(20,0)"])
+def test_ties_of_any_type(spark, kind):
+    """Ids beyond 2^53, and as text; both ways in the id's own order."""
+    frame = spark.range(600).select(
+        (F.lit(2**60) + F.col("id")).cast(kind).alias("id"), (F.col("id") % 3).cast("double").alias("s")
+    )
+    small, large = (
+        O.prefix_sums(frame, "s", {"k": F.lit(1)}, tie="id", descending=True, scale=scale).collect()
+        for scale in (Scale(), TINY)
+    )
+    assert {(r["id"], r["k"]) for r in small} == {(r["id"], r["k"]) for r in large}
+
+
+def test_quantiles_of_a_null_group(spark):
+    frame = spark.range(3000).select(
+        F.when(F.col("id") % 2 == 0, "a").alias("g"), F.sqrt("id").alias("v")
+    )
+    small, large = (O.exact_quantiles(frame, ["v"], [0.25, 0.5], by="g", scale=s) for s in (Scale(), TINY))
+    assert small == large and None in {g for g, _ in large}
+
+
 def test_all_rows_tied(spark):
     frame = spark.range(500).select("id", F.lit(0.5).alias("s"))
     got = O.prefix_sums(frame, "s", {"k": F.lit(1)}, tie="id", descending=True, scale=TINY)

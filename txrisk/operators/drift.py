@@ -136,7 +136,7 @@ def ks_by_period(
     reference and one per period, so the values are put in order once.
     """
     sizes = {r[0]: r[1] for r in current.groupBy(period).count().collect()}
-    periods = sorted(sizes)
+    periods = sorted(sizes, key=lambda p: (p is None, p))
     rows = reference.count() + sum(sizes.values())
     parts = []
     for first in range(0, len(periods), _PERIODS_AT_ONCE):
@@ -154,12 +154,12 @@ def _ks(reference, current, features, period, periods, rows, rules, scale):
     stacked = (
         reference.select(F.lit(-1).alias("side"), cells)
         .unionByName(
-            current.filter(F.col(period).isin(periods)).select(
-                (F.array_position(F.array(*[F.lit(p) for p in periods]), F.col(period)) - 1)
-                .cast("int")
-                .alias("side"),
+            current.select(
+                F.coalesce(
+                    *[F.when(F.col(period).eqNullSafe(F.lit(p)), i) for i, p in enumerate(periods)]
+                ).alias("side"),
                 cells,
-            )
+            ).filter("side is not null")
         )
         .filter("v is not null")
     )
@@ -193,9 +193,10 @@ def _ks(reference, current, features, period, periods, rows, rules, scale):
     enough = lambda m: (F.col(f"t_{m}") >= rules.min_rows) & (
         F.col("t_ref") >= rules.min_rows
     )
+    kind = current.schema[period].dataType
     per_period = [
         F.struct(
-            F.lit(p).alias("period"), F.when(enough(m), F.col(f"gap_{m}")).alias("ks")
+            F.lit(p).cast(kind).alias("period"), F.when(enough(m), F.col(f"gap_{m}")).alias("ks")
         )
         for p, m in zip(periods, names[1:])
     ]

@@ -114,13 +114,16 @@ def lookup_join(
     lookup_rows: int,
     share: str = "share",
     scale: Scale = SCALE,
+    salt: str | None = None,
 ) -> DataFrame:
     """Left join to a table of one row per label; unmatched labels give null.
 
     A table known to be small is broadcast.  A larger one is shuffled, but its
     frequent labels are not: those above ``hot_share`` number at most
     ``1/hot_share``, are served by a broadcast, and their fact rows are spread
-    over all tasks by a key that matches nothing on the other side.
+    over all tasks by a key that matches nothing on the other side.  That key
+    comes from the column ``salt`` alone (the first column by default: the id),
+    so columns that the result does not need are not read for it.
     """
     values = [c for c in lookup.columns if c != lookup_key]
     named = lookup.withColumnRenamed(lookup_key, key)
@@ -135,7 +138,7 @@ def lookup_join(
         F.struct(*values).alias("__cold"),
     )
     served = frame.join(F.broadcast(hot), key, "left")
-    elsewhere = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in frame.columns]), F.lit(100_003))
+    elsewhere = F.pmod(F.xxhash64(F.col(f"`{salt or frame.columns[0]}`")), F.lit(100_003))
     routed = served.withColumn(
         "__key",
         F.when(

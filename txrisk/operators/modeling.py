@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from txrisk.functions.scalar import decision, iso_date, usable
 from txrisk.operators.ordering import average_rank, exact_quantiles
 from txrisk.operators.ranking import Scored, evaluate_all, ranking_metrics
+from txrisk.session import materialise
 from txrisk.settings import (
     ABLATION_TOLERANCE,
     CV_FOLDS,
@@ -185,9 +186,10 @@ def compare_candidates(
         model = fit(candidate, train, features, names.label)
         copies = {c: f"__k_{c}" for c in keep}
         scored = score(candidate, model, valid, features, [], copies)
-        scored = scored.select(
-            *[F.col(k).alias(c) for c, k in copies.items()], F.col("score").alias(names.score)
-        ).persist()
+        scored = materialise(
+            scored.select(*[F.col(k).alias(c) for c, k in copies.items()], F.col("score").alias(names.score)),
+            "candidate-scores",
+        )
         row = evaluate_all(scored, names=names, scale=scale, **evaluation)
         table.append(row.select(F.lit(candidate.name).alias("model"), "*"))
     return reduce(DataFrame.unionByName, table).orderBy(F.desc("pr_auc"), "model")

@@ -1,16 +1,17 @@
 """Global-order building blocks that never put the whole order in one task.
 
-``prefix_sums`` cuts the sort key into value ranges, sums inside each range and
+``prefix_sums`` cuts the sort key into ranges, writes them, sums inside each range and
 adds the total of the ranges before it.  ``exact_quantiles`` brackets each
 quantile with a sketch and then counts exactly, so only the rows near the
-answer are shuffled.  In both, the range of a row depends on its values alone:
-a recomputed partition gives the same rows the same range.
+answer are shuffled.  A recomputed partition gives the same rows the same range.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -76,50 +77,18 @@ def count_sortable(frame: DataFrame, value: str) -> int:
     return stats["n"]
 
 
-def _range_frame(
-    frame: DataFrame, value: str, tie: str | None, bucket: str, rows: int | None, scale: Scale
-) -> DataFrame | None:
-    """Add a range number that follows ascending (value, tie); None if the
-    frame is small enough for one task per group."""
-    rows = count_sortable(frame, value) if rows is None else rows
-    buckets = min(scale.max_buckets, -(-rows // scale.single_task_rows))
-    if buckets <= 1:
-        return None
+def _range_frame(frame: DataFrame, order: Sequence[Column], out: str, rows: int, scale: Scale) -> DataFrame | None:
+    """Number ranges that follow ``order``; None if one task can hold the frame.
 
-    picked = frame.agg(_sketch(F.col(value), buckets).alias("q")).first()["q"]
-    repeats = {v: picked.count(v) for v in set(picked)} if tie else {}
-    hot = {v: n for v, n in repeats.items() if n > 1}
-    edges = sorted({*picked, *hot, *[_after(v) for v in hot]})
-    ranged = value_ranges(frame, value, edges, bucket)
-    if not hot:
-        return ranged
-
-    # One value holds several ranges' worth of rows: cut it again along the
-    # tie-break column, at that value's own quantiles.
-    hot_range = {edges.index(v) + 1: n for v, n in hot.items()}
-    span = frame.filter(F.col(value).isin(list(hot))).agg(
-        F.min(tie).cast("double").alias("lo"), F.max(tie).cast("double").alias("hi")
-    ).first()
-    width = (span["hi"] - span["lo"]) * (1 + 1e-9) + 1.0
-    share = (F.col(tie).cast("double") - F.lit(span["lo"])) / F.lit(width)
-    fine = max(hot.values()) + 1
-    cuts = (
-        ranged.filter(F.col(bucket).isin(list(hot_range)))
-        .groupBy(bucket)
-        .agg(_sketch(share, fine).alias("cuts"))
-        .collect()
-    )
-    inner = set(range(1, len(edges) + 1))
-    for row in cuts:
-        points = list(row["cuts"])
-        wanted = hot_range[row[bucket]]
-        inner |= {row[bucket] + p for p in points[:: max(1, len(points) // wanted)]}
-    placed = ranged.withColumn(
-        "__place",
-        F.col(bucket)
-        + F.when(F.col(bucket).isin(list(hot_range)), F.least(share, F.lit(1 - 1e-9))).otherwise(0.0),
-    )
-    return value_ranges(placed.drop(bucket), "__place", sorted(inner), bucket).drop("__place")
+    The frame is range-partitioned once and written with its partition number,
+    so every later read sees the same ranges; a value shared by very many rows is
+    cut along the columns after it, in their own order, whatever their types.
+    """
+    ranges = -(-rows // scale.single_task_rows)
+    if ranges <= 1:
+        return None
+    placed = frame.repartitionByRange(ranges, *order).withColumn(out, F.spark_partition_id())
+    return materialise(placed, "ranges").repartition(ranges, out)
 
 
 def prefix_sums(
@@ -136,12 +105,11 @@ def prefix_sums(
 ) -> DataFrame:
     """Inclusive running sums in the order of ``value`` (then ``tie`` ascending).
 
-    ``value`` must be a non-null double and ``tie`` a unique number; without
-    ``tie`` the (partition, value) pairs must be distinct.  ``rows`` is an upper
-    bound of the rows of a partition, if the caller knows one (and has checked
-    the values).  A ``costly`` frame that needs ranges is written out before it
-    is read several times.  One set of ranges serves all partitions: a partition's share of a range is
-    never larger than the range itself.
+    ``value`` must be a non-null double and ``tie`` unique, of any type that can
+    be ordered; without ``tie`` the (partition, value) pairs must be distinct.
+    ``rows`` is an upper bound of the rows of the frame, if the caller knows one
+    (and has checked the values).  A ``costly`` frame is written out before it
+    is counted.  One set of ranges serves all partitions.
     """
     keys = list(partition_by)
     if costly and rows is not None and rows > scale.single_task_rows:
@@ -151,13 +119,9 @@ def prefix_sums(
     order = [F.col(value).desc() if descending else F.col(value).asc()]
     if tie:
         order.append(F.col(tie).asc())
-    # With falling values the ties still rise, so ranges inside one value are
-    # built on the negated tie and numbered the same way as the values.
-    if tie and descending:
-        work = work.withColumn("__tie", -F.col(tie).cast("double"))
-    tie_key = "__tie" if tie and descending else tie
+    rows = count_sortable(work, value) if rows is None else rows
 
-    ranged = _range_frame(work, value, tie_key, "__range", rows, scale)
+    ranged = _range_frame(work, order, "__range", rows, scale)
     running = lambda w: [F.sum(f"__in_{n}").over(w).alias(n) for n in names]
     out = frame.columns + names
     if ranged is None:
@@ -173,13 +137,12 @@ def prefix_sums(
     totals = ranged.groupBy(*keys, "__range").agg(
         *[F.sum(f"__in_{n}").alias(f"__all_{n}") for n in names]
     )
-    along = F.col("__range").desc() if descending else F.col("__range").asc()
-    before = W.partitionBy(*keys).orderBy(along).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *keys, "__range", *[F.sum(f"__all_{n}").over(before).alias(f"__off_{n}") for n in names]
     )
     if not keys:
-        # One row per range: a few times ``max_buckets`` at most.
+        # One row per range: one for each ``single_task_rows`` rows.
         offsets = F.broadcast(offsets)
     joined = local.join(offsets, [*keys, "__range"])
     return joined.select(
@@ -274,6 +237,12 @@ def _ranked(work, columns, probs, by):
     return result
 
 
+def _null_safe(right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The right side and condition of a join on keys in which null equals null."""
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return named, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+
+
 def _bracketed(work, columns, probs, by, accuracy, everywhere):
     keys = [by] if by else []
     slack = 3.0 / accuracy
@@ -348,7 +317,7 @@ def _bracketed(work, columns, probs, by, accuracy, everywhere):
     )
     ranked = (
         tally.withColumn("cum", F.sum("n").over(inside))
-        .join(offsets, [*group, "range"])
+        .join(*_null_safe(offsets, [*group, "range"]))
         .withColumn("last", F.col("cum") + F.coalesce("off", F.lit(0)) - 1)
         .withColumn("first", F.col("last") - F.col("n") + 1)
     )
@@ -367,7 +336,7 @@ def _bracketed(work, columns, probs, by, accuracy, everywhere):
         small = spark.createDataFrame([w[1:] for w in wanted], schema)
     # groups x columns x probabilities rows
     hits = (
-        ranked.join(F.broadcast(small), group)
+        ranked.join(*_null_safe(F.broadcast(small), group))
         .groupBy(*group, "j")
         .agg(
             F.max(F.when(F.col("lo").between(F.col("first"), F.col("last")), F.col("v"))).alias("a"),

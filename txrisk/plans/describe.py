@@ -21,6 +21,7 @@ from txrisk.plans.inputs import (
 )
 from txrisk.plans.registry import query, rounded
 from txrisk.session import materialise
+from txrisk.settings import Scale
 from txrisk.sources import tables
 from txrisk.sources.tables import read_table
 
@@ -221,10 +222,10 @@ def column_profile(spark, sf):
     f"""WITH {_PROFILE} SELECT "column", family, missing_pct,
           (SELECT count(*) FROM prof WHERE missing_pct = 0) AS columns_complete,
           (SELECT count(*) FROM prof WHERE missing_pct > 90) AS columns_nearly_empty
-        FROM prof ORDER BY missing_pct DESC, "column" LIMIT 6""",
+        FROM prof ORDER BY missing_pct DESC, "column" LIMIT 25""",
 )
 def missing_profile(spark, sf):
-    return profile.missing_profile(_profile(spark, sf), 6)
+    return profile.missing_profile(_profile(spark, sf), 25)
 
 
 @query(
@@ -478,3 +479,21 @@ def quantile_edges(spark, sf):
     )
     rows = [(c, i, v) for (_, c), vs in found.items() for i, v in enumerate(vs)]
     return rounded(spark.createDataFrame(rows, "feature string, place long, edge double"))
+
+
+@query(
+    "quantiles_by_nullable_group",
+    """WITH g AS (SELECT CASE WHEN l_returnflag <> 'R' THEN l_returnflag END AS flag, l_quantity, l_extendedprice FROM lineitem)
+    SELECT flag, 'l_quantity' AS feature, round(quantile_cont(l_quantity, 0.3), 6) AS p30,
+      round(quantile_cont(l_quantity, 0.9), 6) AS p90 FROM g GROUP BY flag
+    UNION ALL SELECT flag, 'l_extendedprice', round(quantile_cont(l_extendedprice, 0.3), 6),
+      round(quantile_cont(l_extendedprice, 0.9), 6) FROM g GROUP BY flag""",
+)
+def quantiles_by_nullable_group(spark, sf):
+    """Quantiles of groups, one of which has no name, in the distributed way."""
+    columns = ["l_quantity", "l_extendedprice"]
+    lines = read_table(spark, sf, "lineitem", ["l_returnflag", *columns])
+    frame = lines.select(F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("flag"), *columns)
+    found = ordering.exact_quantiles(frame, columns, [0.3, 0.9], by="flag", scale=Scale(single_task_rows=1000))
+    rows = [(g, c, *vs) for (g, c), vs in found.items()]
+    return rounded(spark.createDataFrame(rows, "flag string, feature string, p30 double, p90 double"))

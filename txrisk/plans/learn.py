@@ -12,7 +12,7 @@ from txrisk.operators.ranking import Scored
 from txrisk.plans.inputs import ENRICHED, FACTS, enriched, facts, scored
 from txrisk.plans.registry import mean_rounded, mean_rounded_sql, query, rounded
 from txrisk.session import materialise, scratch_path
-from txrisk.sources.tables import plain_times, read_table
+from txrisk.sources.tables import json_to_columns, plain_times, read_table
 from txrisk.streaming import scoring as S
 
 NAMES = Scored("id", "score", "label", "amount")
@@ -99,13 +99,14 @@ def group_agg_map(spark, sf):
     "category_encode",
     f"""WITH {_SPLIT}, m AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code
           FROM (SELECT DISTINCT {_CARD} || '_' || {_ADDR} AS label FROM train))
-        SELECT id, coalesce(code, -1) AS code FROM valid LEFT JOIN m ON m.label = {_CARD} || '_' || {_ADDR}""",
+        SELECT id, coalesce(code, -1) AS code FROM enriched LEFT JOIN m ON m.label = {_CARD} || '_' || {_ADDR}""",
 )
 def category_encode(spark, sf):
-    train, valid = _split(spark, sf)
+    every = enriched(spark, sf)
+    train, _ = _halves(every)
     pair = lambda t: X.join_labels(X.label_of(t, "card"), X.label_of(t, "addr"))
     codes = E.category_map(train, pair(train))
-    work = valid.select("id", pair(valid).alias("label_text"))
+    work = every.select("id", pair(every).alias("label_text"))
     out = E.encode_category(work, "label_text", codes, codes.count(), "pair_code")
     return out.select("id", F.col("pair_code").alias("code"))
 
@@ -113,12 +114,13 @@ def category_encode(spark, sf):
 @query(
     "frequency_encode",
     f"""WITH {_SPLIT}, m AS (SELECT {_CARD} AS label, count(*) / CAST((SELECT count(*) FROM train) AS DOUBLE) AS share FROM train GROUP BY 1)
-        SELECT id, round(coalesce(share, 0), 6) AS freq FROM valid LEFT JOIN m ON m.label = {_CARD}""",
+        SELECT id, round(coalesce(share, 0), 6) AS freq FROM enriched LEFT JOIN m ON m.label = {_CARD}""",
 )
 def frequency_encode(spark, sf):
-    train, valid = _split(spark, sf)
+    every = enriched(spark, sf)
+    train, _ = _halves(every)
     shares = E.frequency_map(train, X.label_of(train, "card"))
-    work = valid.select("id", X.label_of(valid, "card").alias("card_label"))
+    work = every.select("id", X.label_of(every, "card").alias("card_label"))
     out = E.encode_frequency(work, "card_label", shares, shares.count(), "freq")
     return rounded(out.select("id", "freq"))
 
@@ -127,12 +129,13 @@ def frequency_encode(spark, sf):
     "group_agg_encode",
     f"""WITH {_SPLIT}, m AS (SELECT {_CARD} AS label, avg(amount) AS mean, stddev_samp(amount) AS std FROM train GROUP BY 1)
         SELECT id, {mean_rounded_sql('mean')} AS amount_mean_by_card, round(std, 4) AS amount_std_by_card,
-          round(amount / nullif(mean, 0), 6) AS amount_ratio_to_card_mean FROM valid LEFT JOIN m ON m.label = {_CARD}""",
+          round(amount / nullif(mean, 0), 6) AS amount_ratio_to_card_mean FROM enriched LEFT JOIN m ON m.label = {_CARD}""",
 )
 def group_agg_encode(spark, sf):
-    train, valid = _split(spark, sf)
+    every = enriched(spark, sf)
+    train, _ = _halves(every)
     stats = E.group_aggregate_map(train, X.label_of(train, "card"), "amount")
-    work = valid.select("id", "amount", X.label_of(valid, "card").alias("card_label"))
+    work = every.select("id", "amount", X.label_of(every, "card").alias("card_label"))
     joined = E.lookup_join(work, "card_label", stats, "label", stats.count())
     return joined.select(
         "id",
@@ -235,14 +238,15 @@ def _manifest_sql() -> str:
     return f"{_ENCODED} {body}"
 
 
-@query("encode_transform", f"{_ENCODED} SELECT * FROM enc_valid")
+@query("encode_transform", f"{_ENCODED} SELECT * FROM enc_train UNION ALL SELECT * FROM enc_valid")
 def encode_transform(spark, sf):
-    _, _, valid = _encoded(spark, sf)
+    _, train, valid = _encoded(spark, sf)
+    every = train.unionByName(valid)
     return rounded(
-        valid.withColumns(
+        every.withColumns(
             {
                 c: mean_rounded(c) if "_mean_by_" in c else F.round(c, 4)
-                for c in valid.columns
+                for c in every.columns
                 if "_by_" in c or "_to_" in c or c in ("amount_log", "b_discount")
             }
         )
@@ -321,7 +325,7 @@ def _model_split(spark, sf):
 
 
 def _logistic():
-    return M.logistic_candidate("label", max_iter=20)
+    return M.logistic_candidate("label")
 
 
 @query("logistic_scores")
@@ -334,14 +338,14 @@ def logistic_scores(spark, sf):
 @query("gbt_scores")
 def gbt_scores(spark, sf):
     train, valid = _model_split(spark, sf)
-    trees = M.boosted_candidate("label", rounds=3, depth=3)
+    trees = M.boosted_candidate("label")
     return M.score(trees, M.fit(trees, train, _FEATURES, "label"), valid, _FEATURES, ["id", "label"])
 
 
 @query("candidate_comparison")
 def candidate_comparison(spark, sf):
     train, valid = _model_split(spark, sf)
-    trees = M.boosted_candidate("label", "boosted", rounds=2, depth=3)
+    trees = M.boosted_candidate("label", "boosted")
     return M.compare_candidates([_logistic(), trees], train, valid, _FEATURES, NAMES)
 
 
@@ -468,7 +472,7 @@ def stream_scores_equal_batch(spark, sf):
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"),
     )
     encoder = E.RiskEncoder(_ONLINE).fit(train)
-    features = [c for c in encoder.feature_names if c not in ("hour",)]
+    features = [*encoder.feature_names]
     candidate = _logistic()
     model = M.fit(candidate, encoder.transform(train), features, "label")
     scorer = S.Scorer(
@@ -486,16 +490,68 @@ def stream_scores_equal_batch(spark, sf):
     )
 
 
+def _odd_records(orders):
+    """Records as clients send them: one in five lacks a field, is no JSON, or quotes its numbers."""
+    kind = F.col("o_orderkey") % 5
+    fields = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", F.unix_timestamp("o_orderdate").alias("sec")]
+    quoted = F.struct(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"),
+        F.concat(F.col("o_custkey").cast("string"), F.lit(".0")).alias("o_custkey"),
+        F.col("o_totalprice").cast("string").alias("o_totalprice"),
+        F.unix_timestamp("o_orderdate").cast("double").alias("sec"),
+        F.lit("x").alias("surprise"),
+    )
+    return orders.select(
+        F.when(kind == 1, F.to_json(F.struct("o_orderkey", "o_custkey")))
+        .when(kind == 2, F.concat(F.lit("order "), F.col("o_orderkey").cast("string")))
+        .when(kind == 3, F.to_json(quoted))
+        .otherwise(F.to_json(F.struct(*fields)))
+        .alias("record")
+    )
+
+
+@query(
+    "parse_or_refuse",
+    """SELECT o_orderkey % 5 AS kind, count(*) AS sent, count(*) FILTER (WHERE o_orderkey % 5 NOT IN (1, 2)) AS parsed,
+         count(*) FILTER (WHERE o_orderkey % 5 IN (1, 2)) AS refused,
+         CASE WHEN o_orderkey % 5 NOT IN (1, 2) THEN CAST(sum(o_custkey) AS BIGINT) END AS customers,
+         CASE o_orderkey % 5 WHEN 1 THEN 'o_totalprice,sec' WHEN 2 THEN 'o_custkey,o_orderkey,o_totalprice,sec' END AS missing
+       FROM orders GROUP BY 1""",
+)
+def parse_or_refuse(spark, sf):
+    """Parsed and refused records together are all that were sent."""
+    records = _odd_records(read_table(spark, sf, "orders"))
+    required = ["o_orderkey", "sec", "o_totalprice", "o_custkey"]
+    parsed, _ = S.quarantine(json_to_columns(records, "record", _RECORD), required)
+    refused = S.refused_records(records, "record", _RECORD, required)
+    key = F.regexp_extract("record", r"(\d+)", 1).cast("long")
+    both = parsed.select((F.col("o_orderkey") % 5).alias("kind"), "o_custkey", F.lit(None).alias("missing")).unionByName(
+        refused.select(
+            (key % 5).alias("kind"),
+            F.lit(None).cast("long").alias("o_custkey"),
+            F.concat_ws(",", F.array_sort("missing_fields")).alias("missing"),
+        )
+    )
+    return both.groupBy("kind").agg(
+        F.count("*").alias("sent"),
+        F.count("o_custkey").alias("parsed"),
+        F.count("missing").alias("refused"),
+        F.sum("o_custkey").alias("customers"),
+        F.max("missing").alias("missing"),
+    )
+
+
 @query(
     "stream_alert_rate",
-    """WITH w AS (SELECT strftime(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS window_start, count(*) AS rows,
-         count(*) FILTER (WHERE value >= 45) AS alerts FROM events
-         WHERE time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1)
+    """WITH b AS (SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS s, value FROM events),
+       w AS (SELECT strftime(s, '%Y-%m-%d') AS window_start, count(*) AS rows, count(*) FILTER (WHERE value >= 45) AS alerts,
+         max(s) + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS final FROM b GROUP BY 1)
        SELECT window_start, rows, alerts, round(alerts / CAST(rows AS DOUBLE), 6) AS alert_rate,
-         round(alerts / CAST(rows AS DOUBLE) / CAST(0.02 AS DOUBLE), 6) AS alert_rate_ratio FROM w""",
+         round(alerts / CAST(rows AS DOUBLE) / CAST(0.02 AS DOUBLE), 6) AS alert_rate_ratio, final FROM w""",
 )
 def stream_alert_rate(spark, sf):
-    schema = plain_times(read_table(spark, sf, "events").schema)
-    stream = S.read_stream(spark, sf, "events.parquet", schema).select("ts", "value")
-    volume = S.stream_alert_volume(stream, "ts", "value", 45.0, 0.02)
-    return rounded(spark.read.parquet(S.run_to_table(volume, "alerts")))
+    events = read_table(spark, sf, "events", ["ts", "value"])
+    stream = S.read_stream(spark, sf, "events.parquet", plain_times(read_table(spark, sf, "events").schema))
+    volume = S.stream_alert_volume(stream.select("ts", "value"), "ts", "value", 45.0, 0.02)
+    closed = spark.read.parquet(S.run_to_table(volume, "alerts"))
+    return rounded(S.with_open_windows(closed, events, "ts", "value", 45.0, 0.02))

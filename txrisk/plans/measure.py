@@ -20,7 +20,7 @@ from txrisk.plans.inputs import (
     scored,
 )
 from txrisk.plans.registry import query, rounded
-from txrisk.settings import DriftRules, PeriodRules
+from txrisk.settings import DriftRules, PeriodRules, Scale
 
 RATES = [0.005, 0.01, 0.02, 0.05]
 _CUTS = """cuts(review_rate) AS (VALUES (CAST(0.005 AS DOUBLE)), (CAST(0.01 AS DOUBLE)),
@@ -90,6 +90,16 @@ def cost_curve(spark, sf):
     return _rounded_money(R.cost_curve(scored(spark, sf)))
 
 
+_TEXT_IDS = CURVE.replace("SELECT event_id AS id", "SELECT CAST(event_id AS VARCHAR) AS id")
+
+
+@query("cost_curve_text_ids", f"WITH {_TEXT_IDS} SELECT {_CURVE_COLUMNS} FROM curve")
+def cost_curve_text_ids(spark, sf):
+    """Ids that are text, and so many ranges that each holds a few rows."""
+    frame = scored(spark, sf).withColumn("id", F.col("id").cast("string"))
+    return _rounded_money(R.cost_curve(frame, scale=Scale(single_task_rows=2000)))
+
+
 @query("curve_thin", f"WITH {CURVE} SELECT {_CURVE_COLUMNS} FROM curve WHERE n_flagged % (SELECT CASE WHEN count(*) <= 2000 THEN 1 ELSE count(*) // 2000 END FROM curve) = 0")
 def curve_thin(spark, sf):
     frame = scored(spark, sf)
@@ -397,11 +407,11 @@ def drift_verdict(spark, sf):
 @query(
     "top_drift",
     f"""WITH {_DRIFT} SELECT period, feature, round(psi, 6) AS psi, round(missing_reference, 6) AS missing_reference, round(missing_current, 6) AS missing_current
-        FROM psi WHERE rows_current >= 500 ORDER BY psi.psi DESC NULLS LAST, feature, period LIMIT 6""",
+        FROM psi WHERE rows_current >= 500 ORDER BY psi.psi DESC NULLS LAST, feature, period LIMIT 20""",
 )
 def top_drift(spark, sf):
     drift = _psi(spark, sf).withColumn("low_confidence", F.col("rows_current") < 500)
-    return rounded(D.top_drift(drift, 6))
+    return rounded(D.top_drift(drift, 20))
 
 
 @query(
@@ -410,4 +420,6 @@ def top_drift(spark, sf):
         FROM psi GROUP BY feature""",
 )
 def psi_grid(spark, sf):
-    return rounded(D.psi_grid(_psi(spark, sf), _importance(spark), ["1999", "2000", "2001"]))
+    drift = _psi(spark, sf)
+    periods = sorted(r[0] for r in drift.select("period").distinct().collect())  # one row per period
+    return rounded(D.psi_grid(drift, _importance(spark), periods))

@@ -18,7 +18,7 @@ from txrisk.operators import encoding as E
 from txrisk.operators import joins, modeling, profile
 from txrisk.operators import ranking as R
 from txrisk.session import materialise
-from txrisk.settings import HEADLINE_REVIEW_RATES, REVIEW_CAPACITY, SCALE, DriftRules, PeriodRules, Scale
+from txrisk.settings import HEADLINE_REVIEW_RATES, REVIEW_CAPACITY, SCALE, TRAIN, VALID, DriftRules, PeriodRules, Scale
 from txrisk.sources import tables, typing
 
 # Columns whose type is given rather than found.
@@ -84,12 +84,12 @@ def build_features(
 ) -> E.RiskEncoderModel:
     """Split by time, fit on the earlier part, encode everything, check it."""
     spark = train.sparkSession
-    labelled, _ = E.time_split(train, spec.time, scale=scale)
+    labelled, boundary = E.time_split(train, spec.time, scale=scale)
     early = labelled.filter("split = 'train'").drop("split")
     model = E.RiskEncoder(spec, scale=scale).fit(early)
     model.save(f"{out}/encoder")
-    split = labelled.select(spec.id, "split")
-    encoded = model.transform(train).join(split, spec.id)
+    part = F.when(F.col(spec.time) <= F.lit(boundary), TRAIN).otherwise(VALID)
+    encoded = model.transform(train).withColumn("split", part)
     tables.write_parquet(encoded, f"{out}/features", ["split"])
     tables.write_parquet(model.transform(test), f"{out}/features_test")
     features, unseen = spark.read.parquet(f"{out}/features"), spark.read.parquet(f"{out}/features_test")

@@ -48,8 +48,20 @@ def scratch_root(spark: SparkSession) -> str:
     return folder
 
 
+def run_root(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder; call it once
+    its results are stored elsewhere."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialise(frame: DataFrame, name: str) -> DataFrame:

@@ -87,7 +87,6 @@ class Scale:
     single_task_rows: int = 200_000
     broadcast_rows: int = 200_000
     hot_share: float = 0.001
-    max_buckets: int = 4096
     unpivot_columns: int = 50
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,13 +72,32 @@ def block_members(blocks: DataFrame, column: str = "columns") -> DataFrame:
     return blocks.withColumn(column, F.filter(names, lambda n: n != ""))
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
 def json_to_columns(frame: DataFrame, column: str, schema: T.StructType) -> DataFrame:
     """Records of free form to one column per known field: absent fields are
-    null, unknown ones are dropped, text stays text."""
+    null, unknown ones are dropped, text stays text.
+
+    Every field is read as text first, so numbers may come quoted and whole
+    numbers with a fraction of zero; what cannot be read is null.
+    """
     kept = [c for c in frame.columns if c != column]
-    parsed = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"})
+    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    parsed = F.from_json(F.col(column), raw, {"mode": "PERMISSIVE"})
+
+    def typed(field: T.StructField) -> Column:
+        text = F.col(f"__r.`{field.name}`")
+        if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            return F.from_json(text, field.dataType)
+        if isinstance(field.dataType, _WHOLE):
+            number = text.try_cast("double")
+            rounded = F.when(number == F.floor(number), number.cast("decimal(38,0)")).try_cast(field.dataType)
+            return F.coalesce(text.try_cast(field.dataType), rounded)
+        return text.try_cast(field.dataType)
+
     return frame.select(*kept, parsed.alias("__r")).select(
-        *kept, *[F.col(f"__r.`{f.name}`").alias(f.name) for f in schema.fields]
+        *kept, *[typed(f).alias(f.name) for f in schema.fields]
     )
 
 

@@ -45,7 +45,10 @@ def quarantine(frame: DataFrame, required: Sequence[str]) -> tuple[DataFrame, Da
 
 
 def score_records(records: DataFrame, column: str, scorer: Scorer) -> DataFrame:
-    """JSON text in, (id, score, decision) out; for a table or a stream."""
+    """JSON text in, (id, score, decision) out; for a table or a stream.
+
+    Records that lack a required field are left to ``refused_records``.
+    """
     typed = json_to_columns(records.select(column), column, scorer.schema)
     valid, _ = quarantine(typed, scorer.required)
     encoded = scorer.encoder.transform(valid)
@@ -54,6 +57,18 @@ def score_records(records: DataFrame, column: str, scorer: Scorer) -> DataFrame:
     return scored.withColumn("decision", decision("score", scorer.threshold))
 
 
+def refused_records(
+    records: DataFrame, column: str, schema: T.StructType, required: Sequence[str]
+) -> DataFrame:
+    """The records, as they came, that cannot be scored, with the fields they
+    lack (all required ones for text that is no JSON); for a table or a stream.
+    Scored and refused rows together are the rows of ``records``."""
+    kept = records.select(F.col(column), F.col(column).alias("__record"))
+    typed = json_to_columns(kept, column, schema)
+    _, refused = quarantine(typed, required)
+    return refused.select(F.col("__record").alias(column), "missing_fields")
+
+
 def read_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
     """A folder of Parquet files as a stream, new files as they arrive."""
     return (
@@ -105,3 +120,18 @@ def stream_alert_volume(
     end, and rows later than that are dropped."""
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
     return alert_volume(timed, ts, score_column, threshold, expected_rate, window)
+
+
+def with_open_windows(
+    closed: DataFrame, events: DataFrame, ts: str, score_column: str, threshold: float, expected_rate: float,
+    window: str = "7 days",
+) -> DataFrame:
+    """The windows a stream has closed, and from ``events`` those still open when
+    its input ended; ``final`` tells them apart.  Only rows after the last closed
+    window are read for that."""
+    last = closed.agg(F.max("window_start")).first()[0]
+    if last is not None:
+        end = F.to_timestamp(F.lit(last)) + F.expr(f"interval {window}")
+        events = events.filter(F.col(ts) >= end)
+    open_ = alert_volume(events, ts, score_column, threshold, expected_rate, window)
+    return closed.withColumn("final", F.lit(True)).unionByName(open_.withColumn("final", F.lit(False)))
