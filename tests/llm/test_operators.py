@@ -226,12 +226,12 @@ def test_pages(spark):
             f"<div class='ad'>Buy {i}</div>{body}<div class=\"comments\"><p>first!</p></div><footer>&copy; x</footer></body>"
         )
 
-    rows = [(i, "http://a.example/x", page(i, f"<article><h1>Head {i}</h1><p>One &amp; <b>tw</b>o<br>three<script>var t='</p>';</script></p></article>")) for i in range(12)]
+    rows = [(i, "http://a.example/x", page(i, f"<article><h1>Head {i}</h1><p>One {i} &amp; <b>tw</b>o<br>three {i}<script>var t='</p>';</script></p></article>")) for i in range(12)]
     rows += [(i, "http://b.example/y", page(i, f"<div id='content'><p>Text number {i} is long enough.</p></div>")) for i in range(20, 32)]
     rows += [(40, None, None), (41, "", ""), (42, "http://c.example", "plain &lt;text"), (43, "http://c.example", "<nav>x</nav")]
     frame = spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, html string, host string")
     got = {r["page_id"]: r for r in html.extract(frame).collect()}
-    assert got[3]["text"] == "Head 3 One & two three" and got[3]["n_chars"] == 22
+    assert got[3]["text"] == "Head 3 One 3 & two three 3" and got[3]["n_chars"] == 26
     assert got[25]["text"] == "Text number 25 is long enough."
     assert got[40]["text"] == got[41]["text"] == "" and got[42]["text"] == "plain <text"
     assert len(got) == len(rows)

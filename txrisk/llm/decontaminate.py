@@ -18,7 +18,9 @@ from txrisk.llm.common import texts
 
 @dataclass(frozen=True)
 class Settings:
-    """An alignment is a leak if `window` consecutive words (the item's, if it has
+    """The first three masks also pass over every third, fourth or fifth word.
+
+    An alignment is a leak if `window` consecutive words (the item's, if it has
     fewer) agree to `share`, or the whole item agrees to `item_share`.
 
     Items with fewer words than the shortest mask cannot be told from chance and
@@ -26,7 +28,7 @@ class Settings:
     are broadcast; more are joined by a shuffle.
     """
 
-    masks: tuple[str, ...] = ("11011011", "1011001011", "110010011001")
+    masks: tuple[str, ...] = ("11011011", "1110111", "1111011", "110010011001")
     window: int = 13
     share: float = 0.8
     item_share: float = 0.5
@@ -94,12 +96,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     else:
         met = ours.drop("words").join(theirs.drop("item_words"), ["mask", "seed"])
         places = met.select("doc_id", "text_key", "item_id", shift).distinct()
-        same = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_key") == F.col("k.text_key"))
-        once = keyed.dropDuplicates(["doc_id", "text_key"]).alias("k")
+        same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_key") == F.col("k_key"))
+        once = keyed.dropDuplicates(["doc_id", "text_key"]).select(
+            F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key"), "words"
+        )
         hits = (
             places.join(items.distinct().withColumnRenamed("words", "item_words"), "item_id")
             .join(once, same)
-            .select(places["doc_id"], places["text_key"], "item_id", "item_words", "words", "shift")
+            .select("doc_id", "text_key", "item_id", "item_words", "words", "shift")
         )
     compared = _compare(hits, settings).groupBy(*place).agg(
         F.max("marks").alias("marks"), F.max("from_word").alias("from_word")

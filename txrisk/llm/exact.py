@@ -144,7 +144,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "dedup-input")
     docs.write.parquet(path)
-    stay = deduplicate(spark, path).filter("kept").select(F.col("file").alias("f"), F.col("row").alias("r"))
-    every = spark.read.parquet(path)
-    at = [F.col("_metadata.file_path") == F.col("f"), F.col("_metadata.row_index") == F.col("r")]
-    return every.join(stay, at, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = deduplicate(spark, path).filter("kept").select(F.col("file").alias("__f"), F.col("row").alias("__r"))
+    place = {"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
+    every = spark.read.parquet(path).withColumns(place)
+    at = [F.col("__file") == F.col("__f"), F.col("__row") == F.col("__r")]
+    return every.join(stay, at, "left_semi").drop("__file", "__row")
