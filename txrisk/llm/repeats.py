@@ -126,13 +126,18 @@ def _anchored(units: Units):
                 ]
                 owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), pa.int64())
                 first, last, anchor, content = (np.concatenate([f[i] for f in found]) for i in range(4))
+                doc, tag = piece.column("doc").take(owner), piece.column("tag").take(owner)
+                # a run that repeats an earlier one of the same piece is decided here
+                order = np.lexsort([first, tag.to_numpy(), doc.to_numpy(), content, anchor])
+                spread = np.zeros(len(order), dtype=np.int64)
+                again = (anchor[order][1:] == anchor[order][:-1]) & (content[order][1:] == content[order][:-1])
+                spread[order[1:][again]] = first[order[1:][again]] + 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column("doc").take(owner), piece.column("tag").take(owner),
-                        pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
-                        pa.array(anchor.astype(np.int64)), pa.array(content.astype(np.int64)),
+                        doc, tag, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+                        pa.array(anchor.astype(np.int64)), pa.array(content.astype(np.int64)), pa.array(spread),
                     ],
-                    names=["doc", "tag", "first", "last", "anchor", "content"],
+                    names=["doc", "tag", "first", "last", "anchor", "content", "spread"],
                 )
 
     return run
@@ -158,18 +163,21 @@ def marked(rows: DataFrame, units: Units) -> DataFrame:
     """For each text with repeats: doc, tag, runs (first, last, anchor, whole, hot).
 
     `whole` runs repeat earlier as they are; the others share their anchor with other content.
+    Of equal runs each task sends one to their anchor; the rest, known to be whole, are spread.
     """
     found = rows.mapInArrow(
-        _anchored(units), "doc long, tag int, first int, last int, anchor long, content long"
+        _anchored(units), "doc long, tag int, first int, last int, anchor long, content long, spread long"
     )
-    same = Window.partitionBy("anchor")
-    order = Window.partitionBy("anchor", "content").orderBy("doc", "tag", "first")
+    known = F.col("spread") != 0
+    found = found.withColumn("part", F.when(known, F.xxhash64("doc", "spread")).otherwise(0))
+    same = Window.partitionBy("anchor", "part")
+    order = Window.partitionBy("anchor", "part", "content").orderBy("doc", "tag", "first")
     judged = (
         found.withColumn("place", F.row_number().over(order))
         .withColumn("rows", F.count("*").over(same))
-        .filter("rows > 1")
+        .filter((F.col("rows") > 1) | known)
         .withColumn("mixed", F.min("content").over(same) != F.max("content").over(same))
-        .withColumn("whole", F.col("place") > 1)
+        .withColumn("whole", (F.col("place") > 1) | known)
         .filter("whole OR mixed")
     )
     run = F.struct("first", "last", "anchor", "whole", (F.col("rows") > units.hot).alias("hot"))
