@@ -237,10 +237,11 @@ def _ranked(work, columns, probs, by):
     return result
 
 
-def _null_safe(right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
-    """The right side and condition of a join on keys in which null equals null."""
-    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    return named, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A join on keys in which null equals null; the keys come from the left."""
+    other = {k: f"__{k}" for k in keys}
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()])
+    return left.join(right.withColumnsRenamed(other), same).drop(*other.values())
 
 
 def _bracketed(work, columns, probs, by, accuracy, everywhere):
@@ -316,8 +317,7 @@ def _bracketed(work, columns, probs, by, accuracy, everywhere):
         W.partitionBy(*group, "range").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     ranked = (
-        tally.withColumn("cum", F.sum("n").over(inside))
-        .join(*_null_safe(offsets, [*group, "range"]))
+        _null_safe_join(tally.withColumn("cum", F.sum("n").over(inside)), offsets, [*group, "range"])
         .withColumn("last", F.col("cum") + F.coalesce("off", F.lit(0)) - 1)
         .withColumn("first", F.col("last") - F.col("n") + 1)
     )
@@ -336,7 +336,7 @@ def _bracketed(work, columns, probs, by, accuracy, everywhere):
         small = spark.createDataFrame([w[1:] for w in wanted], schema)
     # groups x columns x probabilities rows
     hits = (
-        ranked.join(*_null_safe(F.broadcast(small), group))
+        _null_safe_join(ranked, F.broadcast(small), group)
         .groupBy(*group, "j")
         .agg(
             F.max(F.when(F.col("lo").between(F.col("first"), F.col("last")), F.col("v"))).alias("a"),
