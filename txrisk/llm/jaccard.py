@@ -26,8 +26,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from txrisk.llm.common import per_row, texts
 from txrisk.llm.graph import components
@@ -41,8 +43,8 @@ class Settings:
     """Sets link if 100 * overlap >= percent * union.
 
     `growth` is the ratio of the size classes that share a cut into column
-    blocks, `spare` the blocks beyond the bound (so that an empty block need not
-    count as agreement), `rows` and `columns` the blocks of the product.
+    blocks, `spare` the blocks beyond the bound (at least so many, and
+    one for each `spare_part`) that let a row pass over its most frequent keys, `rows` and `columns` the blocks of the product.
     Block keys meet in buckets, one for each `bucket_chars` of text.
     """
 
@@ -50,6 +52,7 @@ class Settings:
     percent: int = 90
     growth: float = 1.25
     spare: int = 2
+    spare_part: int = 10
     rows: int = 256
     columns: int = 4096
     bucket_chars: int = 8_000_000
@@ -100,9 +103,9 @@ def shingles(text: str, size: int) -> np.ndarray:
 
 
 def size_classes(most: int, settings: Settings) -> np.ndarray:
-    """Lower ends of the size classes, to two classes beyond that of `most`."""
+    """Lower ends of the size classes, to beyond that of the largest row that can link to one of `most`."""
     ends = [1]
-    while ends[-1] <= most * settings.growth**3 + 2:
+    while ends[-1] <= most * 100 / settings.percent * settings.growth**2 + 2:
         ends.append(max(ends[-1] + 1, int(ends[-1] * settings.growth)))
     return np.array(ends)
 
@@ -112,36 +115,48 @@ def most_apart(size: int, settings: Settings) -> int:
     return size * (100 - settings.percent) // settings.percent
 
 
-def block_keys(found: np.ndarray, ends: np.ndarray, settings: Settings) -> np.ndarray:
-    """Hashes of a row's column blocks, cut as for its own size class and for each larger one that may hold a linked row."""
+def block_keys(found: np.ndarray, ends: np.ndarray, settings: Settings) -> tuple[np.ndarray, list[int]]:
+    """Hashes of a row's column blocks, and how many of each cut may be passed over.
+
+    A row is cut as for its own size class and for each larger one that may hold a linked row; the lowest
+    byte of a key is the size class of the cut.  Linked rows agree in all but `most_apart` blocks of a cut.  Of
+    the filled ones among these a row may pass over all but one, the same (most
+    frequent) ones in every row.
+    """
     n = len(found)
     if not n:
-        return np.zeros(0, dtype=U)
+        return np.zeros(0, dtype=U), []
     kind = int(np.searchsorted(ends, n, side="right")) - 1
     place, value = mixed(found ^ U(0x5851F42D4C957F2D)), mixed(found + U(0x14057B7EF767814F))
-    keys = []
+    keys, spare = [], []
     while True:
-        blocks = most_apart(int(ends[kind + 1]) - 1, settings) + 1 + settings.spare
+        least = most_apart(int(ends[kind + 1]) - 1, settings) + 1
+        blocks = least + max(settings.spare, least // settings.spare_part)
         block = place % U(blocks)
         order = np.argsort(block, kind="stable")
         filled, first = np.unique(block[order], return_index=True)
-        key = mixed(mixed(filled + U(kind << 32)) ^ np.add.reduceat(value[order], first))
-        keys.append(key)
-        # linked rows agree in at least blocks - apart blocks, so in a filled one if fewer are empty
-        if blocks - len(filled) >= blocks - most_apart(n, settings):
+        salt = U(kind << 32)
+        made = mixed(mixed(filled + salt) ^ np.add.reduceat(value[order], first))
+        agree = len(filled) - most_apart(n, settings)
+        if agree < 1:  # agreement may lie in empty blocks alone: they count, and none is passed over
             empty = np.setdiff1d(np.arange(blocks, dtype=U), filled)
-            keys.append(mixed(mixed(empty + U(kind << 32))))
+            made = np.concatenate([made, mixed(mixed(empty + salt))])
+        keys.append(made & ~U(0xFF) | U(kind & 0xFF))
+        spare.append(max(agree - 1, 0))
         kind += 1
         if 100 * n < settings.percent * int(ends[kind]):
-            return np.concatenate(keys)
+            return np.concatenate(keys), spare
 
 
 def _describe(settings: Settings):
     def run(found: list[str]) -> dict[str, list]:
         sets = [shingles(t, settings.shingle) for t in found]
+        ends = size_classes(max(map(len, sets), default=0), settings)
         return {
             "n": pa.array([len(s) for s in sets], pa.int64()),
             "row": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+            "own": pa.array([int(np.searchsorted(ends, len(s), side="right")) - 1 for s in sets], pa.int32()),
+            "spare": pa.array([block_keys(s, ends, settings)[1] for s in sets], pa.list_(pa.int32())),
         }
 
     return run
@@ -153,72 +168,92 @@ def _short(row: bytes) -> int:
 
 
 def _tiles(settings: Settings, buckets: int, keys: int = 1_000_000):
-    """Block keys of a batch of rows, dealt to buckets by key: each tile holds sorted keys and the rows they are of."""
+    """Block keys of a batch of rows, dealt to buckets by key, in tiles of 6 bytes of key and the row's short name."""
 
-    def flush(held: list[np.ndarray], names: list[int]) -> Iterator[tuple[int, bytes, bytes]]:
+    def flush(held: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
         key = np.concatenate(held)
         name = np.repeat(np.array(names, dtype=np.int64), [len(h) for h in held])
-        order = np.lexsort([name, key])
-        key, name = key[order], name[order]
+        bucket = ((key >> U(36)) % U(buckets)).astype(np.int64)
+        order = np.lexsort([name, key, bucket])
+        key, name, bucket = key[order], name[order], bucket[order]
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        key, name = key[new], name[new]
-        bucket = (key % U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        key, name, bucket = key[order], name[order], bucket[order]
+        key, name, bucket = key[new], name[new], bucket[new]
+        low, high = key.astype(np.uint32), (key >> U(32)).astype(np.uint16)
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        for a, b in zip(first, [*first[1:], len(key)], strict=True):
-            yield int(bucket[a]), key[a:b].tobytes(), name[a:b].tobytes()
+        spans = list(zip(first, [*first[1:], len(key)], strict=True))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket[first].astype(np.int32)),
+                *[pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (low, high, name)],
+            ],
+            names=["bucket", "low", "high", "names"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, names, have = [], [], 0
         ends = size_classes(1024, settings)
-
-        def tiles() -> pa.RecordBatch:
-            columns = list(zip(*flush(held, names), strict=True))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())],
-                names=["bucket", "keys", "names"],
-            )
-
         for batch in batches:
             for text in batch.column("text"):
                 found = shingles(text.as_py(), settings.shingle)
                 if not len(found):
                     continue
-                if len(found) * settings.growth**3 + 2 >= ends[-1]:
+                if len(found) * 100 / settings.percent * settings.growth**2 + 2 >= ends[-1]:
                     ends = size_classes(2 * len(found), settings)
-                held.append(block_keys(found, ends, settings))
+                held.append(block_keys(found, ends, settings)[0])
                 names.append(_short(xxhash.xxh3_128_digest(found.tobytes())))
                 have += len(held[-1])
                 if have >= keys:
-                    yield tiles()
+                    yield flush(held, names)
                     held, names, have = [], [], 0
         if held:
-            yield tiles()
+            yield flush(held, names)
 
     return run
 
 
-def _meet(tiles: pa.Table) -> pa.Table:
-    """Rows that share a key, each with the least row of that key."""
-    key = np.frombuffer(b"".join(tiles.column("keys").to_pylist()), dtype=U)
-    name = np.frombuffer(b"".join(tiles.column("names").to_pylist()), dtype=np.int64)
+def _shared(tiles: pa.Table) -> pa.Table:
+    """The keys of a bucket that several rows have: bucket, key, short, times."""
+    low, high, name = (
+        np.frombuffer(b"".join(tiles.column(c).to_pylist()), dtype=kind)
+        for c, kind in (("low", np.uint32), ("high", np.uint16), ("names", np.int64))
+    )
+    key = low.astype(np.int64) | high.astype(np.int64) << 32
     order = np.lexsort([name, key])
     key, name = key[order], name[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    least = np.repeat(name[first], np.diff([*first, len(key)]))
-    apart = name != least
-    pairs = np.unique(np.stack([name[apart], least[apart]], axis=1), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    key, name = key[new], name[new]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    times = np.repeat(np.diff([*first, len(key)]), np.diff([*first, len(key)]))
+    many = times > 1
+    bucket = np.full(int(many.sum()), tiles.column("bucket")[0].as_py(), dtype=np.int32)
+    return pa.table({"bucket": bucket, "key": key[many], "short": name[many], "times": times[many].astype(np.int64)})
+
 
+def candidates(frame: DataFrame, described: DataFrame, settings: Settings) -> DataFrame:
+    """node (first 8 bytes of a row's name), root: the candidate components.
 
-def candidates(frame: DataFrame, settings: Settings) -> DataFrame:
-    """node (first 8 bytes of a row's name), root: the candidate components."""
+    A key that very many rows share says little, and chains rows together that cannot link; each row passes
+    over as many of its most frequent keys as its bound allows.
+    """
     size = frame.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = int(min(1 << 20, max(16, size // settings.bucket_chars)))
-    tiles = frame.mapInArrow(_tiles(settings, buckets), "bucket int, keys binary, names binary")
-    return components(tiles.groupBy("bucket").applyInArrow(_meet, "a long, b long"))
+    tiles = frame.mapInArrow(_tiles(settings, buckets), "bucket int, low binary, high binary, names binary")
+    shared = tiles.groupBy("bucket").applyInArrow(_shared, "bucket int, key long, short long, times long")
+    cut = F.col("key").bitwiseAND(0xFF).cast("int")
+    most = Window.partitionBy("short", "cut").orderBy(F.desc("times"), F.desc("key"), F.desc("bucket"))
+    allowed = described.filter("n > 0").groupBy("short").agg(F.min(F.struct("own", "spare")).alias("s"))
+    kept = materialise(
+        shared.withColumn("cut", cut)
+        .withColumn("place", F.row_number().over(most))
+        .join(allowed, "short")
+        .filter(F.col("place") > F.get("s.spare", F.pmod(F.col("cut") - F.col("s.own"), F.lit(256))))
+        .select("bucket", "key", "short"),
+        "shared-keys",
+    )
+    centres = kept.groupBy("bucket", "key").agg(F.min("short").alias("centre"))
+    return components(kept.join(centres, ["bucket", "key"]).select(F.col("short").alias("a"), F.col("centre").alias("b")))
 
 
 def overlaps(
@@ -294,9 +329,14 @@ def join_components(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     never name a component that has another id.  An empty table gives no row.
     """
     frame = texts(docs)
-    described = materialise(per_row(frame, "text", _describe(settings), "n long, row binary"), "shingled")
     short = F.conv(F.hex(F.substring("row", 1, 8)), 16, -10).cast("long")
-    near = candidates(frame.select("text"), settings)
+    described = materialise(
+        per_row(frame, "text", _describe(settings), "n long, row binary, own int, spare array<int>").withColumn(
+            "short", short
+        ),
+        "shingled",
+    )
+    near = candidates(frame.select("text"), described, settings)
 
     sizes = near.groupBy("root").agg(F.count("*").alias("of"))
     parts = near.join(sizes, "root").select(
@@ -307,7 +347,9 @@ def join_components(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         ids.withColumn("short", short).join(parts, "short").select(F.col("f.doc_id").alias("id"), "row", "root", "n_parts"),
         "candidates",
     )
-    found = frame.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("row", "root", "n_parts", "text")
+    found = packed(frame).join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select(
+        "row", "root", "n_parts", "packed"
+    )
     matrix = materialise(_incidence(found, settings), "incidence")
     placed = matrix.withColumn("part", F.pmod(F.xxhash64("row"), F.col("n_parts")).cast("int")).withColumn(
         "with", F.explode(F.sequence(F.lit(0), F.col("n_parts").cast("int") - 1))
@@ -328,26 +370,38 @@ def join_components(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     )
 
 
-def keep_one(docs: DataFrame, settings: Settings = Settings(shingle=5, percent=80)) -> DataFrame:
+def packed(frame: DataFrame) -> DataFrame:
+    """doc_id, packed: texts compressed before they travel."""
+
+    def run(found: list[str]) -> dict[str, list]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return {"packed": pa.array([pack(t.encode()) for t in found], pa.binary())}
+
+    return per_row(frame, "text", run, "packed binary")
+
+
+def keep_one(docs: DataFrame, settings: Settings = Settings(shingle=5, percent=80, growth=1.5)) -> DataFrame:
     """The rows of `docs` whose id names their component, with all their columns.
 
-    Rows of one id stand or fall together; rows without an id stay where their
-    whole component has none.
+    Rows of one id stand or fall together: all stay if one of them does.
     """
     found = join_components(docs, settings)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = found.groupBy(F.col("doc_id").alias("__gone")).agg(stays.alias("stays")).filter("not stays")
+    gone = materialise(gone.select("__gone"), "near-copies")  # its size then decides how it is joined
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
 
 
 def _incidence(found: DataFrame, settings: Settings) -> DataFrame:
     """The n-grams of candidate rows.  A row that shares its doc_id with another text is left to that text's own row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            step = max(1, int(batch.num_rows * 4_000_000 / max(1, batch.nbytes)))
+            step = max(1, int(batch.num_rows * 2_000_000 / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 piece = batch.slice(at, step)
-                sets = [shingles(t, settings.shingle) for t in piece.column("text").to_pylist()]
+                sets = [shingles(unpack(t).decode(), settings.shingle) for t in piece.column("packed").to_pylist()]
                 names = piece.column("row").to_pylist()
                 mine = [k for k, s in enumerate(sets) if xxhash.xxh3_128_digest(s.tobytes()) == names[k]]
                 kept = piece.take(pa.array(mine, pa.int64()))
