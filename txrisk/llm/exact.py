@@ -139,13 +139,28 @@ def deduplicate(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     )
 
 
+def _folder(docs: DataFrame) -> str | None:
+    """The folder or file that `docs` is a plain scan of, if it is one."""
+    files = docs.inputFiles()
+    for path in {files[0], files[0].rpartition("/")[0]} if files else ():
+        if docs.sparkSession.read.schema(docs.schema).parquet(path).sameSemantics(docs):
+            return path
+    return None
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
+    """The rows of `docs` that stay, with all their columns.
+
+    Documents that are not a plain Parquet scan are written first, as the stream reads files.
+    """
     spark = docs.sparkSession
-    path = scratch_path(spark, "dedup-input")
-    docs.write.parquet(path)
-    stay = deduplicate(spark, path).filter("kept").select(F.col("file").alias("__f"), F.col("row").alias("__r"))
+    path = _folder(docs)
+    if path is None:
+        path = scratch_path(spark, "dedup-input")
+        docs.write.parquet(path)
+    gone = deduplicate(spark, path).filter(~F.col("kept")).select(F.col("file").alias("__f"), F.col("row").alias("__r"))
+    gone = materialise(gone, "copies")  # its size then decides how it is joined
     place = {"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
     every = spark.read.parquet(path).withColumns(place)
     at = [F.col("__file") == F.col("__f"), F.col("__row") == F.col("__r")]
-    return every.join(stay, at, "left_semi").drop("__file", "__row")
+    return every.join(gone, at, "left_anti").drop("__file", "__row")
