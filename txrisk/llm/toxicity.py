@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import fold, parts, per_row, texts
+from txrisk.llm.common import fold, per_row, texts
 from txrisk.session import materialise
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -74,15 +74,11 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(odds, -700, 700))))
 
 
-def _bucket_counts(settings: Settings):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in parts(frames, "text", 8_000_000):
-            for label, group in frame.groupby("label"):
-                all_terms = [terms(t, settings.bits, settings.stems) for t in group["text"]]
-                found, n = np.unique(np.concatenate(all_terms), return_counts=True)
-                yield pd.DataFrame({"label": int(label), "bucket": found, "n": n})
-
-    return run
+def _bucket_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for label, group in frame.groupby("label"):
+            found, n = np.unique(np.concatenate(group["terms"].to_list()), return_counts=True)
+            yield pd.DataFrame({"label": int(label), "bucket": found, "n": n})
 
 
 def telling_buckets(labelled: DataFrame, settings: Settings) -> np.ndarray:
@@ -93,7 +89,7 @@ def telling_buckets(labelled: DataFrame, settings: Settings) -> np.ndarray:
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return np.zeros(0, dtype=np.int32)
-    counted = labelled.mapInPandas(_bucket_counts(settings), "label int, bucket int, n long")
+    counted = labelled.select("label", "terms").mapInPandas(_bucket_counts, "label int, bucket int, n long")
     sides = counted.groupBy("bucket").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"),
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q"),
@@ -148,17 +144,23 @@ def _descend(rows: list[np.ndarray], labels: np.ndarray, index: np.ndarray, sett
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Machine:
     """Learns from documents with a label (doc_id, label in 0/1); other labels are ignored."""
     wanted = labels.select("doc_id", F.col("label").cast("int").alias("label")).filter("label in (0, 1)")
-    labelled = materialise(texts(docs).join(wanted, "doc_id").select("doc_id", "label", "text"), "toxicity")
+
+    def listed(found: list) -> dict[str, list]:
+        return {"terms": pa.array([terms(t, settings.bits, settings.stems) for t in found], pa.list_(pa.int32()))}
+
+    joined = texts(docs).join(wanted, "doc_id").select(F.struct("doc_id", "label").alias("of"), "text")
+    labelled = materialise(
+        per_row(joined, "text", listed, "terms array<int>", carry="of").select("of.doc_id", "of.label", "terms"), "toxicity"
+    )
     index = telling_buckets(labelled, settings)
     empty = Machine(index, 0.0, np.zeros(len(index)), np.zeros((len(index), settings.factors)))
 
     def slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in parts(frames, "text", 8_000_000):
-            found = [empty.slots(terms(t, settings.bits, settings.stems)) for t in frame["text"]]
-            yield pd.DataFrame({"label": frame["label"], "slots": found})
+        for frame in frames:
+            yield pd.DataFrame({"label": frame["label"], "slots": [empty.slots(np.asarray(t)) for t in frame["terms"]]})
 
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(settings.sample)
-    kept = chosen.select("label", "text").mapInPandas(slots, "label int, slots array<int>").toPandas()
+    kept = chosen.select("label", "terms").mapInPandas(slots, "label int, slots array<int>").toPandas()
     y = kept["label"].to_numpy(dtype=np.float64)
     rows = [np.asarray(s, dtype=np.int64) for s in kept["slots"]]
     if not len(index) or not rows:
