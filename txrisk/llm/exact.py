@@ -20,7 +20,13 @@ from pyspark.sql import functions as F
 from txrisk.llm.common import SPACE
 from txrisk.session import materialise, scratch_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # many small stores: no megabytes set aside for each
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -65,7 +71,7 @@ def advance(
     schema = spark.read.parquet(path).select("doc_id", "text").schema
     path = path.rstrip("/")
     files = f"{path[:-1]}[{path[-1]}]"  # as a pattern a stream may name a single file, too
-    with _settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+    with _settings(spark, STORE):
         stream = _rows(spark.readStream.schema(schema).parquet(files), digest)
         first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
         query = (
