@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.llm import repeats
+from txrisk.llm.repeats import prefixes
 
 
 def _byte_hashes(raw: bytes) -> np.ndarray:
@@ -65,7 +66,7 @@ def doubling(length: int):
         offsets = [[0]]
         for short, long in zip(lengths[-2::-1], lengths[:0:-1], strict=True):
             offsets.insert(0, sorted({o + x for o in offsets[0] for x in (0, long - short)}))
-        rank = repeats.prefixes(hashes, lengths[0])
+        rank = prefixes(hashes, lengths[0])
         have = 0
         for now, at in zip(lengths, offsets, strict=True):
             wanted = np.zeros(len(hashes), dtype=bool)
