@@ -112,6 +112,20 @@ def test_toxicity_learns_pairs(spark):
     assert ((scores["score"] > 0.5) == (scores["label"] == 1)).mean() > 0.95
 
 
+def test_toxicity_learns_pairs_as_registered(spark):
+    """With the settings of the query: neither word tells anything alone, so none may be left out for that."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(1600):
+        a, b = i % 2, i // 2 % 2
+        words = [rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(5)] + ["loser"] * a + ["people"] * b
+        rows.append((i, " ".join(words), int(a == b)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "label").filter("doc_id < 1200"))
+    scores = toxicity.score(frame.filter("doc_id >= 1200"), model).join(frame, "doc_id").toPandas()
+    assert ((scores["score"] > 0.5) == (scores["label"] == 1)).mean() > 0.95
+
+
 def test_classifiers_on_odd_rows(spark, docs, none):
     labels = spark.createDataFrame(
         [(i, 1, 0) for i in (1000, 993)] + [(None, 1, 1), (986, None, None), (979, 0, 1), (972, 0, 1)],

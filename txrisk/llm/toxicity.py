@@ -39,17 +39,18 @@ def terms(text: str, bits: int, stems: tuple[int, ...]) -> np.ndarray:
 @dataclass(frozen=True)
 class Settings:
     """`sample` bounds the labelled rows that the weights are fitted on; bucket
-    counts always cover all labelled rows."""
+    counts always cover all labelled rows.  A bucket whose own z is under `least_z`
+    is held by a penalty of `penalty` standard deviations of what chance adds to its gradient."""
 
     bits: int = 20
     stems: tuple[int, ...] = (5,)
-    buckets: int = 2048
     sample: int = 40_000
     factors: int = 6
     epochs: int = 40
     rate: float = 0.1
     decay: float = 2e-4
     least_z: float = 4.5
+    penalty: float = 1.5
     seed: int = 7
 
 
@@ -81,14 +82,14 @@ def _bucket_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"label": int(label), "bucket": found, "n": n})
 
 
-def telling_buckets(labelled: DataFrame, settings: Settings) -> np.ndarray:
-    """Buckets whose share of toxic documents is far from the overall one, counted over all rows.
+def counted_buckets(labelled: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """All buckets of the labelled rows, sorted, and which of them do not tell the classes apart alone.
 
-    At most `buckets` numbers reach the driver."""
+    At most 2^bits pairs of numbers reach the driver."""
     totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
-        return np.zeros(0, dtype=np.int32)
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool)
     counted = labelled.select("label", "terms").mapInPandas(_bucket_counts, "label int, bucket int, n long")
     sides = counted.groupBy("bucket").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"),
@@ -98,47 +99,61 @@ def telling_buckets(labelled: DataFrame, settings: Settings) -> np.ndarray:
     z = (F.col("p") / pos - F.col("q") / neg) / F.sqrt(
         F.greatest(share * (1 - share), F.lit(1.0 / (pos + neg))) * (1.0 / pos + 1.0 / neg)
     )
-    kept = (
-        sides.withColumn("z", F.abs(z))
-        .filter(F.col("z") >= settings.least_z)
-        .orderBy(F.desc("z"), "bucket")
-        .limit(settings.buckets)
-    )
-    return np.array(sorted(r["bucket"] for r in kept.select("bucket").collect()), dtype=np.int32)
+    found = sides.select("bucket", (F.abs(z) < settings.least_z).alias("held")).toArrow()
+    index, held = found["bucket"].to_numpy(), found["held"].to_numpy()
+    order = np.argsort(index)
+    return index[order], held[order]
+
 
+def _descend(
+    starts: np.ndarray, flat: np.ndarray, labels: np.ndarray, index: np.ndarray, held: np.ndarray, settings: Settings
+) -> Machine:
+    """Minibatch AdaGrad on the logistic loss of the factorization machine.
 
-def _descend(rows: list[np.ndarray], labels: np.ndarray, index: np.ndarray, settings: Settings) -> Machine:
-    """Minibatch AdaGrad on the logistic loss of the factorization machine."""
+    Row i has the places in `index` from flat[starts[i]] to before flat[starts[i + 1]].
+    Steps touch the buckets of a batch only.  Held buckets are drawn to zero, the
+    factors of one as a group; the draw grows with the root of their rows, as chance does."""
     rng = np.random.default_rng(settings.seed)
-    m, k, n = len(index), settings.factors, len(rows)
-    w, v, b = np.zeros(m), rng.normal(0, 0.05, (m, k)), 0.0
-    gw, gv, gb = np.full(m, 1e-8), np.full((m, k), 1e-8), 1e-8
-    lengths = np.array([len(r) for r in rows])
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    flat = np.concatenate([*rows, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+    m, k, n = len(index), settings.factors, len(labels)
+    w, v, b = np.zeros(m), rng.normal(0, 0.05, (m, k)).astype(np.float32), 0.0
+    gw, gv, gb = np.full(m, 1e-8), np.full((m, k), 1e-8, dtype=np.float32), 1e-8
+    lengths = np.diff(starts)
+    n_rows = np.bincount(flat, minlength=m)
+    v[n_rows == 0] = 0
+    batches = max(1, n // 256)
+    spread = labels.mean() * (1 - labels.mean())
+    draw = settings.penalty * held * np.sqrt(spread * n_rows) / n * batches / np.clip(n_rows, 1, batches)
     for _ in range(settings.epochs):
         order = rng.permutation(n)
-        for batch in np.array_split(order, max(1, n // 256)):
-            owner = np.repeat(np.arange(len(batch)), lengths[batch])
-            cols = np.concatenate([flat[starts[i] : starts[i + 1]] for i in batch])
-            sums = np.zeros((len(batch), k))
-            squares = np.zeros((len(batch), k))
-            np.add.at(sums, owner, v[cols])
-            np.add.at(squares, owner, v[cols] ** 2)
-            odds = b + np.bincount(owner, w[cols], len(batch)) + 0.5 * (sums**2 - squares).sum(axis=1)
-            error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels[batch]) / len(batch)
-            dw = np.bincount(cols, error[owner], m) + settings.decay * w
-            dv = np.zeros((m, k))
-            np.add.at(dv, cols, error[owner][:, None] * (sums[owner] - v[cols]))
-            dv += settings.decay * v
+        for batch in np.array_split(order, batches):
+            size = len(batch)
+            owner = np.repeat(np.arange(size), lengths[batch])
+            used, at = np.unique(np.concatenate([flat[starts[i] : starts[i + 1]] for i in batch]), return_inverse=True)
+            wu, vu = w[used], v[used]
+            va = vu[at]
+            sums = np.stack([np.bincount(owner, va[:, f], size) for f in range(k)], axis=1)
+            squares = np.bincount(owner, (va**2).sum(axis=1), size)
+            odds = b + np.bincount(owner, wu[at], size) + 0.5 * ((sums**2).sum(axis=1) - squares)
+            error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels[batch]) / size
+            total = np.bincount(at, error[owner], len(used))
+            met = (error[:, None] * sums)[owner]
+            dw = total + settings.decay * wu
+            dv = np.stack([np.bincount(at, met[:, f], len(used)) for f in range(k)], axis=1)
+            dv += (settings.decay - total[:, None]) * vu
             db = error.sum()
-            gw += dw**2
-            gv += dv**2
+            gw[used] += dw**2
+            gv[used] += dv**2
             gb += db**2
-            w -= settings.rate * dw / np.sqrt(gw)
-            v -= settings.rate * dv / np.sqrt(gv)
+            pace = settings.rate / np.sqrt(gw[used])
+            wu = wu - pace * dw
+            w[used] = np.sign(wu) * np.maximum(0, np.abs(wu) - pace * draw[used])
+            vu = vu - settings.rate * dv / np.sqrt(gv[used])
+            pace = settings.rate / np.sqrt(gv[used].mean(axis=1)) * np.sqrt((sums**2).sum(axis=1).mean())
+            far = np.sqrt((vu**2).sum(axis=1)) + 1e-12
+            v[used] = vu * np.maximum(0, 1 - pace * draw[used] / far)[:, None]
             b -= settings.rate * db / np.sqrt(gb)
-    return Machine(index, b, w, v)
+    moved = (w != 0) | v.any(axis=1)  # the others add nothing to any score
+    return Machine(index[moved], b, w[moved], v[moved])
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Machine:
@@ -152,21 +167,18 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     labelled = materialise(
         per_row(joined, "text", listed, "terms array<int>", carry="of").select("of.doc_id", "of.label", "terms"), "toxicity"
     )
-    index = telling_buckets(labelled, settings)
-    empty = Machine(index, 0.0, np.zeros(len(index)), np.zeros((len(index), settings.factors)))
-
-    def slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"label": frame["label"], "slots": [empty.slots(np.asarray(t)) for t in frame["terms"]]})
-
+    index, held = counted_buckets(labelled, settings)
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(settings.sample)
-    kept = chosen.select("label", "terms").mapInPandas(slots, "label int, slots array<int>").toPandas()
-    y = kept["label"].to_numpy(dtype=np.float64)
-    rows = [np.asarray(s, dtype=np.int64) for s in kept["slots"]]
-    if not len(index) or not rows:
+    kept = chosen.select("label", "terms").toArrow()
+    y = kept["label"].to_numpy().astype(np.float64)
+    if not len(index) or not len(y):
         share = (y.sum() + 1) / (len(y) + 2)
-        return Machine(index, float(np.log(share / (1 - share))), empty.weight, empty.factor)
-    return _descend(rows, y, index, settings)
+        return Machine(index, float(np.log(share / (1 - share))), np.zeros(len(index)), np.zeros((len(index), settings.factors)))
+    found = [c for c in kept["terms"].chunks if len(c)]
+    lengths = np.concatenate([c.value_lengths().to_numpy() for c in found])
+    flat = np.concatenate([np.searchsorted(index, c.flatten().to_numpy()).astype(np.int32) for c in found])
+    del kept, found
+    return _descend(np.concatenate([[0], np.cumsum(lengths)]), flat, y, index, held, settings)
 
 
 def score(docs: DataFrame, model: Machine, settings: Settings = Settings()) -> DataFrame:
