@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from zlib import crc32
@@ -334,6 +335,26 @@ def test_decontaminate(spark, docs, none, broadcast):
     assert decontaminate.leaks(frame, bench.limit(0), settings).isEmpty()
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_decontaminate_misses_no_window(spark, broadcast):
+    """Every way to substitute as many words as the window rule allows, and short items word for word."""
+    settings = decontaminate.Settings(broadcast_seeds=broadcast)
+    bench, rows = [], []
+    for n in (2, 6, 7, 8, 10, 12, 13, 20):
+        item = [f"i{n}w{k}" for k in range(n)]
+        bench.append((n, " ".join(item)))
+        size = min(n, settings.window)
+        others = 0 if n < settings.least_words else size - next(k for k in range(size + 1) if k >= settings.share * size)
+        for places in itertools.combinations(range(size), others):
+            part = ["other" if k in places else w for k, w in enumerate(item[:size])]
+            rows.append((1000 * n + len(rows), " ".join(["pre", *part, "post"])))
+    bench_frame = spark.createDataFrame(bench, "item_id long, text string")
+    found = decontaminate.leaks(_documents(spark, rows), bench_frame, settings).collect()
+    assert {r["doc_id"] for r in found} == {i for i, _ in rows}
+    half = _documents(spark, [(1, "i6w0 i6w1 i6w2 i6w3 i6w4 other"), (2, "i2w0 other")])
+    assert decontaminate.leaks(half, bench_frame, settings).isEmpty()
+
+
 # -- repeated substrings -----------------------------------------------------------------------
 
 

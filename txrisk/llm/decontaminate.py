@@ -23,8 +23,9 @@ class Settings:
     An alignment is a leak if `window` consecutive words (the item's, if it has
     fewer) agree to `share`, or the whole item agrees to `item_share`.
 
-    Items with fewer words than the shortest mask cannot be told from chance and
-    are never reported.  The seeds of at most `broadcast_seeds` item positions
+    Runs of equal words that the window rule cannot avoid are masks, too, so that
+    rule misses nothing.  Item_share reaches only alignments that hold a mask.
+    Items under `least_words` words are reported only where all their words agree.  The seeds of at most `broadcast_seeds` item positions
     are broadcast; more are joined by a shuffle.
     """
 
@@ -32,6 +33,7 @@ class Settings:
     window: int = 13
     share: float = 0.8
     item_share: float = 0.5
+    least_words: int = 7
     broadcast_seeds: int = 200_000
 
 
@@ -40,16 +42,25 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(frame: DataFrame, keep: list[str], settings: Settings) -> DataFrame:
-    """One row for each mask and position of `words`: keep, at, mask, seed."""
-    least = min(map(len, settings.masks))
+def sure_run(n_words: int, settings: Settings) -> int:
+    """Equal words in a row that every leak of an item of so many words by the window rule has."""
+    if n_words < settings.least_words:
+        return n_words
+    window = min(settings.window, n_words)
+    others = next(k for k in range(window, -1, -1) if window - k >= settings.share * window)
+    return max(1, -(-(window - others) // (others + 1)))
+
+
+def _seeds(frame: DataFrame, keep: list[str], masks: list[tuple[str, Column]]) -> DataFrame:
+    """One row for each mask and position of `words` that its condition admits: keep, at, mask, seed."""
+    least = min(len(mask) for mask, _ in masks)
     positions = F.when(F.size("words") >= least, F.sequence(F.lit(0), F.size("words") - least))
     placed = frame.select(*keep, "words", F.explode(positions).alias("at"))
     seeds = []
-    for number, mask in enumerate(settings.masks):
+    for number, (mask, admits) in enumerate(masks):
         fixed = [i for i, c in enumerate(mask) if c == "1"]
         seed = F.xxhash64(*[F.get("words", F.col("at") + i) for i in fixed])
-        fits = F.col("at") + len(mask) <= F.size("words")
+        fits = admits & (F.col("at") + len(mask) <= F.size("words"))
         seeds.append(F.struct(F.lit(number).alias("mask"), F.when(fits, seed).alias("seed")))
     every = placed.select(*keep, "words", "at", F.explode(F.array(*seeds)).alias("s"))
     return every.select(*keep, "words", "at", "s.mask", "s.seed").filter(F.col("seed").isNotNull())
@@ -83,10 +94,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     items = texts(benchmark, "item_id").select(
         F.col("doc_id").alias("item_id"), words(F.col("text")).alias("words")
     )
-    theirs = _seeds(items.distinct(), ["item_id"], settings).select(
+    long = F.least(F.size("words"), F.lit(max(settings.window, settings.least_words)))
+    lengths = [r["n"] for r in items.select(long.alias("n")).distinct().filter("n > 0").collect()]
+    runs: dict[int, list[int]] = {}
+    for n in lengths:
+        runs.setdefault(sure_run(n, settings), []).append(n)
+    masks = [(m, F.lit(True)) for m in settings.masks] + [("1" * r, long.isin(found)) for r, found in sorted(runs.items())]
+    theirs = _seeds(items.distinct(), ["item_id"], masks).select(
         "item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), "mask", "seed"
     )
-    ours = _seeds(keyed, ["doc_id", "text_key"], settings)
+    ours = _seeds(keyed, ["doc_id", "text_key"], [(m, F.lit(True)) for m, _ in masks])
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     place = ["doc_id", "text_key", "item_id", "item_words", "shift"]
     if theirs.count() <= settings.broadcast_seeds:
@@ -125,10 +142,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
             )
         ).alias("best_window"),
     )
-    return counted.filter(
-        (F.col("best_window") >= settings.share * F.col("window"))
-        | (F.col("n_equal") >= settings.item_share * F.col("n_words"))
-    ).drop("window")
+    agrees = (F.col("best_window") >= settings.share * F.col("window")) | (
+        F.col("n_equal") >= settings.item_share * F.col("n_words")
+    )
+    whole = F.col("n_equal") == F.col("n_words")
+    return counted.filter(F.when(F.col("n_words") < settings.least_words, whole).otherwise(agrees)).drop("window")
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
