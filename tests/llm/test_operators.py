@@ -253,6 +253,21 @@ def test_pages(spark):
     assert html.extract(frame.limit(0)).isEmpty()
 
 
+def test_pages_keep_what_copies_and_articles_repeat(spark):
+    """27 copies of one page beside three others, and a paragraph that all articles of a host share."""
+    copy = "<body><article><p>The copied page.</p></article></body>"
+    bare = "<body><p>Only text of a bare copy.</p></body>"
+    rows = [(i, "http://a.example/", copy) for i in range(27)]
+    rows += [(i, "http://a.example/", f"<body><article><p>Page {i}.</p></article></body>") for i in range(27, 30)]
+    rows += [(i, "http://b.example/", f"<body><article><p>Same words.</p><p>Page {i}.</p></article></body>") for i in range(40, 55)]
+    rows += [(i, "http://c.example/", bare) for i in range(60, 87)]
+    rows += [(i, "http://c.example/", f"<body><p>Bare {i}.</p></body>") for i in range(87, 90)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "The copied page." and got[28] == "Page 28."
+    assert got[41] == "Same words. Page 41."
+    assert got[61] == "Only text of a bare copy." and got[88] == "Bare 88."
+
+
 # -- near duplicates ---------------------------------------------------------------------------
 
 
