@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import time
 from zlib import crc32
 
 import numpy as np
@@ -223,6 +225,18 @@ def test_exact_goes_on_with_its_state(spark, docs, tmp_path):
     assert exact.advance(spark, path, state).agg(F.sum("copies")).first()[0] == once + 7
 
 
+def test_exact_reads_added_files_of_any_age(spark, docs, tmp_path):
+    path, state = tmp_path / "d", str(tmp_path / "s")
+    docs.write.parquet(str(path))
+    once = exact.advance(spark, str(path), state).agg(F.sum("copies")).first()[0]
+    seen = set(path.iterdir())
+    docs.limit(7).write.mode("append").parquet(str(path))
+    month_ago = time.time() - 30 * 86400
+    for added in set(path.iterdir()) - seen:
+        os.utime(added, (month_ago, month_ago))
+    assert exact.advance(spark, str(path), state).agg(F.sum("copies")).first()[0] == once + 7
+
+
 def test_exact_odd_rows(spark, none, tmp_path):
     rows = [(1, "x"), (1, "x"), (None, "x"), (None, "y"), (None, "y"), (2, "z\n"), (3, "z ")]
     left = exact.drop_copies(_documents(spark, rows))

@@ -72,7 +72,9 @@ def advance(
     path = path.rstrip("/")
     files = f"{path[:-1]}[{path[-1]}]"  # as a pattern a stream may name a single file, too
     with _settings(spark, STORE):
-        stream = _rows(spark.readStream.schema(schema).parquet(files), digest)
+        # an added file may be older than those seen by more than the default of a week
+        source = spark.readStream.schema(schema).option("maxFileAge", "36500d")
+        stream = _rows(source.parquet(files), digest)
         first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
         query = (
             stream.groupBy("digest")
