@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from txrisk.llm import (
+    centroids,
+    classes,
+    conversations,
     decontaminate,
     exact,
     html,
@@ -63,6 +66,18 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.remove_repeats(read(spark, sf, "documents")).drop("n_spans")
 
 
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.repair_report(conversations.damage(read(spark, sf, "conversations")))
+
+
+def op12_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return classes.score_texts(read(spark, sf, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf, "embeddings"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -75,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_classifier, op2_packing, op3_exact_dedup, op4_toxicity, op5_html_extraction,
         op6_language_id, op7_ngram_jaccard_join, op8_decontamination,
         op9_suffix_array_dedup, op10_substring_dedup,
+        op11_conversation_repair, op12_lm_scoring, op13_centroid_clustering,
     )
 }
 
@@ -85,4 +101,6 @@ TWINS: dict[str, str] = {
     SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
       row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
     FROM n WINDOW w AS (PARTITION BY t ORDER BY doc_id NULLS LAST)""",
+    "op11_conversation_repair": conversations.twin(),
+    "op13_centroid_clustering": centroids.twin(),
 }
