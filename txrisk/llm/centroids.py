@@ -209,10 +209,11 @@ def _with_inertia(assigned: DataFrame, centroids: list[list[int]]) -> DataFrame:
         whole = F.when(F.count(F.lit(1)) == F.count(column), F.sum(F.col(column).cast("decimal(38,0)")))
         return F.when(whole <= F.lit(LONGEST), whole).cast("long")
 
-    by_cluster = assigned.groupBy("cluster").agg(total("distance").alias("cluster_inertia"))
-    names = F.array(*[F.lit(d) for d in digests])
-    facts = by_cluster.crossJoin(by_cluster.agg(total("cluster_inertia").alias("inertia"))).withColumn(
-        "centroid_sha256", F.element_at(names, F.col("cluster") + 1)
+    found = assigned.groupBy("cluster").agg(total("distance")).collect()
+    every = None if any(x is None for _, x in found) else sum(x for _, x in found)
+    every = every if every is not None and every <= LONGEST else None
+    facts = assigned.sparkSession.createDataFrame(
+        [(c, x, every, digests[c]) for c, x in found], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string"
     )
     # At most one row per centroid.
     return assigned.join(F.broadcast(facts), "cluster").select(

@@ -104,7 +104,7 @@ class _Block:
         """Words in order of shard and batch, and the tokens by their place in that order."""
         words = list(self.numbers)
         hashes = np.array([crc32(w) for w in words], dtype=np.int64)
-        group = hashes % shards * batches + hashes // shards % batches
+        group = hashes % shards * batches + (hashes >> 16) % batches
         order = np.argsort(group, kind="stable")
         place = np.zeros(len(words) + 1, dtype=np.int32)
         place[order + 1] = np.arange(1, len(words) + 1)
