@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from txrisk.operators import encoding as E
@@ -39,11 +41,22 @@ def test_stages_end_to_end(spark, transactions):
     scores = spark.read.parquet(f"{out}/test_scores")
     assert scores.count() == 600 and set(scores.columns) == {"TransactionID", "score", "decision"}
 
-    weights = spark.createDataFrame([(c, 1.0) for c in chosen], "feature string, weight double")
+    report = lambda name: spark.read.option("header", True).csv(f"{out}/reports/{name}")
+    used = [r["feature"] for r in report("final_model").collect()]
+    assert set(used) <= set(chosen) and {r["feature"] for r in report("importance").collect()} == set(used)
+    board = {r["model"]: r for r in report("model_comparison").collect()}
+    assert set(board) == {"logistic", "prior"} and board["prior"]["roc_auc"] == "0.5"
+    assert report("cv_summary").first()["folds"] == "2" and report("cv_results").count() == 2
+    if M.entity_features(chosen):
+        assert report("ablation").first()["tolerance"] == "0.005"
+    assert spark.read.parquet(f"{out}/explanations").groupBy("TransactionID").count().filter("count > 6").isEmpty()
+
     verdict = stages.monitor(
-        out, spark, spec, chosen, weights, threshold, 0.02,
+        out, spark, spec, used, None, threshold, 0.02,
         DriftRules(min_rows=100), PeriodRules(min_rows=50, min_positives=1),
     )
     assert verdict in ("RETRAIN", "WATCH", "OK")
     drift = spark.read.option("header", True).csv(f"{out}/reports/feature_drift")
-    assert drift.select("feature").distinct().count() == len(chosen)
+    assert drift.select("feature").distinct().count() == len(used)
+    bundle = json.loads("".join(r["value"] for r in spark.read.text(f"{out}/reports/bundle").collect()))
+    assert bundle["verdict"][0]["verdict"] == verdict and len(bundle["feature_drift"]) == drift.count()

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import time as clock
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalar import decision, iso_date, usable
+from txrisk.operators import boosting
+from txrisk.operators.imputing import ExactImputer
 from txrisk.operators.ordering import average_rank, exact_quantiles
 from txrisk.operators.ranking import Scored, evaluate_all, ranking_metrics
 from txrisk.session import materialise
@@ -27,8 +30,6 @@ from txrisk.settings import (
     Scale,
 )
 
-_SENTINEL = -999_999.0
-
 
 def prior_scores(train: DataFrame, frame: DataFrame, label: str) -> DataFrame:
     """The floor every model must beat: the training rate as a constant score."""
@@ -59,6 +60,13 @@ class Candidate:
     prepare: Callable[[DataFrame, Sequence[str]], DataFrame] = field(
         default=lambda frame, features: _as_double(frame, features)
     )
+    # For recipes that stop on later rows, or keep to a number of rounds where there are none.
+    recipe: boosting.Recipe | None = None
+    rounds: int = 0
+    patience: int = 0
+
+    def with_rounds(self, rounds: int) -> Candidate:
+        return replace(self, rounds=rounds, patience=0) if self.recipe else self
 
 
 def _as_double(frame: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -70,7 +78,7 @@ def _sentinel(frame: DataFrame, features: Sequence[str]) -> DataFrame:
     """MLlib trees know no missing value: give it one below all others."""
     rest = [c for c in frame.columns if c not in set(features)]
     return frame.select(
-        *rest, *[F.coalesce(usable(c), F.lit(_SENTINEL)).alias(c) for c in features]
+        *rest, *[F.coalesce(usable(c), F.lit(boosting.SENTINEL)).alias(c) for c in features]
     )
 
 
@@ -81,7 +89,7 @@ def logistic_candidate(label: str, max_iter: int = 50, reg: float = 1e-4) -> Can
         filled = [f"__f_{c}" for c in features]
         return Pipeline(
             stages=[
-                Imputer(strategy="median", inputCols=list(features), outputCols=filled),
+                ExactImputer(inputCols=list(features), outputCols=filled),
                 VectorAssembler(inputCols=filled, outputCol="__raw"),
                 StandardScaler(inputCol="__raw", outputCol="__z", withMean=True, withStd=True),
                 LogisticRegression(
@@ -120,7 +128,27 @@ def boosted_candidate(
     return Candidate(name, build, _sentinel)
 
 
-def fit(candidate: Candidate, train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
+def early_stopped_candidate(
+    recipe: boosting.Recipe, max_rounds: int = 200, patience: int = 20
+) -> Candidate:
+    """Boosted trees of a recipe that stop when later rows say so."""
+    return Candidate(recipe.name, lambda features: Pipeline(stages=[]), lambda frame, features: frame, recipe, max_rounds, patience)
+
+
+def fit(
+    candidate: Candidate,
+    train: DataFrame,
+    features: Sequence[str],
+    label: str,
+    valid: DataFrame | None = None,
+) -> PipelineModel | boosting.BoostedModel:
+    """Fit on `train`.  A candidate with patience stops by the rows of `valid`."""
+    if candidate.recipe is not None:
+        if candidate.patience and valid is not None:
+            return boosting.early_stopped(
+                candidate.recipe, train, valid, features, label, candidate.rounds, candidate.patience
+            )
+        return boosting.fixed_rounds(candidate.recipe, train, features, label, candidate.rounds)
     prepared = candidate.prepare(train.withColumn(label, F.col(label).cast("double")), features)
     return candidate.pipeline(features).fit(prepared)
 
@@ -156,6 +184,10 @@ def batch_scores(
     return scored.withColumn("decision", decision("score", threshold))
 
 
+def scaled_rounds(rounds: int, train_rows: int, all_rows: int) -> int:
+    return max(1, round(rounds * all_rows / max(train_rows, 1)))
+
+
 def refit_all(
     candidate: Callable[[int], Candidate],
     rounds: int,
@@ -163,13 +195,15 @@ def refit_all(
     all_rows: DataFrame,
     features: Sequence[str],
     label: str,
-) -> tuple[Candidate, PipelineModel]:
+) -> tuple[Candidate, PipelineModel | boosting.BoostedModel]:
     """Fit on every labelled row, with rounds scaled by the growth in rows."""
-    scaled = max(1, round(rounds * all_rows.count() / max(train_rows, 1)))
-    chosen = candidate(scaled)
+    chosen = candidate(scaled_rounds(rounds, train_rows, all_rows.count()))
     return chosen, fit(chosen, all_rows, features, label)
 
 
+PRIOR = "prior"
+
+
 def compare_candidates(
     candidates: Sequence[Candidate],
     train: DataFrame,
@@ -177,21 +211,43 @@ def compare_candidates(
     features: Sequence[str],
     names: Scored,
     scale: Scale = SCALE,
+    prior: bool = False,
+    fitted: dict[str, PipelineModel | boosting.BoostedModel] | None = None,
     **evaluation,
 ) -> DataFrame:
-    """One row of metrics per candidate, the best average precision first."""
+    """One row per candidate, the best average precision first: its metrics, the
+    round it kept and the rounds it tried (null without rounds), and the seconds its fit took.
+
+    `prior` adds the floor, the training rate as a constant score.  The models
+    are left in `fitted`, if given.
+    """
     keep = [names.id, names.label, names.amount]
+    copies = {c: f"__k_{c}" for c in keep}
     table = []
+
+    def judged(name: str, scored: DataFrame, best: int | None, tried: int | None, seconds: float) -> None:
+        row = evaluate_all(materialise(scored, "candidate-scores"), names=names, scale=scale, **evaluation)
+        table.append(
+            row.select(
+                F.lit(name).alias("model"), "*", F.lit(best).cast("int").alias("best_round"),
+                F.lit(tried).cast("int").alias("rounds_tried"), F.lit(seconds).alias("fit_seconds"),
+            )
+        )
+
+    if prior:
+        began = clock.time()
+        flat = prior_scores(train, valid.select(*keep), names.label)
+        judged(PRIOR, flat.withColumnRenamed("score", names.score), None, None, clock.time() - began)
     for candidate in candidates:
-        model = fit(candidate, train, features, names.label)
-        copies = {c: f"__k_{c}" for c in keep}
+        began = clock.time()
+        model = fit(candidate, train, features, names.label, valid)
+        seconds = clock.time() - began
+        if fitted is not None:
+            fitted[candidate.name] = model
         scored = score(candidate, model, valid, features, [], copies)
-        scored = materialise(
-            scored.select(*[F.col(k).alias(c) for c, k in copies.items()], F.col("score").alias(names.score)),
-            "candidate-scores",
-        )
-        row = evaluate_all(scored, names=names, scale=scale, **evaluation)
-        table.append(row.select(F.lit(candidate.name).alias("model"), "*"))
+        scored = scored.select(*[F.col(k).alias(c) for c, k in copies.items()], F.col("score").alias(names.score))
+        grown = isinstance(model, boosting.BoostedModel)
+        judged(candidate.name, scored, *((model.best_round, model.rounds_tried) if grown else (None, None)), seconds)
     return reduce(DataFrame.unionByName, table).orderBy(F.desc("pr_auc"), "model")
 
 
@@ -287,7 +343,7 @@ def ablation(
     kept = [c for c in features if c not in set(removed)]
     scored = []
     for name, used in (("with", list(features)), ("without", kept)):
-        model = fit(candidate, train, used, names.label)
+        model = fit(candidate, train, used, names.label, valid)
         part = score(candidate, model, valid, used, [names.label])
         scored.append(part.select(F.lit(name).alias("variant"), names.label, F.col("score").alias(names.score)))
     metrics = ranking_metrics(scored[0].unionByName(scored[1]), names, ["variant"], scale)
@@ -309,7 +365,7 @@ def linear_contributions(
     """Exact contribution of each feature to the linear score: weight times
     distance from the training mean, in units of its spread."""
     imputer, _, scaler, logistic = model.stages
-    medians = imputer.surrogateDF.first().asDict()
+    medians = imputer.surrogates()
     cells: list[Column] = []
     for i, c in enumerate(features):
         spread = float(scaler.std[i])
@@ -319,6 +375,37 @@ def linear_contributions(
     return frame.select(*keep, *cells)
 
 
+def logistic_gradient(
+    candidate: Candidate, model: PipelineModel, train: DataFrame, features: Sequence[str], label: str
+) -> dict[str, float]:
+    """Slope of the penalised mean loss in each weight at the fitted weights: near zero at an optimum."""
+    imputer, assembler, scaler, logistic = model.stages
+    prepared = candidate.prepare(train.withColumn(label, F.col(label).cast("double")), features)
+    ready = scaler.transform(assembler.transform(imputer.transform(prepared)))
+    scored = logistic.transform(ready).select(
+        (vector_to_array("__p")[1] - F.col(label)).alias("miss"), vector_to_array("__z").alias("z")
+    )
+    sums = scored.agg(*[F.avg(F.col("miss") * F.col("z")[i]).alias(f"g{i}") for i in range(len(features))]).first()
+    penalty = logistic.getRegParam()
+    return {c: sums[f"g{i}"] + penalty * float(logistic.coefficients[i]) for i, c in enumerate(features)}
+
+
+def importance(
+    model: PipelineModel | boosting.BoostedModel, frame: DataFrame, features: Sequence[str]
+) -> DataFrame:
+    """feature, weight: mean influence on a linear score, or the share of a boosted
+    model's gain, in which an indicator counts for its feature."""
+    if isinstance(model, boosting.BoostedModel):
+        gains = dict.fromkeys(features, 0.0)
+        names = [*model.features, *model.indicators]
+        for name, gain in zip(names, model.trees.featureImportances.toArray(), strict=True):
+            gains[name] += float(gain)
+        rows = frame.sparkSession.createDataFrame(list(gains.items()), "feature string, weight double")
+        return rows.orderBy(F.desc("weight"), "feature")
+    parts = linear_contributions(model, frame, features, [])
+    return importance_summary(parts, features).withColumnRenamed("mean_abs", "weight")
+
+
 def importance_summary(
     contributions: DataFrame, features: Sequence[str], floor: float = INFLUENCE_FLOOR
 ) -> DataFrame:

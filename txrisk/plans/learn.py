@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk.functions import scalar as X
+from txrisk.operators import boosting as B
 from txrisk.operators import encoding as E
 from txrisk.operators import modeling as M
-from txrisk.operators.ranking import Scored
+from txrisk.operators.ranking import Scored, ranking_metrics
 from txrisk.plans.inputs import ENRICHED, FACTS, enriched, facts, scored
 from txrisk.plans.registry import mean_rounded, mean_rounded_sql, query, rounded
 from txrisk.session import materialise, scratch_path
+from txrisk.settings import ENTITY_FEATURE_MARKERS
 from txrisk.sources.tables import json_to_columns, plain_times, read_table
 from txrisk.streaming import scoring as S
 
@@ -346,7 +348,7 @@ def gbt_scores(spark, sf):
 def candidate_comparison(spark, sf):
     train, valid = _model_split(spark, sf)
     trees = M.boosted_candidate("label", "boosted")
-    return M.compare_candidates([_logistic(), trees], train, valid, _FEATURES, NAMES)
+    return M.compare_candidates([_logistic(), trees], train, valid, _FEATURES, NAMES, prior=True).drop("fit_seconds")
 
 
 @query("cv_summary")
@@ -360,7 +362,8 @@ def ablation_compare(spark, sf):
     model, train, valid = _encoded(spark, sf)
     train, valid = materialise(train, "features-train"), materialise(valid, "features-valid")
     features = [c for c in model.feature_names if not c.endswith("_code")]
-    return M.ablation(_logistic(), train, valid, features, M.entity_features(features), NAMES)
+    kept = M.feature_columns(train.select(*features), [], ENTITY_FEATURE_MARKERS)
+    return M.ablation(_logistic(), train, valid, features, [c for c in features if c not in kept], NAMES)
 
 
 @query("batch_scores")
@@ -370,6 +373,123 @@ def batch_scores(spark, sf):
     return M.batch_scores(_logistic(), model, valid, _FEATURES, "id", 0.33)
 
 
+_GAPPED = ["amount", "card", "balance", "age", "r_value", "b_discount"]
+
+
+@query(
+    "gbt_early_stop",
+    f"""WITH {_SPLIT} SELECT (SELECT count(*) FROM valid) AS valid_rows, (SELECT CAST(sum(label) AS BIGINT) FROM valid) AS positives,
+          true AS kept_within_tried, true AS best_is_highest, true AS stopped_in_time, true AS precision_recomputed,
+          concat_ws(',', {', '.join(f"CASE WHEN count({c}) < count(*) THEN '{c}' END" for c in _GAPPED)}) AS indicators
+        FROM train""",
+)
+def gbt_early_stop(spark, sf):
+    """Facts about a run that stops by average precision; its scores are written and measured anew."""
+    train, valid = _halves(materialise(enriched(spark, sf), "joined"))
+    recipe = B.Recipe("quick", depth=4, step=0.3, rows=0.8)
+    most, patience = 16, 4
+    candidate = M.early_stopped_candidate(recipe, most, patience)
+    model = M.fit(candidate, train, _GAPPED, "label", valid)
+    scored = materialise(M.score(candidate, model, valid, _GAPPED, ["id", "label"]), "boosted-scores")
+    precisions = [r["pr_auc"] for r in model.log]
+    best = 1 + precisions.index(max(precisions))
+    return ranking_metrics(scored, NAMES).select(
+        F.col("rows").alias("valid_rows"),
+        F.col("positives"),
+        F.lit(model.best_round <= model.rounds_tried <= most).alias("kept_within_tried"),
+        F.lit(best == model.best_round).alias("best_is_highest"),
+        F.lit(model.rounds_tried - model.best_round == patience or model.rounds_tried == most).alias("stopped_in_time"),
+        (F.abs(F.col("pr_auc") - max(precisions)) < 1e-9).alias("precision_recomputed"),
+        F.lit(",".join(model.indicators)).alias("indicators"),
+    )
+
+
+@query(
+    "refit_rounds",
+    f"""WITH {FACTS}, cut AS (SELECT quantile_cont(sec, 0.8) AS b FROM facts)
+        SELECT count(*) FILTER (WHERE sec <= b) AS train_rows, count(*) AS all_rows,
+          round(count(*) / CAST(count(*) FILTER (WHERE sec <= b) AS DOUBLE), 6) AS growth,
+          true AS rounds_follow_growth, count(*) AS scored_rows FROM facts, cut""",
+)
+def refit_rounds(spark, sf):
+    """The last fit: the kept round scaled by the growth in rows, on all of them."""
+    table = materialise(facts(spark, sf), "facts")
+    train, valid = _halves(table)
+    candidate = M.early_stopped_candidate(B.Recipe("quick", depth=3, step=0.3), 8, 4)
+    kept = M.fit(candidate, train, _FEATURES, "label", valid).best_round
+    n_train, n_all = train.count(), table.count()
+    final, model = M.refit_all(candidate.with_rounds, kept, n_train, table, _FEATURES, "label")
+    followed = len(model.trees.treeWeights) == model.best_round == max(1, round(kept * n_all / n_train))
+    return M.score(final, model, table, _FEATURES, ["id"]).agg(F.count("score").alias("scored_rows")).select(
+        F.lit(n_train).cast("long").alias("train_rows"),
+        F.lit(n_all).cast("long").alias("all_rows"),
+        F.round(F.lit(n_all / n_train), 6).alias("growth"),
+        F.lit(followed).alias("rounds_follow_growth"),
+        "scored_rows",
+    )
+
+
+@query(
+    "prior_row",
+    f"""WITH {FACTS}, cut AS (SELECT quantile_cont(sec, 0.8) AS b FROM facts)
+        SELECT 'prior' AS model, round(avg(label), 6) AS pr_auc, round(avg(label), 6) AS pr_auc_baseline,
+          CAST(1 AS DOUBLE) AS pr_auc_lift, CAST(0.5 AS DOUBLE) AS roc_auc, count(*) FILTER (WHERE false) AS rounds
+        FROM facts, cut WHERE sec > b""",
+)
+def prior_row(spark, sf):
+    """The floor of the leaderboard: precision is the rate, the ROC area one half."""
+    train, valid = _model_split(spark, sf)
+    table = M.compare_candidates([], train, valid, _FEATURES, NAMES, prior=True)
+    areas = ["pr_auc", "pr_auc_baseline", "pr_auc_lift", "roc_auc"]
+    return rounded(table.select("model", *areas, F.coalesce("best_round", F.lit(0)).alias("rounds")))
+
+
+@query(
+    "cv_folds",
+    f"""WITH {FACTS}, e AS (SELECT quantile_cont(sec, [0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM facts),
+        f AS (SELECT unnest(range(1, 5)) AS fold),
+        r AS (SELECT fold, sec, label, sec <= q[fold] AS early FROM facts, e, f WHERE sec <= q[fold + 1])
+        SELECT fold, count(*) FILTER (WHERE early) AS train_rows, count(*) FILTER (WHERE NOT early) AS valid_rows,
+          strftime(make_timestamp(min(sec) FILTER (WHERE NOT early) * 1000000), '%Y-%m-%d') AS valid_start,
+          strftime(make_timestamp(max(sec) FILTER (WHERE NOT early) * 1000000), '%Y-%m-%d') AS valid_end,
+          round(avg(label) FILTER (WHERE NOT early), 6) AS pr_auc_baseline, true AS measured
+        FROM r GROUP BY fold""",
+)
+def cv_folds(spark, sf):
+    """Rows, dates and rate of every fold of a cross-validation."""
+    cv = M.cross_validate(_logistic(), facts(spark, sf), _FEATURES, "sec", NAMES)
+    return rounded(
+        cv.select(
+            "fold", "train_rows", "valid_rows", "valid_start", "valid_end", "pr_auc_baseline",
+            ((F.col("pr_auc") > 0) & (F.col("pr_auc") <= 1) & F.col("roc_auc").between(0, 1)).alias("measured"),
+        )
+    )
+
+
+_NULLED = {"amount": "amount", "card": "card", "addr": "CASE WHEN id % 5 <> 0 THEN addr END",
+           "age": "CASE WHEN id % 3 <> 0 THEN age END", "balance": "CASE WHEN card % 4 <> 0 THEN balance END"}
+
+
+@query(
+    "logistic_optimum",
+    f"""WITH {FACTS}, cut AS (SELECT quantile_cont(sec, 0.8) AS b FROM facts),
+        g AS (SELECT sec, {', '.join(f'{x} AS {c}' for c, x in _NULLED.items())} FROM facts, cut WHERE sec <= b)
+        {' UNION ALL '.join(f"""SELECT '{c}' AS feature, round(quantile_cont({c}, 0.5), 6) AS median,
+          count(*) - count({c}) AS filled, true AS at_optimum FROM g""" for c in _NULLED)}""",
+)
+def logistic_optimum(spark, sf):
+    """Medians that fill the gaps, and whether the penalised loss is flat at the fitted weights."""
+    frame = facts(spark, sf).select("id", "sec", "label", *[F.expr(x).alias(c) for c, x in _NULLED.items()])
+    train, _ = _halves(materialise(frame, "gapped"))
+    candidate = _logistic()
+    model = M.fit(candidate, train, list(_NULLED), "label")
+    slopes = M.logistic_gradient(candidate, model, train, list(_NULLED), "label")
+    medians = model.stages[0].surrogates()
+    gaps = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in _NULLED]).first()
+    rows = [(c, float(medians[c]), gaps[c], bool(abs(slopes[c]) < 1e-3)) for c in _NULLED]
+    return rounded(spark.createDataFrame(rows, "feature string, median double, filled long, at_optimum boolean"))
+
+
 # A linear score with fixed weights, so that SQL can follow it.
 _WEIGHTS = {"amount": 2e-6, "balance": -1e-4, "age": 0.03, "addr": 0.02}
 _CONTRIB = f"""{FACTS}, means AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in _WEIGHTS)} FROM facts),

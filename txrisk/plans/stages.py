@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from txrisk.functions.scalar import iso_date, nulls_for_nan
 from txrisk.operators import drift as D
 from txrisk.operators import encoding as E
-from txrisk.operators import joins, modeling, profile
+from txrisk.operators import boosting, joins, modeling, profile
 from txrisk.operators import ranking as R
 from txrisk.session import materialise
 from txrisk.settings import HEADLINE_REVIEW_RATES, REVIEW_CAPACITY, SCALE, TRAIN, VALID, DriftRules, PeriodRules, Scale
@@ -115,26 +115,42 @@ def train(
     capacity: float = REVIEW_CAPACITY,
     scale: Scale = SCALE,
 ) -> tuple[modeling.Candidate, float]:
-    """Compare the candidates on the later part, cross-validate the winner,
-    price every cut-off, score the test table.  Returns the winner and the
-    threshold chosen within capacity."""
+    """Compare the candidates and the prior on the later part, drop the entity
+    family if that costs little, cross-validate the winner at its round, price
+    every cut-off, explain, fit again on all rows with rounds scaled by their
+    growth, score the test table.  Returns the winner and the threshold chosen
+    within capacity."""
     names = R.Scored(spec.id, "score", spec.label, spec.amount)
     table = spark.read.parquet(f"{out}/features")
     early, late = table.filter("split = 'train'"), table.filter("split = 'valid'")
+    fitted: dict = {}
     ranking = modeling.compare_candidates(
-        candidates, early, late, features, names, scale, rates=rates, capacity=capacity
+        candidates, early, late, features, names, scale, prior=True, fitted=fitted, rates=rates, capacity=capacity
     )
     ranking = materialise(ranking, "comparison")
     _report(ranking, out, "model_comparison")
-    best_name = ranking.orderBy(F.desc("pr_auc"), "model").first()["model"]
-    winner = next(c for c in candidates if c.name == best_name)
+    models = ranking.filter(F.col("model") != modeling.PRIOR)
+    first = models.orderBy(F.desc("pr_auc"), "model").first()
+    winner, model = next(c for c in candidates if c.name == first["model"]), fitted[first["model"]]
+
+    family = modeling.entity_features(features)
+    if family:
+        verdict = modeling.ablation(winner, early, late, features, family, names, scale=scale).first()
+        _report(spark.createDataFrame([verdict.asDict()]), out, "ablation")
+        if verdict["drop_family"]:
+            features = [c for c in features if c not in set(family)]
+            model = modeling.fit(winner, early, features, spec.label, late)
+    grown = isinstance(model, boosting.BoostedModel)
+    if grown:
+        _report(boosting.log_frame(late, model).orderBy("round"), out, "rounds")
+    fixed = winner.with_rounds(model.best_round) if grown else winner
+
+    cv = materialise(modeling.cross_validate(fixed, table, features, spec.time, names, folds, scale), "cv")
+    _report(cv.orderBy("fold"), out, "cv_results")
+    _report(modeling.fold_stability(cv), out, "cv_summary")
 
-    cv = modeling.cross_validate(winner, table, features, spec.time, names, folds, scale)
-    _report(cv, out, "cv_results")
-
-    fitted = modeling.fit(winner, early, features, spec.label)
     tables.write_parquet(
-        modeling.score(winner, fitted, late, features, [spec.id, spec.time, spec.label], {spec.amount: "amount"}),
+        modeling.score(winner, model, late, features, [spec.id, spec.time, spec.label], {spec.amount: "amount"}),
         f"{out}/scores",
     )
     scored = spark.read.parquet(f"{out}/scores")
@@ -150,12 +166,22 @@ def train(
         "annual_savings", R.annualised(F.col("savings"), F.lit(float(days)))
     )
     _report(chosen, out, "operating_point")
+
+    _report(modeling.importance(model, late, features), out, "importance")
+    if not grown:
+        parts = modeling.linear_contributions(model, late, features, [spec.id])
+        tables.write_parquet(modeling.row_explanations(parts, spec.id, features), f"{out}/explanations")
+
     threshold = float(point["threshold"])
     test = spark.read.parquet(f"{out}/features_test")
-    final = modeling.fit(winner, table, features, spec.label)
+    final, final_model = modeling.refit_all(
+        fixed.with_rounds, model.best_round if grown else 0, early.count(), table, features, spec.label
+    )
     tables.write_parquet(
-        modeling.batch_scores(winner, final, test, features, spec.id, threshold), f"{out}/test_scores"
+        modeling.batch_scores(final, final_model, test, features, spec.id, threshold), f"{out}/test_scores"
     )
+    used = [(c, final.name, final_model.best_round if grown else None) for c in features]
+    _report(spark.createDataFrame(used, "feature string, model string, rounds int"), out, "final_model")
     return winner, threshold
 
 
@@ -164,18 +190,26 @@ def monitor(
     spark: SparkSession,
     spec: E.EncoderSpec,
     features: Sequence[str],
-    importance: DataFrame,
+    importance: DataFrame | None,
     threshold: float,
     expected_rate: float,
     rules: DriftRules = DriftRules(),
     periods: PeriodRules = PeriodRules(),
     scale: Scale = SCALE,
 ) -> str:
-    """Weekly performance, drift by month and the verdict."""
+    """Weekly performance, drift by month, the verdict, and a JSON bundle of all of these.
+
+    Without `importance` the weights that the training stage wrote are used.
+    """
+    if importance is None:
+        importance = tables.read_csv(spark, f"{out}/reports/importance").select(
+            "feature", F.col("weight").cast("double").alias("weight")
+        )
     scored = spark.read.parquet(f"{out}/scores")
     week = F.date_format(F.date_trunc("week", F.timestamp_seconds(spec.time)), "yyyy-MM-dd")
     names = R.Scored(spec.id, "score", spec.label, "amount")
     weekly = R.period_performance(scored.withColumn("week", week), "week", names, periods, scale)
+    weekly = materialise(weekly, "weekly")
     _report(weekly, out, "weekly_performance")
 
     table = spark.read.parquet(f"{out}/features").filter("split = 'train'")
@@ -192,6 +226,13 @@ def monitor(
         "score-drift",
     )
     _report(moved, out, "score_drift")
-    verdict = D.drift_verdict(moved, rules)
+    verdict = materialise(D.drift_verdict(moved, rules), "verdict")
     _report(verdict, out, "verdict")
+    parts = {
+        "feature_drift": (drift, ["period", "feature"]),
+        "score_drift": (moved, ["period"]),
+        "verdict": (verdict, ["verdict"]),
+        "weekly_performance": (weekly, ["period"]),
+    }
+    tables.report_bundle(parts).coalesce(1).write.mode("overwrite").text(f"{out}/reports/bundle")
     return verdict.first()["verdict"]
