@@ -15,7 +15,7 @@ from txrisk.session import build_session
 from txrisk.settings import Scale
 
 # Forces the distributed way on small tables.
-TINY = Scale(single_task_rows=50, broadcast_rows=5, hot_share=0.05, unpivot_columns=3)
+TINY = Scale(single_task_rows=50, broadcast_rows=5, hot_share=0.05, unpivot_columns=3, ks_ranges=7)
 
 
 @pytest.fixture(scope="session")

@@ -75,6 +75,53 @@ def test_psi_and_ks_by_hand(sides, table):
             assert row["ks"] == pytest.approx(np.abs(cdf(ref[feature]) - cdf(now)).max())
 
 
+@pytest.mark.parametrize("ranges", [2, 7, 200])
+def test_ks_looks_only_where_a_greater_gap_may_be(spark, ranges):
+    """Steps, spikes, shifted tails and a null period, against every value; few ranges leave much open."""
+    rng = np.random.default_rng(ranges)
+    n = 2500
+    ref = pd.DataFrame({"a": rng.normal(size=n), "s": rng.choice([0.0, 1.0, 5.0], n), "t": rng.exponential(size=n)})
+    far = ref.assign(a=ref.a + 9, s=1.0, t=rng.exponential(2, n), p="far")
+    near = pd.DataFrame({"a": rng.normal(0.05, 1, n), "s": ref.s, "t": np.round(rng.exponential(size=n), 1), "p": "near"})
+    odd = ref.assign(t=np.where(rng.random(n) < 0.5, np.nan, ref.t), p=None)
+    cur = pd.concat([far, near, odd])
+    scale = Scale(ks_ranges=ranges)
+    got = D.ks_by_period(spark.createDataFrame(ref), spark.createDataFrame(cur), ["a", "s", "t"], "p", scale=scale).collect()
+    assert len(got) == 9
+    for row in got:
+        now = cur.loc[cur.p.isna() if row["period"] is None else cur.p == row["period"], row["feature"]].dropna().to_numpy()
+        x = np.unique(np.concatenate([ref[row["feature"]], now]))
+        cdf = lambda v: np.searchsorted(np.sort(v), x, "right") / len(v)
+        want = np.abs(cdf(ref[row["feature"]].to_numpy()) - cdf(now)).max()
+        assert row["ks"] == pytest.approx(want, abs=1e-12)
+
+
+def test_ks_leaves_most_values_uncounted(spark):
+    """A clear shift leaves open only the ranges around the greatest gap."""
+    ref = spark.range(20_000).select((F.col("id") / 7).alias("v"))
+    both = ref.select(F.lit(-1).alias("side"), "v").unionByName(ref.select(F.lit(0).alias("side"), (F.col("v") * 1.5).alias("v")))
+    splits = D.range_splits(both, ["v"], 200)
+    ranged = D.many_value_ranges(both, splits, {"v": "range"}).withColumn("feature", F.lit("v"))
+    counted = ranged.groupBy("feature", "range").agg(
+        F.count_if(F.col("side") == -1).alias("n_ref"), F.count_if(F.col("side") == 0).alias("n_p0"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    )
+    found = D._bounds(counted, ["ref", "p0"], DRIFT)
+    assert found.count() >= 190 and found.filter("open").count() <= 6
+
+
+def test_null_period_keeps_all_measures(spark, sides):
+    """A period without a name has its own PSI, KS, quantiles and verdict row."""
+    _, _, r, c = sides
+    c = c.filter("p in ('1-same', '3-moved')").withColumn("p", F.when(F.col("p") == "1-same", F.col("p")))
+    drift = D.compare_features(r, c, ["a", "u"], "p")
+    rows = {(x["period"], x["feature"]): x for x in drift.collect()}
+    assert len(rows) == 4 and rows[None, "a"]["ks"] > 0.5 and rows[None, "a"]["psi"] > 0.25
+    weights = spark.createDataFrame([("a", 1.0), ("u", 1.0)], "feature string, weight double")
+    moved = D.score_drift(c, "p", drift, weights, 0.9, 0.1, "u").collect()
+    assert {x["period"] for x in moved} == {None, "1-same"}
+    assert all(x["weighted_psi"] is not None and x["score_p50"] is not None for x in moved)
+
+
 def test_missing_rate(spark):
     frame = spark.createDataFrame([(1.0,), (None,), (3.0,), (float("inf"),)], "x double")
     assert D.missing_rate(frame, ["x"]).first()["missing_rate"] == 0.5

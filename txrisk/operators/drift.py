@@ -5,13 +5,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txrisk.functions.scalar import drift_band, usable
 from txrisk.operators.joins import broadcast_if_small
-from txrisk.operators.ordering import exact_quantiles, many_value_ranges, prefix_sums
+from txrisk.operators.ordering import (
+    after,
+    approximate_cuts,
+    exact_quantiles,
+    many_value_ranges,
+    null_safe_join,
+)
 from txrisk.session import materialise
 from txrisk.settings import DRIFT, SCALE, DriftRules, Scale
 
@@ -132,8 +140,11 @@ def ks_by_period(
 ) -> DataFrame:
     """Largest gap between the cumulative curves, on all rows of both sides.
 
-    Rows are first counted per distinct value, with one count column for the
-    reference and one per period, so the values are put in order once.
+    Values are first counted in ranges that hold about equal shares of all
+    rows.  At the end of a range the gap is known, and inside it cannot exceed
+    what the range's own counts allow; only ranges that could hold a greater gap
+    than the greatest known one are then counted value by value.  A range of a
+    single value needs no second look.
     """
     sizes = {r[0]: r[1] for r in current.groupBy(period).count().collect()}
     periods = sorted(sizes, key=lambda p: (p is None, p))
@@ -147,60 +158,102 @@ def ks_by_period(
     return reduce(DataFrame.unionByName, parts)
 
 
+def range_splits(frame: DataFrame, columns: Sequence[str], parts: int) -> dict[str, list[float]]:
+    """Starts of ranges with about equal shares of the values; a value that fills a
+    whole share is a range of its own."""
+    marks = frame.agg(*[approximate_cuts(usable(c), parts).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    splits = {}
+    for i, c in enumerate(columns):
+        found = marks[f"c{i}"] or []
+        frequent = {a for a, b in pairwise(found) if a == b}
+        splits[c] = sorted(set(found) | {after(v) for v in frequent})
+    return splits
+
+
 def _ks(reference, current, features, period, periods, rows, rules, scale):
-    cells = F.inline(
-        F.array(*[F.struct(F.lit(c).alias("feature"), usable(c).alias("v")) for c in features])
-    )
-    stacked = (
-        reference.select(F.lit(-1).alias("side"), cells)
-        .unionByName(
-            current.select(
-                F.coalesce(
-                    *[F.when(F.col(period).eqNullSafe(F.lit(p)), i) for i, p in enumerate(periods)]
-                ).alias("side"),
-                cells,
-            ).filter("side is not null")
-        )
-        .filter("v is not null")
+    side = F.coalesce(*[F.when(F.col(period).eqNullSafe(F.lit(p)), i) for i, p in enumerate(periods)])
+    values = [usable(c).alias(f"__v{i}") for i, c in enumerate(features)]
+    both = reference.select(F.lit(-1).alias("side"), *values).unionByName(
+        current.select(side.alias("side"), *values).filter("side is not null")
     )
+    cells = [f"__v{i}" for i in range(len(features))]
+    parts = min(10_000, max(scale.ks_ranges, rows // scale.single_task_rows))
+    # Any splits give the same result; a sample finds fair ones.
+    splits = range_splits(both.sample(min(1.0, 200 * parts / max(rows, 1)), seed=1), cells, parts)
+
+    def stacked(some: Sequence[int]) -> DataFrame:
+        """side, feature, range, v of some features, where there is a value."""
+        ranged = many_value_ranges(both, {cells[i]: splits[cells[i]] for i in some}, {cells[i]: f"__r{i}" for i in some})
+        columns = [
+            F.struct(F.lit(i).alias("feature"), F.col(f"__r{i}").alias("range"), F.col(f"__v{i}").alias("v")) for i in some
+        ]
+        return ranged.select("side", F.inline(F.array(*columns))).filter("v is not null")
+
     sides = [-1, *range(len(periods))]
     names = ["ref", *[f"p{i}" for i in range(len(periods))]]
-    counted = stacked.groupBy("feature", "v").agg(
-        *[F.count_if(F.col("side") == s).alias(f"n_{m}") for s, m in zip(sides, names)]
+    counts = [F.count_if(F.col("side") == s).alias(f"n_{m}") for s, m in zip(sides, names, strict=True)]
+    # ranges x features rows
+    ends = (F.min("v").alias("lo"), F.max("v").alias("hi"))
+    first = stacked(range(len(features))).groupBy("feature", "range").agg(*counts, *ends)
+    known = materialise(_bounds(first, names, rules), "ranges")
+    best = known.groupBy("feature").agg(
+        *[F.max(f"t_{m}").alias(f"t_{m}") for m in names], *[F.max(f"gap_{m}").alias(f"gap_{m}") for m in names[1:]]
     )
-    counted = materialise(counted, "values")
-    known = rows if rows <= scale.single_task_rows else None
-    curves = prefix_sums(
-        counted,
-        "v",
-        {m: F.col(f"n_{m}") for m in names},
-        partition_by=["feature"],
-        rows=known,
-        scale=scale,
+
+    wanted = known.filter("open")
+    unsure = sorted(r["feature"] for r in wanted.select("feature").distinct().collect())
+    # A range holds a small share of all rows: its values are put in order by one task.
+    upto = W.partitionBy("feature", "range").orderBy("v").rangeBetween(W.unboundedPreceding, W.currentRow)
+    curves = (
+        stacked(unsure or [0])
+        .join(broadcast_if_small(wanted.select("feature", "range")), ["feature", "range"], "left_semi")
+        .select("feature", "range", *[F.count_if(F.col("side") == s).over(upto).alias(m) for s, m in zip(sides, names, strict=True)])
     )
-    totals = counted.groupBy("feature").agg(*[F.sum(f"n_{m}").alias(f"t_{m}") for m in names])
-    share = lambda m: F.try_divide(F.col(m), F.col(f"t_{m}"))
-    gaps = (
-        # one row per feature
-        curves.join(broadcast_if_small(totals), "feature")
+    share = lambda m: F.try_divide(F.col(m) + F.col(f"before_{m}"), F.col(f"t_{m}"))
+    finer = (
+        curves.join(broadcast_if_small(wanted), ["feature", "range"])
         .groupBy("feature")
-        .agg(
-            F.max("t_ref").alias("t_ref"),
-            *[F.max(f"t_{m}").alias(f"t_{m}") for m in names[1:]],
-            *[F.max(F.abs(share(m) - share("ref"))).alias(f"gap_{m}") for m in names[1:]],
-        )
-    )
-    enough = lambda m: (F.col(f"t_{m}") >= rules.min_rows) & (
-        F.col("t_ref") >= rules.min_rows
+        .agg(*[F.max(F.abs(share(m) - share("ref"))).alias(f"fine_{m}") for m in names[1:]])
     )
+    enough = lambda m: (F.col(f"t_{m}") >= rules.min_rows) & (F.col("t_ref") >= rules.min_rows)
     kind = current.schema[period].dataType
     per_period = [
         F.struct(
-            F.lit(p).cast(kind).alias("period"), F.when(enough(m), F.col(f"gap_{m}")).alias("ks")
+            F.lit(p).cast(kind).alias("period"),
+            F.when(enough(m), F.greatest(f"gap_{m}", f"fine_{m}")).alias("ks"),
         )
-        for p, m in zip(periods, names[1:])
+        for p, m in zip(periods, names[1:], strict=True)
     ]
-    return gaps.select("feature", F.inline(F.array(*per_period)))
+    label = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("feature") + 1)
+    # one row per feature
+    return best.join(finer, "feature", "left").select(label.alias("feature"), F.inline(F.array(*per_period)))
+
+
+def _bounds(counted: DataFrame, names: Sequence[str], rules: DriftRules) -> DataFrame:
+    """Adds totals, counts before each range, the gap at its end, and whether a greater
+    gap than the greatest known one may lie inside it."""
+    whole = W.partitionBy("feature")
+    earlier = whole.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    work = counted.select(
+        "*",
+        *[F.coalesce(F.sum(f"n_{m}").over(earlier), F.lit(0)).alias(f"before_{m}") for m in names],
+        *[F.sum(f"n_{m}").over(whole).alias(f"t_{m}") for m in names],
+    )
+    at = lambda m, end: F.try_divide(F.col(f"before_{m}") + (F.col(f"n_{m}") if end else 0), F.col(f"t_{m}"))
+    work = work.select(
+        "*",
+        *[F.abs(at(m, True) - at("ref", True)).alias(f"gap_{m}") for m in names[1:]],
+        *[
+            F.greatest(F.abs(at(m, True) - at("ref", False)), F.abs(at(m, False) - at("ref", True))).alias(f"most_{m}")
+            for m in names[1:]
+        ],
+    )
+    asked = lambda m: (F.col(f"t_{m}") >= rules.min_rows) & (F.col("t_ref") >= rules.min_rows)
+    beats = [asked(m) & (F.col(f"most_{m}") > F.max(f"gap_{m}").over(whole)) for m in names[1:]]
+    several = F.col("lo") < F.col("hi")
+    return work.withColumn("open", F.coalesce(several & reduce(lambda a, b: a | b, beats), F.lit(False))).drop(
+        "lo", "hi", *[f"n_{m}" for m in names], *[f"most_{m}" for m in names[1:]]
+    )
 
 
 def compare_features(
@@ -214,7 +267,7 @@ def compare_features(
     """All measures for every feature and period: one report row each."""
     psi = psi_by_period(reference, current, features, period, rules, scale)
     ks = ks_by_period(reference, current, features, period, rules, scale)
-    return psi.join(ks, ["period", "feature"], "left").select(
+    return null_safe_join(psi, ks, ["period", "feature"], "left").select(
         "period",
         "feature",
         "psi",
@@ -278,11 +331,10 @@ def score_drift(
         F.count_if(over).alias("features_significant"),
         F.count_if(over & F.col("feature").isin(top_names)).alias("top_features_significant"),
     )
+    long_enough = moved.filter(F.col("rows") >= rules.min_rows)
     return (
-        moved.filter(F.col("rows") >= rules.min_rows)
-        .join(marks, "period")
-        .join(weighted_drift(drift, importance), "period")
-        .join(counts, "period")
+        # one row per period
+        reduce(lambda a, b: null_safe_join(a, b, ["period"]), [long_enough, marks, weighted_drift(drift, importance), counts])
         .select(
             "period",
             "rows",

@@ -25,7 +25,7 @@ from txrisk.settings import SCALE, Scale
 _INF = float("inf")
 
 
-def _after(v: float) -> float:
+def after(v: float) -> float:
     return math.nextafter(v, _INF)
 
 
@@ -59,7 +59,7 @@ def many_value_ranges(
     )
 
 
-def _sketch(value: Column, parts: int) -> Column:
+def approximate_cuts(value: Column, parts: int) -> Column:
     """About equal cuts of a column into ``parts``."""
     # As text: one call to the JVM instead of one per probability.
     probs = ", ".join(f"{i / parts}D" for i in range(1, parts))
@@ -237,11 +237,11 @@ def _ranked(work, columns, probs, by):
     return result
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """A join on keys in which null equals null; the keys come from the left."""
     other = {k: f"__{k}" for k in keys}
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()])
-    return left.join(right.withColumnsRenamed(other), same).drop(*other.values())
+    return left.join(right.withColumnsRenamed(other), same, how).drop(*other.values())
 
 
 def _bracketed(work, columns, probs, by, accuracy, everywhere):
@@ -285,7 +285,7 @@ def _bracketed(work, columns, probs, by, accuracy, everywhere):
             else:
                 merged.append([lo, hi])
         inner = sorted(
-            {e for lo, hi in merged for e in (lo, _after(hi) if hi < _INF else _INF) if math.isfinite(e)}
+            {e for lo, hi in merged for e in (lo, after(hi) if hi < _INF else _INF) if math.isfinite(e)}
         )
         starts = [-_INF, *inner]
         kept[c] = [k for k, s in enumerate(starts) if any(lo <= s <= hi for lo, hi in merged)]
@@ -317,7 +317,7 @@ def _bracketed(work, columns, probs, by, accuracy, everywhere):
         W.partitionBy(*group, "range").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     ranked = (
-        _null_safe_join(tally.withColumn("cum", F.sum("n").over(inside)), offsets, [*group, "range"])
+        null_safe_join(tally.withColumn("cum", F.sum("n").over(inside)), offsets, [*group, "range"])
         .withColumn("last", F.col("cum") + F.coalesce("off", F.lit(0)) - 1)
         .withColumn("first", F.col("last") - F.col("n") + 1)
     )
@@ -336,7 +336,7 @@ def _bracketed(work, columns, probs, by, accuracy, everywhere):
         small = spark.createDataFrame([w[1:] for w in wanted], schema)
     # groups x columns x probabilities rows
     hits = (
-        _null_safe_join(ranked, F.broadcast(small), group)
+        null_safe_join(ranked, F.broadcast(small), group)
         .groupBy(*group, "j")
         .agg(
             F.max(F.when(F.col("lo").between(F.col("first"), F.col("last")), F.col("v"))).alias("a"),

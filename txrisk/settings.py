@@ -88,6 +88,7 @@ class Scale:
     broadcast_rows: int = 200_000
     hot_share: float = 0.001
     unpivot_columns: int = 50
+    ks_ranges: int = 200
 
 
 COST = CostModel()
