@@ -47,7 +47,11 @@ class Settings:
     sample: int = 40_000
     factors: int = 6
     epochs: int = 40
+    batch: int = 512
+    fold: int = 10
+    patience: int = 4
     rate: float = 0.1
+    factor_rate: float = 0.05
     decay: float = 2e-4
     least_z: float = 4.5
     penalty: float = 1.5
@@ -105,53 +109,104 @@ def counted_buckets(labelled: DataFrame, settings: Settings) -> tuple[np.ndarray
     return index[order], held[order]
 
 
+class _Rows:
+    """Some rows as flat places in the index, and the buckets that they use."""
+
+    def __init__(self, starts: np.ndarray, flat: np.ndarray, labels: np.ndarray, rows: np.ndarray):
+        lengths = np.diff(starts)[rows]
+        self.labels = labels[rows].astype(np.float32)
+        self.filled = np.flatnonzero(lengths)
+        self.begins = (np.cumsum(lengths) - lengths)[self.filled]
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+        own = np.concatenate([flat[starts[i] : starts[i + 1]] for i in rows])
+        self.used, at = np.unique(own, return_inverse=True)
+        self.at = at.astype(np.int32)
+
+    def by_row(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the terms of each row; a row without terms has zero."""
+        found = np.zeros((len(self.labels), *values.shape[1:]), dtype=values.dtype)
+        if len(self.begins):
+            found[self.filled] = np.add.reduceat(values, self.begins, axis=0)
+        return found
+
+    def odds(self, b: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of each row and its summed factors; `w` and `v` are those of `used`."""
+        vectors = np.take(v, self.at, axis=0)
+        sums = self.by_row(vectors)
+        squares = self.by_row(np.einsum("ij,ij->i", vectors, vectors))
+        pairs = 0.5 * (np.einsum("ij,ij->i", sums, sums) - squares)
+        return b + self.by_row(np.take(w, self.at)) + pairs, sums
+
+    def loss(self, b: float, w: np.ndarray, v: np.ndarray) -> float:
+        odds, _ = self.odds(b, w[self.used], v[self.used])
+        odds = np.clip(odds, -30, 30)
+        return float(np.mean(np.log1p(np.exp(odds)) - self.labels * odds))
+
+
 def _descend(
     starts: np.ndarray, flat: np.ndarray, labels: np.ndarray, index: np.ndarray, held: np.ndarray, settings: Settings
 ) -> Machine:
     """Minibatch AdaGrad on the logistic loss of the factorization machine.
 
     Row i has the places in `index` from flat[starts[i]] to before flat[starts[i + 1]].
-    Steps touch the buckets of a batch only.  Held buckets are drawn to zero, the
-    factors of one as a group; the draw grows with the root of their rows, as chance does."""
+    Every `fold`-th row is kept aside: when its loss has not fallen for `patience`
+    epochs the best weights so far are taken.  Batches are arranged once and taken in
+    a new order each epoch; steps touch the buckets of a batch only.  Held buckets
+    are drawn to zero, the factors of one as a group; the draw grows with the root of
+    their rows, as chance does."""
     rng = np.random.default_rng(settings.seed)
     m, k, n = len(index), settings.factors, len(labels)
-    w, v, b = np.zeros(m), rng.normal(0, 0.05, (m, k)).astype(np.float32), 0.0
-    gw, gv, gb = np.full(m, 1e-8), np.full((m, k), 1e-8, dtype=np.float32), 1e-8
-    lengths = np.diff(starts)
+    w, v, b = np.zeros(m, dtype=np.float32), rng.normal(0, 0.05, (m, k)).astype(np.float32), 0.0
+    gw, gv, gb = np.full(m, 1e-8, dtype=np.float32), np.full((m, k), 1e-8, dtype=np.float32), 1e-8
     n_rows = np.bincount(flat, minlength=m)
     v[n_rows == 0] = 0
-    batches = max(1, n // 256)
+    order = rng.permutation(n)
+    aside, rest = order[: n // settings.fold], order[n // settings.fold :]
+    n_batches = max(1, len(rest) // settings.batch)
+    batches = [_Rows(starts, flat, labels, some) for some in np.array_split(rest, n_batches)]
+    judge = _Rows(starts, flat, labels, aside) if len(aside) else None
     spread = labels.mean() * (1 - labels.mean())
-    draw = settings.penalty * held * np.sqrt(spread * n_rows) / n * batches / np.clip(n_rows, 1, batches)
+    draw = settings.penalty * held * np.sqrt(spread * n_rows) / n * n_batches / np.clip(n_rows, 1, n_batches)
+    draw = draw.astype(np.float32)
+    best, since, kept = np.inf, 0, (b, w, v)
     for _ in range(settings.epochs):
-        order = rng.permutation(n)
-        for batch in np.array_split(order, batches):
-            size = len(batch)
-            owner = np.repeat(np.arange(size), lengths[batch])
-            used, at = np.unique(np.concatenate([flat[starts[i] : starts[i + 1]] for i in batch]), return_inverse=True)
+        for i in rng.permutation(n_batches):
+            rows = batches[i]
+            used, at, size = rows.used, rows.at, len(rows.labels)
+            if not len(used):
+                continue
             wu, vu = w[used], v[used]
-            va = vu[at]
-            sums = np.stack([np.bincount(owner, va[:, f], size) for f in range(k)], axis=1)
-            squares = np.bincount(owner, (va**2).sum(axis=1), size)
-            odds = b + np.bincount(owner, wu[at], size) + 0.5 * ((sums**2).sum(axis=1) - squares)
-            error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels[batch]) / size
-            total = np.bincount(at, error[owner], len(used))
-            met = (error[:, None] * sums)[owner]
+            odds, sums = rows.odds(b, wu, vu)
+            error = ((1 / (1 + np.exp(-np.clip(odds, -30, 30))) - rows.labels) / size).astype(np.float32)
+            total = np.bincount(at, np.take(error, rows.owner), len(used)).astype(np.float32)
             dw = total + settings.decay * wu
-            dv = np.stack([np.bincount(at, met[:, f], len(used)) for f in range(k)], axis=1)
-            dv += (settings.decay - total[:, None]) * vu
-            db = error.sum()
+            dv = (settings.decay - total[:, None]) * vu
+            met = error[:, None] * sums
+            for f in range(k):
+                dv[:, f] += np.bincount(at, np.take(met[:, f], rows.owner), len(used))
+            db = float(error.sum())
             gw[used] += dw**2
             gv[used] += dv**2
             gb += db**2
             pace = settings.rate / np.sqrt(gw[used])
             wu = wu - pace * dw
             w[used] = np.sign(wu) * np.maximum(0, np.abs(wu) - pace * draw[used])
-            vu = vu - settings.rate * dv / np.sqrt(gv[used])
-            pace = settings.rate / np.sqrt(gv[used].mean(axis=1)) * np.sqrt((sums**2).sum(axis=1).mean())
+            vu = vu - settings.factor_rate * dv / np.sqrt(gv[used])
+            pace = settings.factor_rate / np.sqrt(gv[used].mean(axis=1)) * np.sqrt((sums**2).sum(axis=1).mean())
             far = np.sqrt((vu**2).sum(axis=1)) + 1e-12
             v[used] = vu * np.maximum(0, 1 - pace * draw[used] / far)[:, None]
             b -= settings.rate * db / np.sqrt(gb)
+        if judge is None:
+            kept = (b, w, v)
+            continue
+        loss = judge.loss(b, w, v)
+        if loss < best - 1e-5:
+            best, since, kept = loss, 0, (b, w.copy(), v.copy())
+        else:
+            since += 1
+            if since >= settings.patience:
+                break
+    b, w, v = kept
     moved = (w != 0) | v.any(axis=1)  # the others add nothing to any score
     return Machine(index[moved], b, w[moved], v[moved])
 
