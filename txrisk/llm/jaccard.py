@@ -11,7 +11,9 @@ The rows of the matrix are the distinct shingle sets, its columns the n-grams.
    column blocks, and a pair goes as soon as the columns left cannot lift it to
    the overlap that its sizes demand.
 3. A task returns links enough to connect its rows, not all pairs; the
-   components of the links are the classes.
+   components of the links are the classes.  Rows that the links of a first
+   block of rows, the pivots, have brought together need not meet again: only rows
+   outside the largest class of a component meet the others.
 
 Equal sets are one row, so copies cost nothing; a large component is spread
 over many tasks, each with two blocks of rows.
@@ -21,13 +23,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -307,20 +310,77 @@ def _spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tu
 
 
 def _multiply(settings: Settings):
+    """Links enough between the rows on the left and those on the right of a block."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("row")
-        i, j = int(frame["i"].iat[0]), int(frame["j"].iat[0])
-        part = frame["part"].to_numpy()
-        rows = frame["row"].tolist()
+        frame = frame.drop_duplicates(["row", "side"])
+        rows, side = frame["row"].tolist(), frame["side"].to_numpy()
         sets = [np.asarray(s, dtype=np.int64).view(U) for s in frame["grams"]]
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
         links = overlaps([sets[k] for k in left], [sets[k] for k in right], settings)
-        kept = _spanning(links, left, right)
-        return pd.DataFrame({"a": [rows[x] for x, _ in kept], "b": [rows[y] for _, y in kept]})
+        kept = [(rows[x], rows[y]) for x, y in _spanning(links, left, right)]
+        return pd.DataFrame({"a": [x for x, _ in kept], "b": [y for _, y in kept]})
 
     return run
 
 
+_BLOCK = ["root", "i", "j", "side", "row", "grams"]
+
+
+def _product(blocks: DataFrame, settings: Settings) -> DataFrame:
+    return blocks.groupBy("root", "i", "j").applyInPandas(_multiply(settings), "a binary, b binary")
+
+
+def _each(parts: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), parts.cast("int") - 1))
+
+
+def _links(matrix: DataFrame, settings: Settings) -> DataFrame:
+    """Links enough to keep connected all that links connect, within each candidate component.
+
+    First the rows of one part, the pivots, meet all rows.  What they link becomes a
+    class, and rows of one class need not meet again; so only rows outside the
+    largest class of their component, few where it is made of near copies, then meet
+    all others.  A component of one part is done after the first step.
+    """
+    part = F.pmod(F.xxhash64("row"), F.col("n_parts")).cast("int")
+    placed = matrix.select("root", "n_parts", part.alias("part"), "row", "grams")
+    rows = placed.select("root", F.col("part").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("side"), "row", "grams")
+    pivots = placed.filter("part = 0").select("root", _each(F.col("n_parts")).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "row", "grams")
+    first = materialise(_product(rows.unionByName(pivots), settings), "pivot-links")
+
+    large = placed.filter("n_parts > 1")
+    classes = components(first).select(F.col("node").alias("row"), F.col("root").alias("class"))
+    named = large.select("root", "row").distinct().join(classes, "row", "left").select("root", "row", F.coalesce("class", "row").alias("class"))
+    named = materialise(named, "pivot-classes")
+    sizes = named.groupBy("root", "class").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("root").agg(
+        F.max_by("class", F.struct("n", "class")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("in_largest")
+    )
+    outside = F.col("all") - F.col("in_largest")
+    some = most.filter(outside > 0).select("root", "largest", F.ceil(outside / settings.rows).cast("int").alias("m_parts"))
+    told = named.join(some, "root").select("row", "m_parts", (F.col("class") != F.col("largest")).alias("moves"))
+    left = large.join(told, "row").withColumn("own", F.pmod(F.xxhash64("row", F.lit(1)), F.col("m_parts")).cast("int"))
+    settled, movers = left.filter("not moves"), left.filter("moves")
+
+    def block(frame: DataFrame, i: Column, j: Column, side: int) -> DataFrame:
+        # Blocks of settled rows with movers are numbered from 0, those of movers alone from -1 down.
+        return frame.select("root", "row", "grams", i.alias("i"), j.alias("j"), F.lit(side).alias("side")).select(_BLOCK)
+
+    pairs = movers.withColumn("with", _each(F.col("m_parts")))
+    low, high = F.least("own", "with"), F.greatest("own", "with")
+    blocks = [
+        block(settled.withColumn("with", _each(F.col("m_parts"))), F.col("part"), F.col("with"), 0),
+        block(movers.withColumn("with", _each(F.col("n_parts"))), F.col("with"), F.col("own"), 1),
+        block(pairs.filter("own <= with"), -1 - low, high, 0),
+        block(pairs.filter("own >= with"), -1 - low, high, 1),
+    ]
+    second = _product(reduce(DataFrame.unionByName, blocks), settings)
+    return first.unionByName(second)
+
+
 def join_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) for every row.
 
@@ -351,13 +411,7 @@ def join_components(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         "row", "root", "n_parts", "packed"
     )
     matrix = materialise(_incidence(found, settings), "incidence")
-    placed = matrix.withColumn("part", F.pmod(F.xxhash64("row"), F.col("n_parts")).cast("int")).withColumn(
-        "with", F.explode(F.sequence(F.lit(0), F.col("n_parts").cast("int") - 1))
-    )
-    blocks = placed.select(
-        "root", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "row", "grams"
-    )
-    links = blocks.groupBy("root", "i", "j").applyInPandas(_multiply(settings), "a binary, b binary")
+    links = _links(matrix, settings)
     classes = components(links)
 
     known = described.select("doc_id", "n", "row").join(classes.withColumnRenamed("node", "row"), "row", "left")
