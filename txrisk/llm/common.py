@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 # Space, tab and the other ASCII white space; as Java and Python patterns.
 SPACE = r"[\x20\x09-\x0D]+"
 
+# Rows travel to Python in batches of so many bytes, however long their texts are.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8_000_000
+
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
@@ -23,6 +26,9 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Further columns, whatever their names, never reach an operator.
     """
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_KEY) != f"{BATCH_BYTES}b":
+        conf.set(BATCH_KEY, f"{BATCH_BYTES}b")
     return docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )

@@ -41,7 +41,7 @@ class Settings:
     linear: float = 1.0
     quadratic: float = 1.0 / 2048
     block_tokens: int = 1_000_000
-    cached_words: int = 400_000
+    cached_bytes: int = 40_000_000
 
     def cost(self, n: int) -> float:
         return self.linear * n + self.quadratic * n * n
@@ -64,7 +64,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(settings.tokenizer)
-        self.most = settings.cached_words
+        self.most, self.held = settings.cached_bytes, 0
         self.known: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
@@ -105,17 +105,21 @@ class Encoder:
 
     def encode(self, found: list[str]) -> list[bytes]:
         pieces = [self._pieces(t) for t in found]
-        if len(self.known) > self.most:
+        if self.held > self.most:
             self.known.clear()
-        self._learn(list(set().union(*pieces) - self.known.keys()))
+            self.held = 0
+        new = list(set().union(*pieces) - self.known.keys())
+        self._learn(new)
         known = self.known
+        # What Python needs for a word, its ids and their place in the table, beside their own bytes.
+        self.held += sum(150 + len(p) + len(known[p]) for p in new)
         return [b"".join([known[p] for p in ps]) for ps in pieces]
 
 
 def encoder(settings: Settings) -> Encoder:
     """One for each worker process, so that its tasks share what they have encoded."""
     made = vars(sys).setdefault("_packing_encoders", {})
-    key = settings.tokenizer, settings.cached_words
+    key = settings.tokenizer, settings.cached_bytes
     if key not in made:
         made[key] = Encoder(settings)
     return made[key]
