@@ -167,7 +167,7 @@ def test_language_filter_names_every_language(spark):
 def test_packing_round_trip(spark, docs, corpus, none):
     from tokenizers import Tokenizer
 
-    settings = packing.Settings(tokenizer_path(), block_tokens=3000, cached_words=50)
+    settings = packing.Settings(tokenizer_path(), block_tokens=3000, cached_bytes=8000)
     odd = corpus + [
         (7000, "it's don't 'S o'clock. áb \x1c z\x85q İstanbul ΣΑΣ. 12.5 ...! <|endoftext|> hi"),
         (7001, " .a ,.b ' 3rd x1. I'LL ½ naïve été ﬁ x　y"),
@@ -308,7 +308,7 @@ def _components_by_hand(rows, size, percent):
 
 @pytest.mark.parametrize(("size", "percent", "rows"), [(3, 90, 256), (5, 80, 256), (3, 60, 4)])
 def test_jaccard(docs, corpus, size, percent, rows):
-    settings = jaccard.Settings(shingle=size, percent=percent, rows=rows, columns=64, bucket_chars=2000)
+    settings = jaccard.Settings(size, percent, rows=rows, columns=64, bucket_chars=2000, broadcast_rows=0 if rows == 4 else 200_000)
     got = _rows(jaccard.join_components(docs, settings))
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == _components_by_hand(corpus, size, percent)
 

@@ -32,6 +32,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from txrisk.llm.common import per_row, texts
@@ -59,6 +60,8 @@ class Settings:
     rows: int = 256
     columns: int = 4096
     bucket_chars: int = 8_000_000
+    # Candidate rows of fixed width (some 100 bytes each) are broadcast to the texts up to so many, else both are shuffled.
+    broadcast_rows: int = 200_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -407,9 +410,9 @@ def join_components(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         ids.withColumn("short", short).join(parts, "short").select(F.col("f.doc_id").alias("id"), "row", "root", "n_parts"),
         "candidates",
     )
-    found = packed(frame).join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select(
-        "row", "root", "n_parts", "packed"
-    )
+    fixed = isinstance(wanted.schema["id"].dataType, T.NumericType)
+    few = F.broadcast(wanted) if fixed and wanted.count() <= settings.broadcast_rows else wanted
+    found = packed(frame).join(few, F.col("doc_id").eqNullSafe(F.col("id"))).select("row", "root", "n_parts", "packed")
     matrix = materialise(_incidence(found, settings), "incidence")
     links = _links(matrix, settings)
     classes = components(links)
