@@ -117,11 +117,15 @@ class _Rows:
         self.labels = labels[rows].astype(np.float32)
         self.filled = np.flatnonzero(lengths)
         self.begins = (np.cumsum(lengths) - lengths)[self.filled]
-        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+        self.lengths = lengths.astype(np.int32)
         own = np.concatenate([flat[starts[i] : starts[i + 1]] for i in rows])
         self.used, at = np.unique(own, return_inverse=True)
         self.at = at.astype(np.int32)
 
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """The value of its row for each term."""
+        return np.repeat(values, self.lengths)
+
     def by_row(self, values: np.ndarray) -> np.ndarray:
         """Sums over the terms of each row; a row without terms has zero."""
         found = np.zeros((len(self.labels), *values.shape[1:]), dtype=values.dtype)
@@ -143,12 +147,26 @@ class _Rows:
         return float(np.mean(np.log1p(np.exp(odds)) - self.labels * odds))
 
 
+def _arranged(
+    starts: np.ndarray, flat: np.ndarray, labels: np.ndarray, m: int, settings: Settings
+) -> tuple[list[_Rows], _Rows | None, np.ndarray]:
+    """Batches of rows, the rows kept aside, and the rows of each of `m` buckets.
+
+    Row i has the places in the index from flat[starts[i]] to before flat[starts[i + 1]]."""
+    n = len(labels)
+    order = np.random.default_rng(settings.seed).permutation(n)
+    aside, rest = order[: n // settings.fold], order[n // settings.fold :]
+    batches = [_Rows(starts, flat, labels, some) for some in np.array_split(rest, max(1, len(rest) // settings.batch))]
+    judge = _Rows(starts, flat, labels, aside) if len(aside) else None
+    return batches, judge, np.bincount(flat, minlength=m)
+
+
 def _descend(
-    starts: np.ndarray, flat: np.ndarray, labels: np.ndarray, index: np.ndarray, held: np.ndarray, settings: Settings
-) -> Machine:
+    batches: list[_Rows], judge: _Rows | None, n_rows: np.ndarray, labels: np.ndarray,
+    index: np.ndarray, held: np.ndarray, settings: Settings,
+) -> Machine:
     """Minibatch AdaGrad on the logistic loss of the factorization machine.
 
-    Row i has the places in `index` from flat[starts[i]] to before flat[starts[i + 1]].
     Every `fold`-th row is kept aside: when its loss has not fallen for `patience`
     epochs the best weights so far are taken.  Batches are arranged once and taken in
     a new order each epoch; steps touch the buckets of a batch only.  Held buckets
@@ -158,13 +176,8 @@ def _descend(
     m, k, n = len(index), settings.factors, len(labels)
     w, v, b = np.zeros(m, dtype=np.float32), rng.normal(0, 0.05, (m, k)).astype(np.float32), 0.0
     gw, gv, gb = np.full(m, 1e-8, dtype=np.float32), np.full((m, k), 1e-8, dtype=np.float32), 1e-8
-    n_rows = np.bincount(flat, minlength=m)
     v[n_rows == 0] = 0
-    order = rng.permutation(n)
-    aside, rest = order[: n // settings.fold], order[n // settings.fold :]
-    n_batches = max(1, len(rest) // settings.batch)
-    batches = [_Rows(starts, flat, labels, some) for some in np.array_split(rest, n_batches)]
-    judge = _Rows(starts, flat, labels, aside) if len(aside) else None
+    n_batches = len(batches)
     spread = labels.mean() * (1 - labels.mean())
     draw = settings.penalty * held * np.sqrt(spread * n_rows) / n * n_batches / np.clip(n_rows, 1, n_batches)
     draw = draw.astype(np.float32)
@@ -178,12 +191,12 @@ def _descend(
             wu, vu = w[used], v[used]
             odds, sums = rows.odds(b, wu, vu)
             error = ((1 / (1 + np.exp(-np.clip(odds, -30, 30))) - rows.labels) / size).astype(np.float32)
-            total = np.bincount(at, np.take(error, rows.owner), len(used)).astype(np.float32)
+            total = np.bincount(at, rows.spread(error), len(used)).astype(np.float32)
             dw = total + settings.decay * wu
             dv = (settings.decay - total[:, None]) * vu
             met = error[:, None] * sums
             for f in range(k):
-                dv[:, f] += np.bincount(at, np.take(met[:, f], rows.owner), len(used))
+                dv[:, f] += np.bincount(at, rows.spread(met[:, f]), len(used))
             db = float(error.sum())
             gw[used] += dw**2
             gv[used] += dv**2
@@ -229,11 +242,21 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     if not len(index) or not len(y):
         share = (y.sum() + 1) / (len(y) + 2)
         return Machine(index, float(np.log(share / (1 - share))), np.zeros(len(index)), np.zeros((len(index), settings.factors)))
-    found = [c for c in kept["terms"].chunks if len(c)]
+    batches, judge, n_rows = _batches(kept["terms"], y, index, settings)
+    del kept
+    return _descend(batches, judge, n_rows, y, index, held, settings)
+
+
+def _batches(terms: pa.ChunkedArray, labels: np.ndarray, index: np.ndarray, settings: Settings):
+    found = [c for c in terms.chunks if len(c)]
     lengths = np.concatenate([c.value_lengths().to_numpy() for c in found])
-    flat = np.concatenate([np.searchsorted(index, c.flatten().to_numpy()).astype(np.int32) for c in found])
-    del kept, found
-    return _descend(np.concatenate([[0], np.cumsum(lengths)]), flat, y, index, held, settings)
+    flat = np.empty(int(lengths.sum()), dtype=np.int32)
+    at = 0
+    for chunk in found:
+        values = chunk.flatten().to_numpy()
+        flat[at : at + len(values)] = np.searchsorted(index, values)
+        at += len(values)
+    return _arranged(np.concatenate([[0], np.cumsum(lengths)]), flat, labels, len(index), settings)
 
 
 def score(docs: DataFrame, model: Machine, settings: Settings = Settings()) -> DataFrame:
