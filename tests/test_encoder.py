@@ -1,6 +1,9 @@
 import math
+from dataclasses import asdict
 
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tests.conftest import TINY
@@ -35,10 +38,57 @@ def test_decisions_cover_every_candidate(spark, fitted, transactions):
 
 def test_reload_changes_nothing(spark, fitted, transactions):
     path = scratch_path(spark, "encoder-test")
+    want = rows_by_id(fitted.transform(transactions))
     fitted.save(path)
-    again = E.RiskEncoderModel.load(spark, path)
-    assert again.feature_names == fitted.feature_names
-    assert rows_by_id(again.transform(transactions)) == rows_by_id(fitted.transform(transactions))
+    again = E.RiskEncoderModel.load(path)
+    assert again.feature_names == fitted.feature_names and again.uid == fitted.uid
+    assert again.spec == fitted.spec and again.scale == fitted.scale
+    assert again.column_decisions(spark).collect() == fitted.column_decisions(spark).collect()
+    assert sorted(again.block_evidence.collect()) == sorted(fitted.block_evidence.collect())
+    assert rows_by_id(again.transform(transactions)) == want
+    with pytest.raises(ValueError):
+        again.write().overwrite().save(path)
+    fitted.write().overwrite().save(path)
+    assert rows_by_id(E.RiskEncoderModel.load(path).transform(transactions)) == want
+
+
+def test_a_pipeline_saves_and_loads_the_encoder_among_other_stages(spark, fitted, transactions):
+    late = transactions.filter("TransactionID >= 1002400")
+    wanted = ["card1_freq", "hour", "amount_log"]
+    stages = [fitted, VectorAssembler(inputCols=wanted, outputCol="v", handleInvalid="keep")]
+    pipeline, path = PipelineModel(stages), scratch_path(spark, "pipeline-test")
+    want = sorted(map(str, pipeline.transform(late).select("TransactionID", "v").collect()))
+    for _ in range(2):
+        pipeline.write().overwrite().save(path)
+        again = PipelineModel.load(path)
+        assert sorted(map(str, again.transform(late).select("TransactionID", "v").collect())) == want
+
+
+def test_params_are_copied_saved_and_given_to_fit(spark, transactions):
+    encoder = E.RiskEncoder(E.EncoderSpec(passthrough=("flat",)), rescue_min_rows=7)
+    path = scratch_path(spark, "estimator-test")
+    encoder.write().overwrite().save(path)
+    again = E.RiskEncoder.load(path)
+    assert again.spec == encoder.spec and again.getOrDefault(again.rescueMinRows) == 7
+    strict = encoder.copy({encoder.nearConstantShare: 0.01})
+    assert strict.getOrDefault("nearConstantShare") == 0.01
+    assert encoder.getOrDefault("nearConstantShare") != 0.01
+    train = transactions.filter("TransactionID < 1002400")
+    model = Pipeline(stages=[again]).fit(train, {again.nearConstantShare: 0.01}).stages[0]
+    assert model.getOrDefault("nearConstantShare") == 0.01 and model.getOrDefault("rescueMinRows") == 7
+    shares = {r["column"]: r["dominant_share"] for r in model.column_decisions(spark).collect()}
+    reasons = {r["column"]: r["reason"] for r in model.column_decisions(spark).collect()}
+    assert all(reasons[c] != "not near-constant" for c, share in shares.items() if share >= 0.01)
+
+
+def test_lookups_are_written_in_few_files(spark, fitted):
+    path = scratch_path(spark, "few-files")
+    spread = fitted.lookups.repartition(50)
+    columns = spread.select("column").distinct().count()
+    E.write_lookups(spread, path)
+    again = spark.read.parquet(path)
+    assert len(again.inputFiles()) <= columns + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert again.count() == spread.count()
 
 
 def test_a_row_alone_equals_the_row_in_a_batch(fitted, transactions):
@@ -50,7 +100,8 @@ def test_a_row_alone_equals_the_row_in_a_batch(fitted, transactions):
 
 def test_large_lookups_give_the_same_features(fitted, transactions):
     small = rows_by_id(fitted.transform(transactions))
-    skewed = E.RiskEncoderModel(fitted.state, fitted.lookups, TINY)
+    skewed = fitted.copy({fitted.limits: asdict(TINY)})
+    assert skewed.scale == TINY and fitted.scale != TINY
     assert rows_by_id(skewed.transform(transactions)) == small
 
 

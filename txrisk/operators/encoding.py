@@ -8,11 +8,22 @@ feeds.  Nothing in ``transform`` looks at other rows of its input.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from typing import Any
 
 from pyspark.ml import Estimator, Model
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -172,7 +183,48 @@ def encode_frequency(
 # ------------------------------------------------------------------ estimator
 
 
-class RiskEncoder(Estimator):
+class _EncoderParams(Params):
+    """What the estimator is told and its model remembers, as ML params: ``copy``
+    and ``fit`` with a param map change them, and they are saved with the stage."""
+
+    roles: Param[dict] = Param(Params._dummy(), "roles", "the EncoderSpec, field by field")
+    limits: Param[dict] = Param(Params._dummy(), "limits", "the Scale: where the distributed way begins")
+    nearConstantShare: Param[float] = Param(
+        Params._dummy(), "nearConstantShare", "share of one value that makes a column near-constant",
+        TypeConverters.toFloat,
+    )
+    rescueMinRows: Param[int] = Param(
+        Params._dummy(), "rescueMinRows", "rows beside that value that a rescue needs", TypeConverters.toInt
+    )
+    rescueMinLift: Param[float] = Param(
+        Params._dummy(), "rescueMinLift", "lift of those rows, or its inverse, that rescues", TypeConverters.toFloat
+    )
+    blockCorrelation: Param[float] = Param(
+        Params._dummy(), "blockCorrelation", "correlation that makes columns of a block redundant",
+        TypeConverters.toFloat,
+    )
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._setDefault(
+            roles=asdict(EncoderSpec()),
+            limits=asdict(SCALE),
+            nearConstantShare=NEAR_CONSTANT_SHARE,
+            rescueMinRows=RESCUE_MIN_ROWS,
+            rescueMinLift=RESCUE_MIN_LIFT,
+            blockCorrelation=BLOCK_CORRELATION,
+        )
+
+    @property
+    def spec(self) -> EncoderSpec:
+        return EncoderSpec(**_tuples(self.getOrDefault(self.roles)))
+
+    @property
+    def scale(self) -> Scale:
+        return Scale(**self.getOrDefault(self.limits))
+
+
+class RiskEncoder(Estimator, _EncoderParams, DefaultParamsReadable, DefaultParamsWritable):
     """Selects columns and learns the lookups, on training rows only."""
 
     def __init__(
@@ -185,12 +237,14 @@ class RiskEncoder(Estimator):
         scale: Scale = SCALE,
     ):
         super().__init__()
-        self.spec = spec or EncoderSpec()
-        self.near_constant_share = near_constant_share
-        self.rescue_min_rows = rescue_min_rows
-        self.rescue_min_lift = rescue_min_lift
-        self.block_correlation = block_correlation
-        self.scale = scale
+        self._set(
+            roles=asdict(spec or EncoderSpec()),
+            limits=asdict(scale),
+            nearConstantShare=near_constant_share,
+            rescueMinRows=rescue_min_rows,
+            rescueMinLift=rescue_min_lift,
+            blockCorrelation=block_correlation,
+        )
 
     def _fit(self, dataset: DataFrame) -> RiskEncoderModel:
         spec = self.spec
@@ -202,9 +256,9 @@ class RiskEncoder(Estimator):
             dataset,
             spec.label,
             candidates,
-            threshold=self.near_constant_share,
-            min_rare_rows=self.rescue_min_rows,
-            min_lift=self.rescue_min_lift,
+            threshold=self.getOrDefault(self.nearConstantShare),
+            min_rare_rows=self.getOrDefault(self.rescueMinRows),
+            min_lift=self.getOrDefault(self.rescueMinLift),
             scale=self.scale,
         ).collect()
         constant = {r["column"] for r in judged if r["distinct_values"] <= 1}
@@ -219,7 +273,7 @@ class RiskEncoder(Estimator):
         kept, evidence = [], None
         if in_blocks:
             kept, evidence = block_reduce(
-                dataset, [b for b in blocks if b], self.block_correlation, self.scale
+                dataset, [b for b in blocks if b], self.getOrDefault(self.blockCorrelation), self.scale
             )
         base = [c for c in survivors if c not in in_blocks] + kept
 
@@ -228,7 +282,6 @@ class RiskEncoder(Estimator):
         roles = [spec.card, spec.address, spec.age_days, spec.browser, spec.device]
         wanted = set(categories) | {c for c in (*spec.frequency, *roles) if c in base}
         state = {
-            "spec": asdict(spec),
             "base": base,
             "base_types": {c: types[c].simpleString() for c in base},
             "categories": categories,
@@ -239,7 +292,7 @@ class RiskEncoder(Estimator):
             "decisions": decisions,
         }
         lookups = self._learn(dataset, state, judged[0]["rows"])
-        model = RiskEncoderModel(state, lookups, self.scale)
+        model = self._copyValues(RiskEncoderModel(state, lookups))
         model.block_evidence = evidence
         produced = model._features(dataset)
         state["features"] = [c for c in produced if c not in spec.kept_aside]
@@ -249,7 +302,7 @@ class RiskEncoder(Estimator):
         """All lookups from one shuffle: labels are stacked and aggregated
         where they arise, then coded, and written once."""
         spec = self.spec
-        labels = label_columns(dataset, state)
+        labels = label_columns(dataset, state, self.spec)
         coded = [c for c in [*state["categories"], *spec.derived] if c in labels]
         counted = [c for c in spec.frequency if c in labels]
         specs = [(g, v) for g, v in spec.aggregates if g in labels and v in dataset.columns]
@@ -276,8 +329,7 @@ class RiskEncoder(Estimator):
         )
         spark = dataset.sparkSession
         path = scratch_path(spark, "lookups")
-        learnt.join(codes, ["column", "label"], "left").write.partitionBy("column").parquet(path)
-        state["lookup_path"] = path
+        write_lookups(learnt.join(codes, ["column", "label"], "left"), path)
         state["values"] = values
         table = spark.read.parquet(path)
         sizes = table.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -285,9 +337,14 @@ class RiskEncoder(Estimator):
         return table
 
 
-def label_columns(frame: DataFrame, state: dict) -> dict[str, Column]:
+def write_lookups(lookups: DataFrame, path: str) -> None:
+    """One folder per column.  Ranges of (column, label) give few files: a range
+    holds few columns, and a column with very many labels is cut into several."""
+    lookups.repartitionByRange("column", "label").write.partitionBy("column").parquet(path)
+
+
+def label_columns(frame: DataFrame, state: dict, spec: EncoderSpec) -> dict[str, Column]:
     """Text form of every column that is counted, coded or grouped by."""
-    spec = EncoderSpec(**_tuples(state["spec"]))
     labels: dict[str, Column] = {}
     for c in state["label_sources"]:
         labels[c] = X.label_of(frame, c) if c in frame.columns else F.lit(MISSING)
@@ -318,19 +375,26 @@ def _tuples(spec: dict) -> dict:
     return {k: deep(v) for k, v in spec.items()}
 
 
-class RiskEncoderModel(Model):
-    """Column choice, lookups and the frozen feature order."""
+class RiskEncoderModel(Model, _EncoderParams, MLWritable, MLReadable):
+    """Column choice, lookups and the frozen feature order.
+
+    Saves and loads as any ML stage does, alone or in a ``PipelineModel``.  The
+    lookups of a loaded model stay in its folder and are read when rows are
+    encoded, so a pipeline must not be saved over the folder it was loaded from.
+    """
 
-    def __init__(self, state: dict, lookups: DataFrame, scale: Scale = SCALE):
+    def __init__(self, state: dict[str, Any], lookups: DataFrame):
         super().__init__()
         self.state = state
         self.lookups = lookups
-        self.scale = scale
         self.block_evidence: DataFrame | None = None
 
-    @property
-    def spec(self) -> EncoderSpec:
-        return EncoderSpec(**_tuples(self.state["spec"]))
+    def write(self) -> MLWriter:
+        return _EncoderModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _EncoderModelReader()
 
     @property
     def feature_names(self) -> list[str]:
@@ -372,7 +436,7 @@ class RiskEncoderModel(Model):
     def _features(self, frame: DataFrame) -> dict[str, Column]:
         """Feature expressions over a frame to which the lookups were joined."""
         spec, state = self.spec, self.state
-        labels = label_columns(frame, state)
+        labels = label_columns(frame, state, spec)
         out: dict[str, Column] = {}
         clash: list[str] = []
 
@@ -430,7 +494,7 @@ class RiskEncoderModel(Model):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         state = self.state
         carried = [c for c in self.spec.kept_aside if c in dataset.columns]
-        labels = label_columns(dataset, state)
+        labels = label_columns(dataset, state, self.spec)
         names = self._looked_up()
         work = dataset.select("*", *[labels[c].alias(f"__l_{i}") for i, c in enumerate(names)])
         for i, c in enumerate(names):
@@ -454,18 +518,46 @@ class RiskEncoderModel(Model):
         exprs = self._features(work)
         return work.select(*carried, *[exprs[f].alias(f) for f in self.feature_names])
 
+
+class _EncoderModelWriter(MLWriter):
+    """Params and the rest of the state as metadata, the lookups as Parquet."""
+
+    def __init__(self, model: RiskEncoderModel):
+        super().__init__()
+        self.model = model
+
     def save(self, path: str) -> None:
-        """Write the lookups as Parquet and the rest as one line of JSON."""
-        spark = self.lookups.sparkSession
-        self.lookups.write.partitionBy("column").parquet(f"{path}/lookups")
-        line = json.dumps({**self.state, "lookup_path": f"{path}/lookups"})
-        spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{path}/state")
-
-    @staticmethod
-    def load(spark: SparkSession, path: str, scale: Scale = SCALE) -> RiskEncoderModel:
-        state = json.loads(spark.read.text(f"{path}/state").first()["value"])
+        if self.shouldOverwrite and _lies_under(self.model.lookups, path):
+            raise ValueError(f"the model reads its lookups from {path}; save it elsewhere")
+        super().save(path)
+
+    def saveImpl(self, path: str) -> None:
+        evidence = self.model.block_evidence
+        extra = {"state": self.model.state, "evidence": evidence is not None}
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, extraMetadata=extra)
+        write_lookups(self.model.lookups, f"{path}/lookups")
+        if evidence is not None:
+            evidence.write.parquet(f"{path}/evidence")
+
+
+class _EncoderModelReader(MLReader):
+    def load(self, path: str) -> RiskEncoderModel:
+        spark = self.sparkSession
+        expected = f"{RiskEncoderModel.__module__}.{RiskEncoderModel.__name__}"
+        metadata = DefaultParamsReader.loadMetadata(path, spark, expected)
+        state = metadata["state"]
         state["aggregates"] = [tuple(a) for a in state["aggregates"]]
-        return RiskEncoderModel(state, spark.read.parquet(f"{path}/lookups"), scale)
+        model = RiskEncoderModel(state, spark.read.parquet(f"{path}/lookups"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        if metadata["evidence"]:
+            model.block_evidence = spark.read.parquet(f"{path}/evidence")
+        return model
+
+
+def _lies_under(frame: DataFrame, path: str) -> bool:
+    plain = lambda p: p.split(":", 1)[-1].rstrip("/").replace("///", "/")
+    return any(plain(f).startswith(f"{plain(path)}/") for f in frame.inputFiles())
 
 
 def aggregate_names(group: str, value: str) -> tuple[str, str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -262,8 +263,8 @@ def encode_transform(spark, sf):
 def encoder_reload_equal(spark, sf):
     model, _, valid = _encoded(spark, sf)
     path = scratch_path(spark, "encoder")
-    model.save(path)
-    again = E.RiskEncoderModel.load(spark, path).transform(_split(spark, sf)[1])
+    PipelineModel([model]).write().overwrite().save(path)
+    again = PipelineModel.load(path).transform(_split(spark, sf)[1])
     digest = lambda t: F.xxhash64(*[F.col(c) for c in t.columns])
     left = valid.select("id", digest(valid).alias("a"))
     right = again.select("id", digest(again).alias("b"))
