@@ -580,14 +580,9 @@ def _records(orders):
     )
 
 
-@query(
-    "stream_scores_equal_batch",
-    """SELECT count(*) AS rows_batch, count(*) AS rows_stream, CAST(0 AS BIGINT) AS rows_changed
-       FROM orders WHERE o_orderkey % 10 <> 0""",
-)
-def stream_scores_equal_batch(spark, sf):
-    orders = read_table(spark, sf, "orders")
-    train = orders.filter(F.col("o_orderdate") < "1999-01-01").select(
+def _online_scorer(spark, sf):
+    """Encoder and linear model fitted on the orders that are known."""
+    train = read_table(spark, sf, "orders").filter(F.col("o_orderdate") < "1999-01-01").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority",
         F.unix_timestamp("o_orderdate").alias("sec"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"),
@@ -596,9 +591,19 @@ def stream_scores_equal_batch(spark, sf):
     features = [*encoder.feature_names]
     candidate = _logistic()
     model = M.fit(candidate, encoder.transform(train), features, "label")
-    scorer = S.Scorer(
+    return S.Scorer(
         _RECORD, ["o_orderkey", "sec", "o_totalprice", "o_custkey"], encoder, candidate, model, features, 0.33
     )
+
+
+@query(
+    "stream_scores_equal_batch",
+    """SELECT count(*) AS rows_batch, count(*) AS rows_stream, CAST(0 AS BIGINT) AS rows_changed
+       FROM orders WHERE o_orderkey % 10 <> 0""",
+)
+def stream_scores_equal_batch(spark, sf):
+    orders = read_table(spark, sf, "orders")
+    scorer = _online_scorer(spark, sf)
     batch = S.score_records(_records(orders), "record", scorer)
     stream = S.read_stream(spark, sf, "orders.parquet", plain_times(orders.schema))
     out = S.run_to_table(S.score_records(_records(stream), "record", scorer), "stream-scores")
@@ -662,6 +667,39 @@ def parse_or_refuse(spark, sf):
     )
 
 
+@query(
+    "stream_score_or_refuse",
+    """SELECT o_orderkey % 5 AS kind, count(*) AS sent,
+         count(*) FILTER (WHERE o_orderkey % 5 NOT IN (1, 2)) AS scored, count(*) FILTER (WHERE o_orderkey % 5 IN (1, 2)) AS refused,
+         count(DISTINCT o_orderkey) AS different,
+         CASE o_orderkey % 5 WHEN 1 THEN 'o_totalprice,sec' WHEN 2 THEN 'o_custkey,o_orderkey,o_totalprice,sec' END AS missing
+       FROM orders GROUP BY 1""",
+)
+def stream_score_or_refuse(spark, sf):
+    """Half of the records arrive, the stream stops, the rest arrives, it goes on."""
+    orders = read_table(spark, sf, "orders")
+    arriving = scratch_path(spark, "arriving")
+    sink = S.ScoreOrRefuse("record", _online_scorer(spark, sf), scratch_path(spark, "score-or-refuse"))
+    for half in (0, 1):
+        later = orders.filter(F.col("o_orderkey") / 2 % 2 < 1 if half else F.col("o_orderkey") / 2 % 2 >= 1)
+        _odd_records(later).write.mode("append").parquet(arriving)
+        sink.run(S.read_stream(spark, arriving, "*.parquet", T.StructType([T.StructField("record", T.StringType())]), 4))
+    scored, refused = sink.outputs(spark)
+    key = F.regexp_extract("record", r"(\d+)", 1).cast("long")
+    both = scored.select("o_orderkey", F.col("decision").isNotNull().alias("ok"), F.lit(None).alias("missing")).unionByName(
+        refused.select(
+            key.alias("o_orderkey"), F.lit(False).alias("ok"), F.concat_ws(",", F.array_sort("missing_fields")).alias("missing")
+        )
+    )
+    return both.groupBy((F.col("o_orderkey") % 5).alias("kind")).agg(
+        F.count("*").alias("sent"),
+        F.count_if("ok").alias("scored"),
+        F.count("missing").alias("refused"),
+        F.count_distinct("o_orderkey").alias("different"),
+        F.max("missing").alias("missing"),
+    )
+
+
 @query(
     "stream_alert_rate",
     """WITH b AS (SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS s, value FROM events),
@@ -671,8 +709,6 @@ def parse_or_refuse(spark, sf):
          round(alerts / CAST(rows AS DOUBLE) / CAST(0.02 AS DOUBLE), 6) AS alert_rate_ratio, final FROM w""",
 )
 def stream_alert_rate(spark, sf):
-    events = read_table(spark, sf, "events", ["ts", "value"])
     stream = S.read_stream(spark, sf, "events.parquet", plain_times(read_table(spark, sf, "events").schema))
     volume = S.stream_alert_volume(stream.select("ts", "value"), "ts", "value", 45.0, 0.02)
-    closed = spark.read.parquet(S.run_to_table(volume, "alerts"))
-    return rounded(S.with_open_windows(closed, events, "ts", "value", 45.0, 0.02))
+    return rounded(S.with_open_windows(spark, S.run_to_table(volume, "alerts"), 0.02))

@@ -51,6 +51,11 @@ def score_records(records: DataFrame, column: str, scorer: Scorer) -> DataFrame:
     """
     typed = json_to_columns(records.select(column), column, scorer.schema)
     valid, _ = quarantine(typed, scorer.required)
+    return score_typed(valid, scorer)
+
+
+def score_typed(valid: DataFrame, scorer: Scorer) -> DataFrame:
+    """(id, score, decision) of parsed records that lack no required field."""
     encoded = scorer.encoder.transform(valid)
     spec = scorer.encoder.spec
     scored = score(scorer.candidate, scorer.model, encoded, scorer.features, [spec.id])
@@ -69,20 +74,84 @@ def refused_records(
     return refused.select(F.col("__record").alias(column), "missing_fields")
 
 
-def read_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
+class ScoreOrRefuse:
+    """Sink of a record stream with two outputs: scored and refused records.
+
+    A micro-batch is parsed once and kept while both outputs are written, each to
+    the folder of the batch's id, which a repeated batch overwrites.  So after a
+    stop at any moment and a restart from the same progress folder every record
+    is in exactly one output, once.  A null record, text that is no JSON and a
+    record without a required field are refused; an empty batch writes nothing.
+    """
+
+    def __init__(self, column: str, scorer: Scorer, out: str):
+        self.column, self.scorer = column, scorer
+        self.scored, self.refused = f"{out}/scored", f"{out}/refused"
+        self.progress = f"{out}/progress"
+
+    def __call__(self, records: DataFrame, batch_id: int) -> None:
+        record = F.col(self.column)
+        kept = records.select(record, record.alias("__record"))
+        typed = json_to_columns(kept, self.column, self.scorer.schema)
+        missing = missing_fields(list(self.scorer.required))
+        typed = typed.withColumn("__missing", missing).persist()
+        try:
+            lacking = F.size("__missing") > 0
+            valid = typed.filter(~lacking).drop("__missing", "__record")
+            refused = typed.filter(lacking).select(
+                F.col("__record").alias(self.column), F.col("__missing").alias("missing_fields")
+            )
+            self.write(score_typed(valid, self.scorer), self.scored, batch_id)
+            self.write(refused, self.refused, batch_id)
+        finally:
+            typed.unpersist()
+
+    def write(self, rows: DataFrame, path: str, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    def run(self, stream: DataFrame) -> None:
+        """Process what is available, going on where an earlier run stopped."""
+        query = (
+            stream.writeStream.foreachBatch(self)
+            .option("checkpointLocation", self.progress)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    def outputs(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """Scored and refused records so far, with the batch each came in."""
+        scorer = self.scorer
+        names = [scorer.encoder.spec.id, "score", "decision"]
+        types = {f.name: f.dataType for f in scorer.schema.fields}
+        scored = T.StructType(
+            [
+                T.StructField(names[0], types[names[0]]),
+                T.StructField("score", T.DoubleType()),
+                T.StructField("decision", T.StringType()),
+                T.StructField("batch_id", T.LongType()),
+            ]
+        )
+        refused = f"{self.column} string, missing_fields array<string>, batch_id long"
+        return spark.read.schema(scored).parquet(self.scored), spark.read.schema(refused).parquet(self.refused)
+
+
+def read_stream(
+    spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int | None = None
+) -> DataFrame:
     """A folder of Parquet files as a stream, new files as they arrive."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
-        .parquet(folder)
-    )
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> str:
     """Process what is available into a Parquet table in the shared folder;
     progress is kept beside it, so a restart goes on where it stopped."""
     spark = stream.sparkSession
-    out, progress = scratch_path(spark, name), scratch_path(spark, f"{name}-progress")
+    out = scratch_path(spark, name)
+    progress = progress_of(out)
     query = (
         stream.writeStream.outputMode(mode)
         .format("parquet")
@@ -94,21 +163,30 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> str:
     return out
 
 
+def progress_of(out: str) -> str:
+    """Where ``run_to_table`` keeps the progress and state of the table ``out``."""
+    return f"{out}-progress"
+
+
 def alert_volume(
     events: DataFrame, ts: str, score_column: str, threshold: float, expected_rate: float,
     window: str = "7 days",
 ) -> DataFrame:
     """Rows, alerts and the alert rate against the expected one per window."""
-    return (
-        events.groupBy(F.window(ts, window).alias("w"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(score_column) >= threshold).alias("alerts"))
-        .select(
-            F.date_format("w.start", "yyyy-MM-dd").alias("window_start"),
-            "rows",
-            "alerts",
-            (F.col("alerts") / F.col("rows")).alias("alert_rate"),
-            F.try_divide(F.col("alerts") / F.col("rows"), F.lit(expected_rate)).alias("alert_rate_ratio"),
-        )
+    counted = events.groupBy(F.window(ts, window).alias("w")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col(score_column) >= threshold).alias("alerts")
+    )
+    return _alert_rates(counted, expected_rate)
+
+
+def _alert_rates(counted: DataFrame, expected_rate: float) -> DataFrame:
+    rate = F.col("alerts") / F.col("rows")
+    return counted.select(
+        F.date_format("w.start", "yyyy-MM-dd").alias("window_start"),
+        "rows",
+        "alerts",
+        rate.alias("alert_rate"),
+        F.try_divide(rate, F.lit(expected_rate)).alias("alert_rate_ratio"),
     )
 
 
@@ -122,16 +200,14 @@ def stream_alert_volume(
     return alert_volume(timed, ts, score_column, threshold, expected_rate, window)
 
 
-def with_open_windows(
-    closed: DataFrame, events: DataFrame, ts: str, score_column: str, threshold: float, expected_rate: float,
-    window: str = "7 days",
-) -> DataFrame:
-    """The windows a stream has closed, and from ``events`` those still open when
-    its input ended; ``final`` tells them apart.  Only rows after the last closed
-    window are read for that."""
-    last = closed.agg(F.max("window_start")).first()[0]
-    if last is not None:
-        end = F.to_timestamp(F.lit(last)) + F.expr(f"interval {window}")
-        events = events.filter(F.col(ts) >= end)
-    open_ = alert_volume(events, ts, score_column, threshold, expected_rate, window)
-    return closed.withColumn("final", F.lit(True)).unionByName(open_.withColumn("final", F.lit(False)))
+def with_open_windows(spark: SparkSession, out: str, expected_rate: float) -> DataFrame:
+    """The windows a finished run of ``stream_alert_volume`` has closed into the
+    table ``out``, and those that its state still holds open; ``final`` tells them
+    apart.  No event is read again: the open counts are the stream's own state."""
+    state = spark.read.format("statestore").load(progress_of(out))
+    open_ = state.select(
+        F.col("key").cast("struct<w:struct<start:timestamp,end:timestamp>>").alias("key"),
+        F.col("value").cast("struct<rows:bigint,alerts:bigint>").alias("value"),
+    ).select("key.w", "value.rows", "value.alerts")
+    closed = spark.read.parquet(out).withColumn("final", F.lit(True))
+    return closed.unionByName(_alert_rates(open_, expected_rate).withColumn("final", F.lit(False)))
