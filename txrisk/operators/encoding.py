@@ -264,6 +264,7 @@ class RiskEncoder(Estimator, _EncoderParams, DefaultParamsReadable, DefaultParam
         constant = {r["column"] for r in judged if r["distinct_values"] <= 1}
         dropped = {r["column"] for r in judged if r["decision"] == "drop"} | constant
         survivors = [c for c in candidates if c not in dropped]
+        # Fixed value: this reason is compared with reports made elsewhere.
         decisions = [
             (c, None, 1.0, 0, None, None, "drop", "single distinct value") for c in sorted(constant)
         ] + [tuple(r)[:8] for r in judged if r["column"] not in constant]
@@ -413,6 +414,7 @@ class RiskEncoderModel(Model, _EncoderParams, MLWritable, MLReadable):
         return [(f, *kinds[f]) for f in self.feature_names]
 
     def _kinds(self) -> dict[str, tuple[str, str]]:
+        # The kind names are compared with manifests made elsewhere.
         spec, state = self.spec, self.state
         out = {c: ("base_numeric", c) for c in state["base"] if c not in state["categories"]}
         out |= {c: ("derived_time", spec.time) for c in ("hour", "day_of_week")}
