@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from txrisk.operators import joins as J
 from txrisk.operators import profile as P
 from txrisk.operators import selection as C
 from txrisk.session import scratch_path, scratch_root
+from txrisk.settings import SCALE
 from txrisk.sources import tables, typing
 
 
@@ -104,7 +107,16 @@ def test_lookup_serves_hot_and_cold_labels(spark):
     )
     small = J.lookup_join(facts, "label", table, "l", 31)
     split = J.lookup_join(facts, "label", table, "l", 31, scale=TINY)
+    rows, size = J.lookup_size(table, "l")
+    assert rows == 31 and size == 31 * 48 + 3 + 10 * 2 + 20 * 3
+    assert J.lookup_size(table.filter("false"), "l") == (0, 0)
+    tight = replace(SCALE, broadcast_bytes=size - 1)
+    heavy = J.lookup_join(facts, "label", table, "l", rows, scale=tight, lookup_bytes=size)
+    cold = "__cold"
+    plan = lambda f: f._jdf.queryExecution().analyzed().toString()
+    assert cold in plan(heavy) and cold not in plan(J.lookup_join(facts, "label", table, "l", rows, lookup_bytes=size))
     key = lambda f: sorted((r["id"], r["label"], r["share"], r["code"]) for r in f.select("id", "label", "share", "code").collect() if r["code"])
+    assert key(heavy) == key(small)
     assert key(small) == key(split) and len(key(split)) == 90 and split.count() == 92
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from itertools import accumulate
 from typing import Any
 
 from pyspark.ml import Estimator, Model
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk.functions import scalar as X
-from txrisk.operators.joins import lookup_join
+from txrisk.operators.joins import lookup_join, row_bytes
 from txrisk.operators.ordering import exact_quantiles
 from txrisk.operators.selection import block_reduce, judge_columns
 from txrisk.session import materialise, scratch_path
@@ -165,18 +166,19 @@ def ordered_index(
 
 
 def encode_category(
-    frame: DataFrame, label: str, codes: DataFrame, rows: int, out: str, scale: Scale = SCALE
+    frame: DataFrame, label: str, codes: DataFrame, rows: int, out: str, scale: Scale = SCALE, size: int = 0
 ) -> DataFrame:
     """Code of each label, -1 for a label never seen."""
-    joined = lookup_join(frame, label, codes, "label", rows, scale=scale)
+    joined = lookup_join(frame, label, codes, "label", rows, scale=scale, lookup_bytes=size)
     return joined.withColumn(out, F.coalesce("code", F.lit(UNSEEN_CODE))).drop("code", "share")
 
 
 def encode_frequency(
-    frame: DataFrame, label: str, shares: DataFrame, rows: int, out: str, scale: Scale = SCALE
+    frame: DataFrame, label: str, shares: DataFrame, rows: int, out: str, scale: Scale = SCALE, size: int = 0
 ) -> DataFrame:
     """Share of each label, 0 for a label never seen."""
-    joined = lookup_join(frame, label, shares.select("label", "share"), "label", rows, scale=scale)
+    served = shares.select("label", "share")
+    joined = lookup_join(frame, label, served, "label", rows, scale=scale, lookup_bytes=size)
     return joined.withColumn(out, F.coalesce("share", F.lit(0.0))).drop("share")
 
 
@@ -290,6 +292,7 @@ class RiskEncoder(Estimator, _EncoderParams, DefaultParamsReadable, DefaultParam
             "match": [c for c in spec.match if c in dataset.columns],
             "entity": all(c in base for c in (spec.card, spec.address, spec.age_days)),
             "lookup_rows": {},
+            "lookup_bytes": {},
             "decisions": decisions,
         }
         lookups = self._learn(dataset, state, judged[0]["rows"])
@@ -333,8 +336,14 @@ class RiskEncoder(Estimator, _EncoderParams, DefaultParamsReadable, DefaultParam
         write_lookups(learnt.join(codes, ["column", "label"], "left"), path)
         state["values"] = values
         table = spark.read.parquet(path)
-        sizes = table.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
+        sizes = table.groupBy("column").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(row_bytes("label", table.columns)).alias("bytes")
+        ).orderBy("bytes", "column").collect()
         state["lookup_rows"] = {r["column"]: r["n"] for r in sizes}
+        # Broadcasts of one plan are held together, so the bound is on their sum,
+        # from the smallest table on.
+        sums = accumulate(r["bytes"] for r in sizes)
+        state["lookup_bytes"] = {r["column"]: total for r, total in zip(sizes, sums)}
         return table
 
 
@@ -516,6 +525,7 @@ class RiskEncoderModel(Model, _EncoderParams, MLWritable, MLReadable):
                 state["lookup_rows"].get(c, 0),
                 share=f"__share_{i}",
                 scale=self.scale,
+                lookup_bytes=state["lookup_bytes"].get(c, 0),
             )
         exprs = self._features(work)
         return work.select(*carried, *[exprs[f].alias(f) for f in self.feature_names])

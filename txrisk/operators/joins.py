@@ -106,6 +106,17 @@ def broadcast_if_small(small: DataFrame, limit: int = 10_000) -> DataFrame:
     return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
 
 
+def row_bytes(key: str, columns: Sequence[str]) -> Column:
+    """About the bytes of a lookup row in a broadcast: its label and 16 a number."""
+    return F.coalesce(F.octet_length(F.col(key)), F.lit(0)).cast("long") + F.lit(16 * len(columns))
+
+
+def lookup_size(lookup: DataFrame, key: str) -> tuple[int, int]:
+    """Rows and bytes of a lookup table with a text key and numeric values."""
+    size = lookup.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(key, lookup.columns)), F.lit(0))).first()
+    return size[0], size[1]
+
+
 def lookup_join(
     frame: DataFrame,
     key: str,
@@ -115,10 +126,11 @@ def lookup_join(
     share: str = "share",
     scale: Scale = SCALE,
     salt: str | None = None,
+    lookup_bytes: int = 0,
 ) -> DataFrame:
     """Left join to a table of one row per label; unmatched labels give null.
 
-    A table known to be small is broadcast.  A larger one is shuffled, but its
+    A table known to be small, in rows and in bytes, is broadcast.  A larger one is shuffled, but its
     frequent labels are not: those above ``hot_share`` number at most
     ``1/hot_share``, are served by a broadcast, and their fact rows are spread
     over all tasks by a key that matches nothing on the other side.  That key
@@ -127,7 +139,7 @@ def lookup_join(
     """
     values = [c for c in lookup.columns if c != lookup_key]
     named = lookup.withColumnRenamed(lookup_key, key)
-    if lookup_rows <= scale.broadcast_rows:
+    if lookup_rows <= scale.broadcast_rows and lookup_bytes <= scale.broadcast_bytes:
         return frame.join(F.broadcast(named), key, "left")
 
     hot = named.filter(F.col(share) >= scale.hot_share).select(

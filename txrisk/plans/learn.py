@@ -10,6 +10,7 @@ from txrisk.functions import scalar as X
 from txrisk.operators import boosting as B
 from txrisk.operators import encoding as E
 from txrisk.operators import modeling as M
+from txrisk.operators.joins import lookup_size
 from txrisk.operators.ranking import Scored, ranking_metrics
 from txrisk.plans.inputs import ENRICHED, FACTS, enriched, facts, scored
 from txrisk.plans.registry import mean_rounded, mean_rounded_sql, query, rounded
@@ -110,7 +111,9 @@ def category_encode(spark, sf):
     pair = lambda t: X.join_labels(X.label_of(t, "card"), X.label_of(t, "addr"))
     codes = E.category_map(train, pair(train))
     work = every.select("id", pair(every).alias("label_text"))
-    out = E.encode_category(work, "label_text", codes, codes.count(), "pair_code")
+    codes = materialise(codes, "codes")
+    rows, size = lookup_size(codes, "label")
+    out = E.encode_category(work, "label_text", codes, rows, "pair_code", size=size)
     return out.select("id", F.col("pair_code").alias("code"))
 
 
@@ -124,7 +127,9 @@ def frequency_encode(spark, sf):
     train, _ = _halves(every)
     shares = E.frequency_map(train, X.label_of(train, "card"))
     work = every.select("id", X.label_of(every, "card").alias("card_label"))
-    out = E.encode_frequency(work, "card_label", shares, shares.count(), "freq")
+    shares = materialise(shares, "shares")
+    rows, size = lookup_size(shares, "label")
+    out = E.encode_frequency(work, "card_label", shares, rows, "freq", size=size)
     return rounded(out.select("id", "freq"))
 
 
@@ -139,7 +144,9 @@ def group_agg_encode(spark, sf):
     train, _ = _halves(every)
     stats = E.group_aggregate_map(train, X.label_of(train, "card"), "amount")
     work = every.select("id", "amount", X.label_of(every, "card").alias("card_label"))
-    joined = E.lookup_join(work, "card_label", stats, "label", stats.count())
+    stats = materialise(stats, "card-stats")
+    rows, size = lookup_size(stats, "label")
+    joined = E.lookup_join(work, "card_label", stats, "label", rows, lookup_bytes=size)
     return joined.select(
         "id",
         mean_rounded("mean").alias("amount_mean_by_card"),

@@ -86,6 +86,7 @@ class Scale:
 
     single_task_rows: int = 200_000
     broadcast_rows: int = 200_000
+    broadcast_bytes: int = 64 * 2**20
     hot_share: float = 0.001
     unpivot_columns: int = 50
     ks_ranges: int = 200
