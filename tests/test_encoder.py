@@ -105,6 +105,31 @@ def test_large_lookups_give_the_same_features(fitted, transactions):
     assert rows_by_id(skewed.transform(transactions)) == small
 
 
+def test_shuffles_do_not_follow_the_number_of_large_lookups(spark, fitted, transactions):
+    # the planner must take the tables for as large as the model is told they are
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+
+    def exchanges(labels):
+        few = fitted.copy()
+        few.state = {**fitted.state, "lookup_rows": {c: 10**9 for c in labels}}
+        out = few.transform(transactions)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange hashpartitioning"), rows_by_id(out)
+
+    looked_up = fitted._looked_up()
+    try:
+        none, want = exchanges([])
+        one, _ = exchanges(looked_up[:1])
+        some, same = exchanges(looked_up[:3])
+        every, also = exchanges(looked_up)
+    finally:
+        spark.conf.set(limit, before)
+    assert none == 0 and one == 2 and some == every <= 6 and len(looked_up) > 10
+    assert same == also == want
+
+
 def test_unseen_values(fitted, transactions):
     new = transactions.limit(1).withColumns(
         {"ProductCD": F.lit("never"), "card1": F.lit(999_999).cast("bigint")}

@@ -9,7 +9,7 @@ from tests.conftest import TINY
 from txrisk.operators import joins as J
 from txrisk.operators import profile as P
 from txrisk.operators import selection as C
-from txrisk.session import scratch_path, scratch_root
+from txrisk.session import materialise, scratch_path, scratch_root
 from txrisk.settings import SCALE
 from txrisk.sources import tables, typing
 
@@ -157,6 +157,48 @@ def test_constant_and_dominant(spark):
     assert top["two"]["dominant_value"] == "a"
 
 
+@pytest.mark.parametrize("buckets", [1, 64, 4096])
+def test_dominant_values_by_bounds_equal_those_of_all_counts(spark, buckets):
+    rows = [
+        (
+            i, float(i % 700) if i % 3 else 59.0, None if i % 4 else f"v{i}", "same",
+            None, ["b", "a"][i % 2], -0.0 if i % 2 else 0.0, "only" if i == 5 else None, i % 7,
+        )
+        for i in range(2000)
+    ]
+    names = ["id", "amount", "mostly_null", "flat", "none", "tied", "zeros", "single", "y"]
+    frame = spark.createDataFrame(
+        rows, "id long, amount double, mostly_null string, flat string, none string, tied string, zeros double, single string, y long"
+    ).repartition(5)
+    scale = replace(SCALE, value_buckets=buckets, unpivot_columns=3)
+    for table in (frame, frame.union(frame), frame.filter("id = 7"), frame.filter("false")):
+        whole = C.dominant_value(P.value_counts_long(table, names[:-1], [F.sum("y").alias("y")]), ["y"])
+        want = {r["column"]: r.asDict() for r in whole.collect()}
+        got = {r["column"]: r.asDict() for r in C.dominant_by_bounds(table, names[:-1], ["y"], scale).collect()}
+        assert set(got) == set(want)
+        for name, row in got.items():
+            assert row.pop("is_constant") == (want[name].pop("distinct_values") <= 1)
+            assert row == want[name]
+
+
+def test_only_values_that_can_be_the_most_frequent_are_counted(spark, monkeypatch):
+    frame = spark.range(40_000).select(
+        F.when(F.col("id") % 50 == 0, 59).otherwise(F.col("id")).alias("peaked"), F.lit(1).alias("flat")
+    )
+    written = {}
+
+    def kept(table, name):
+        out = materialise(table, name)
+        written[name] = out.groupBy("column").count().collect()
+        return out
+
+    monkeypatch.setattr(C, "materialise", kept)
+    top = {r["column"]: r for r in C.dominant_by_bounds(frame, ["peaked", "flat"]).collect()}
+    assert top["peaked"]["dominant_value"] == "59" and top["peaked"]["dominant_rows"] == 801
+    # 39,201 different values, of which those of one bucket were counted
+    assert {r["column"]: r["count"] for r in written["frequent"]}["peaked"] < 100
+
+
 def test_rescue_both_ways(spark):
     n = 20_000
     frame = spark.range(n).select(

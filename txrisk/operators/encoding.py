@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txrisk.functions import scalar as X
-from txrisk.operators.joins import lookup_join, row_bytes
+from txrisk.operators.joins import lookup_join, lookup_many, row_bytes
 from txrisk.operators.ordering import exact_quantiles
 from txrisk.operators.selection import block_reduce, judge_columns
 from txrisk.session import materialise, scratch_path
@@ -263,7 +263,7 @@ class RiskEncoder(Estimator, _EncoderParams, DefaultParamsReadable, DefaultParam
             min_lift=self.getOrDefault(self.rescueMinLift),
             scale=self.scale,
         ).collect()
-        constant = {r["column"] for r in judged if r["distinct_values"] <= 1}
+        constant = {r["column"] for r in judged if r["is_constant"]}
         dropped = {r["column"] for r in judged if r["decision"] == "drop"} | constant
         survivors = [c for c in candidates if c not in dropped]
         # Fixed value: this reason is compared with reports made elsewhere.
@@ -502,20 +502,37 @@ class RiskEncoderModel(Model, _EncoderParams, MLWritable, MLReadable):
         s = self.state
         return list(dict.fromkeys([*s["coded"], *s["counted"], *[g for g, _ in s["aggregates"]]]))
 
+    def _values_of(self, label: str) -> list[str]:
+        """What features take from the lookup of a label column."""
+        used = [self.state["values"].index(v) for g, v in self.state["aggregates"] if g == label]
+        code = ["code"] if label in self.state["coded"] else []
+        return ["share", *code, *[f"{kind}_{j}" for j in used for kind in ("mean", "std")]]
+
+    def _is_large(self, label: str) -> bool:
+        rows, size = (self.state[k].get(label, 0) for k in ("lookup_rows", "lookup_bytes"))
+        return rows > self.scale.broadcast_rows or size > self.scale.broadcast_bytes
+
+    def _sources(self) -> set[str]:
+        """Columns that features are made of, and those kept beside them."""
+        spec, state = self.spec, self.state
+        roles = [spec.amount, spec.card, spec.address, spec.age_days, spec.device, spec.browser, spec.screen]
+        named = [*spec.kept_aside, *roles, *[c for _, c in spec.emails]]
+        return {*named, *state["base"], *state["label_sources"], *state["match"], *state["values"]}
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         state = self.state
         carried = [c for c in self.spec.kept_aside if c in dataset.columns]
         labels = label_columns(dataset, state, self.spec)
         names = self._looked_up()
-        work = dataset.select("*", *[labels[c].alias(f"__l_{i}") for i, c in enumerate(names)])
+        needed = [c for c in dataset.columns if c in self._sources()]
+        work = dataset.select(*needed, *[labels[c].alias(f"__l_{i}") for i, c in enumerate(names)])
+        large = [] if dataset.isStreaming else [c for c in names if self._is_large(c)]
+        together = large if len(large) > 1 else []
         for i, c in enumerate(names):
-            used = [state["values"].index(v) for g, v in state["aggregates"] if g == c]
+            if c in together:
+                continue
             table = self.lookups.filter(F.col("column") == c).select(
-                F.col("label"),
-                F.col("share").alias(f"__share_{i}"),
-                *([F.col("code").alias(f"__code_{i}")] if c in state["coded"] else []),
-                *[F.col(f"mean_{j}").alias(f"__mean_{j}_{i}") for j in used],
-                *[F.col(f"std_{j}").alias(f"__std_{j}_{i}") for j in used],
+                F.col("label"), *[F.col(v).alias(f"__{v}_{i}") for v in self._values_of(c)]
             )
             work = lookup_join(
                 work,
@@ -527,6 +544,17 @@ class RiskEncoderModel(Model, _EncoderParams, MLWritable, MLReadable):
                 scale=self.scale,
                 lookup_bytes=state["lookup_bytes"].get(c, 0),
             )
+        if together:
+            at = {c: i for i, c in enumerate(names)}
+            work = lookup_many(
+                work,
+                {c: f"__l_{at[c]}" for c in together},
+                self.lookups,
+                {c: self._values_of(c) for c in together},
+                self.scale,
+            )
+            found = {f"{v}@{c}": f"__{v}_{at[c]}" for c in together for v in self._values_of(c)}
+            work = work.withColumnsRenamed(found)
         exprs = self._features(work)
         return work.select(*carried, *[exprs[f].alias(f) for f in self.feature_names])
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from txrisk.session import materialise
 from txrisk.settings import SCALE, Scale
 
 
@@ -166,6 +167,41 @@ def lookup_join(
     )
 
 
+def lookup_many(
+    frame: DataFrame, keys: dict[str, str], lookup: DataFrame, values: dict[str, Sequence[str]], scale: Scale = SCALE
+) -> DataFrame:
+    """Left joins of one frame to many large lookups, in one shuffle of labels.
+
+    ``keys`` names the label column of each lookup; ``lookup`` holds them all as
+    (column, label, share, ...), and ``values`` says what is wanted of each.
+    Gives ``frame`` and a column ``value@column`` for each, null where the label
+    is unknown.  Extra columns of the frame may have any other names.
+
+    The frame is written once with a row number, its labels are stacked, joined
+    on (column, label), put together again by row and joined back: the number of
+    shuffles does not follow that of lookups.  Labels above ``hot_share``, at most
+    ``1/hot_share`` a lookup, are served by a broadcast and are not shuffled.
+    """
+    wanted = sorted({v for names in values.values() for v in names})
+    numbered = materialise(frame.withColumn("__row", F.monotonically_increasing_id()), "labelled")
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(f"`{k}`").alias("label")) for c, k in keys.items()]
+    stacked = numbered.select("__row", F.inline(F.array(*pairs)))
+    served = lookup.filter(F.col("column").isin(list(keys))).select("column", "label", "share", *[F.col(v).alias(f"__{v}") for v in wanted])
+    frequent = F.coalesce(F.col("share") >= scale.hot_share, F.lit(False))
+    hot, cold = served.filter(frequent).drop("share"), served.filter(~frequent).drop("share")
+    on = ["column", "label"]
+    known = stacked.join(F.broadcast(hot), on)
+    others = stacked.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    found = known.unionByName(others).groupBy("__row").agg(
+        *[
+            F.max(F.when(F.col("column") == c, F.col(f"__{v}"))).alias(f"{v}@{c}")
+            for c, names in values.items()
+            for v in names
+        ]
+    )
+    return numbered.join(found, "__row", "left").drop("__row")
+
+
 def union_tables(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

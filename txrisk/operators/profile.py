@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -138,6 +139,17 @@ def _value_text(frame: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
+def stacked_values(frame: DataFrame, columns: Sequence[str], scale: Scale = SCALE) -> list[DataFrame]:
+    """(other columns, column, value) over all columns, a chunk of columns a frame."""
+    others = [c for c in frame.columns if c not in set(columns)]
+    parts = []
+    for i in range(0, len(columns), scale.unpivot_columns):
+        chunk = list(columns[i : i + scale.unpivot_columns])
+        texts = frame.select(*others, *[_value_text(frame, c).alias(c) for c in chunk])
+        parts.append(texts.unpivot(others, chunk, "column", "value"))
+    return parts
+
+
 def value_counts_long(
     frame: DataFrame, columns: Sequence[str], extra: Sequence[Column] = (), scale: Scale = SCALE
 ) -> DataFrame:
@@ -147,18 +159,8 @@ def value_counts_long(
     its own tasks, so the stacked rows never travel.
     """
     aggregated = [F.count(F.lit(1)).alias("n"), *extra]
-    others = [c for c in frame.columns if c not in set(columns)]
-    parts = []
-    for i in range(0, len(columns), scale.unpivot_columns):
-        chunk = list(columns[i : i + scale.unpivot_columns])
-        texts = frame.select(*others, *[_value_text(frame, c).alias(c) for c in chunk])
-        parts.append(
-            texts.unpivot(others, chunk, "column", "value").groupBy("column", "value").agg(*aggregated)
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    parts = [p.groupBy("column", "value").agg(*aggregated) for p in stacked_values(frame, columns, scale)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def column_profile(

@@ -10,7 +10,8 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.operators.profile import value_counts_long
+from txrisk.operators.profile import stacked_values, value_counts_long
+from txrisk.session import materialise
 from txrisk.settings import (
     BLOCK_CORRELATION,
     NEAR_CONSTANT_SHARE,
@@ -63,6 +64,81 @@ def dominant_value(counts: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def dominant_by_bounds(
+    frame: DataFrame, columns: Sequence[str], carried: Sequence[str] = (), scale: Scale = SCALE
+) -> DataFrame:
+    """``dominant_value`` over all values of ``columns``, plus ``is_constant`` (at
+    most one distinct non-null value); ``carried`` columns of numbers are summed.
+
+    Values are counted by hash bucket first: a sketch of fixed size that tasks
+    merge.  A bucket's rows bound the rows of every value in it, so only the
+    values of a column's fullest bucket are counted one by one, then those of
+    buckets that hold as many rows as the best value found.  Values of other
+    buckets are never shuffled; a column in which nothing is frequent (an id)
+    leaves all buckets open and is counted whole.  The result is exact.
+    """
+    buckets = max(16, min(scale.value_buckets, scale.broadcast_rows // max(1, len(columns))))
+    # Null is a value of its own, in a bucket of its own.
+    place = F.when(F.col("value").isNull(), -1).otherwise(F.pmod(F.xxhash64("value"), F.lit(buckets)))
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in carried]]
+
+    def placed(names: Sequence[str]) -> list[DataFrame]:
+        parts = stacked_values(frame.select(*carried, *names), names, scale)
+        return [p.withColumn("bucket", place) for p in parts]
+
+    def counted(names: Sequence[str], wanted: DataFrame) -> DataFrame:
+        # At most columns x buckets rows are broadcast: no more than ``broadcast_rows``.
+        parts = [
+            p.join(F.broadcast(wanted), ["column", "bucket"], "left_semi").groupBy("column", "value").agg(*sums)
+            for p in placed(names)
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    parts = [p.groupBy("column", "bucket").agg(*sums) for p in placed(columns)]
+    sizes = materialise(reduce(DataFrame.unionByName, parts), "buckets")
+    filled = F.col("bucket") >= 0
+    # One row per column comes to the driver, here and below.
+    totals = sizes.groupBy("column").agg(
+        F.sum("n").alias("rows"),
+        F.max_by("bucket", "n").alias("fullest"),
+        F.count_if(filled).alias("filled"),
+        F.max(F.when(filled, F.col("bucket"))).alias("last"),
+        *[F.sum(c).alias(f"{c}_rows") for c in carried],
+    ).collect()
+    # The only bucket with values tells whether the column is constant.
+    first = {(r["column"], r["fullest"]) for r in totals}
+    first |= {(r["column"], r["last"]) for r in totals if r["filled"] == 1}
+    spark = frame.sparkSession
+    wanted = spark.createDataFrame(sorted(first), "column string, bucket long")
+    counts = materialise(counted(columns, wanted), "frequent")
+    best = counts.groupBy("column").agg(F.max("n").alias("best"))
+    still_open = (
+        sizes.join(F.broadcast(best), "column")
+        .filter(F.col("n") >= F.col("best"))
+        .join(F.broadcast(wanted), ["column", "bucket"], "left_anti")
+        .select("column", "bucket")
+    )
+    flat = [r["column"] for r in still_open.select("column").distinct().collect()]
+    if flat:
+        counts = counts.unionByName(counted([c for c in columns if c in set(flat)], still_open))
+
+    known = spark.createDataFrame(
+        [(r["column"], r["rows"], r["filled"], *[r[f"{c}_rows"] for c in carried]) for r in totals],
+        ", ".join(["column string, rows long, filled long", *[f"{c}_rows long" for c in carried]]),
+    )
+    found = dominant_value(counts, carried).drop("rows", "dominant_share", *[f"{c}_rows" for c in carried])
+    return found.join(F.broadcast(known), "column").select(
+        "column",
+        "dominant_value",
+        F.try_divide(F.col("dominant_rows"), F.col("rows")).alias("dominant_share"),
+        "rows",
+        "dominant_rows",
+        ((F.col("filled") == 0) | ((F.col("filled") == 1) & (F.col("distinct_values") <= 1))).alias("is_constant"),
+        *[f"{c}_rows" for c in carried],
+        *[f"{c}_dominant" for c in carried],
+    )
+
+
 def near_constant_rescue(
     frame: DataFrame,
     label: str,
@@ -77,8 +153,7 @@ def near_constant_rescue(
     rows - and even then keep it when enough other rows exist whose positive
     rate is ``min_lift`` times the overall one, or its inverse.
 
-    Rule and rescue read the same counts, so the whole verdict costs one
-    shuffle of (column, value) pairs.
+    Rule and rescue read the same counts, those of ``dominant_by_bounds``.
     """
     judged = judge_columns(
         frame,
@@ -89,7 +164,7 @@ def near_constant_rescue(
         min_lift=min_lift,
         scale=scale,
     )
-    return judged.drop("rows", "distinct_values")
+    return judged.drop("rows", "is_constant")
 
 
 def judge_columns(
@@ -102,19 +177,19 @@ def judge_columns(
     min_lift: float = RESCUE_MIN_LIFT,
     scale: Scale = SCALE,
 ) -> DataFrame:
-    """The near-constant verdict with the table's rows and each column's
-    distinct values, which the same counts give."""
+    """The near-constant verdict with the table's rows and whether the column
+    is constant, which the same counts give."""
     work = frame.select(*columns, F.col(label).cast("long").alias("__y"))
-    counts = value_counts_long(work, list(columns), [F.sum("__y").alias("y")], scale)
-    judged = dominant_value(counts, ["y"])
+    judged = dominant_by_bounds(work, list(columns), ["__y"], scale)
     rare = F.col("rows") - F.col("dominant_rows")
-    rare_rate = F.try_divide(F.col("y_rows") - F.col("y_dominant"), rare)
+    rare_rate = F.try_divide(F.col("__y_rows") - F.col("__y_dominant"), rare)
     lift = F.coalesce(
-        F.try_divide(rare_rate, F.try_divide(F.col("y_rows"), F.col("rows"))), F.lit(0.0)
+        F.try_divide(rare_rate, F.try_divide(F.col("__y_rows"), F.col("rows"))), F.lit(0.0)
     )
     near = F.col("dominant_share") >= threshold
     measured = near & (rare >= min_rare_rows)
     rescued = (lift >= min_lift) | (lift <= 1 / min_lift)
+    # The reasons are compared with reports made elsewhere.
     return judged.select(
         "column",
         "dominant_value",
@@ -129,7 +204,7 @@ def judge_columns(
         .otherwise("near-constant, rare values unremarkable")
         .alias("reason"),
         "rows",
-        "distinct_values",
+        "is_constant",
     )
 
 

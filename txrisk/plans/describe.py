@@ -297,8 +297,7 @@ _COUNTS_SQL = f"""{_CANDIDATE_SQL}, long AS ({stack_sql('t', _CANDIDATES, extra=
 )
 def dominant_value(spark, sf):
     work = _candidates(spark, sf).select(*_CANDIDATES)
-    found = selection.dominant_value(profile.value_counts_long(work, _CANDIDATES))
-    return rounded(found.drop("distinct_values"))
+    return rounded(selection.dominant_by_bounds(work, _CANDIDATES).drop("is_constant"))
 
 
 _RESCUE_ROWS = 40

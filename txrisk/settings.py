@@ -90,6 +90,7 @@ class Scale:
     hot_share: float = 0.001
     unpivot_columns: int = 50
     ks_ranges: int = 200
+    value_buckets: int = 4096
 
 
 COST = CostModel()
