@@ -185,18 +185,31 @@ def test_only_values_that_can_be_the_most_frequent_are_counted(spark, monkeypatc
     frame = spark.range(40_000).select(
         F.when(F.col("id") % 50 == 0, 59).otherwise(F.col("id")).alias("peaked"), F.lit(1).alias("flat")
     )
-    written = {}
+    counted, whole = [], C.dominant_value
 
-    def kept(table, name):
-        out = materialise(table, name)
-        written[name] = out.groupBy("column").count().collect()
-        return out
+    def seen(counts, *args):
+        counted.append({r["column"]: r["count"] for r in counts.groupBy("column").count().collect()})
+        return whole(counts, *args)
 
-    monkeypatch.setattr(C, "materialise", kept)
+    monkeypatch.setattr(C, "dominant_value", seen)
     top = {r["column"]: r for r in C.dominant_by_bounds(frame, ["peaked", "flat"]).collect()}
     assert top["peaked"]["dominant_value"] == "59" and top["peaked"]["dominant_rows"] == 801
-    # 39,201 different values, of which those of one bucket were counted
-    assert {r["column"]: r["count"] for r in written["frequent"]}["peaked"] < 100
+    # 39,200 different values, of which those of one bucket were counted
+    assert len(counted) == 1 and counted[0]["peaked"] < 100 and counted[0]["flat"] == 1
+
+
+def test_buckets_that_may_hold_the_best_are_counted_next(spark):
+    # the fuller of two buckets holds many rare values, the other the most frequent one
+    halves = spark.range(64).select("id", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(16)).alias("b")).collect()
+    crowd = [r["id"] for r in halves if r["b"] == halves[0]["b"]]
+    other = next(r["id"] for r in halves if r["b"] != halves[0]["b"])
+    frame = spark.createDataFrame([(v,) for v in crowd * 20 + [other] * 21], "x long")
+    top = C.dominant_by_bounds(frame, ["x"], scale=replace(SCALE, value_buckets=16)).first()
+    assert len(crowd) > 2 and top["dominant_value"] == str(other) and top["dominant_rows"] == 21
+    # two values in one bucket, each rarer than null, are not a constant
+    frame = spark.createDataFrame([(v,) for v in crowd[:2] * 10 + [None] * 15], "x long")
+    top = C.dominant_by_bounds(frame, ["x"], scale=replace(SCALE, value_buckets=16)).first()
+    assert top["dominant_value"] is None and top["dominant_rows"] == 15 and not top["is_constant"]
 
 
 def test_rescue_both_ways(spark):

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txrisk.operators.profile import stacked_values, value_counts_long
@@ -21,6 +22,10 @@ from txrisk.settings import (
     Scale,
 )
 
+# A column is taken as flat when more than one in so many of its buckets are
+# half as full as the fullest; it only decides what is counted first.
+FLAT_PART = 10
+
 
 def constant_columns(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns with at most one distinct non-null value: the least equals the
@@ -72,10 +77,12 @@ def dominant_by_bounds(
 
     Values are counted by hash bucket first: a sketch of fixed size that tasks
     merge.  A bucket's rows bound the rows of every value in it, so only the
-    values of a column's fullest bucket are counted one by one, then those of
+    values of a column's fullest buckets are counted one by one, then those of
     buckets that hold as many rows as the best value found.  Values of other
     buckets are never shuffled; a column in which nothing is frequent (an id)
-    leaves all buckets open and is counted whole.  The result is exact.
+    has no fuller bucket than others and is counted whole.  The result is exact.
+
+    The frame is read two or three times, so it must give the same rows again.
     """
     buckets = max(16, min(scale.value_buckets, scale.broadcast_rows // max(1, len(columns))))
     # Null is a value of its own, in a bucket of its own.
@@ -95,48 +102,51 @@ def dominant_by_bounds(
         return reduce(DataFrame.unionByName, parts)
 
     parts = [p.groupBy("column", "bucket").agg(*sums) for p in placed(columns)]
-    sizes = materialise(reduce(DataFrame.unionByName, parts), "buckets")
-    filled = F.col("bucket") >= 0
+    column, filled = W.partitionBy("column"), F.col("bucket") >= 0
+    fullest = F.max("n").over(column)
+    near = F.col("n") * 2 >= F.col("fullest")
+    sizes = (
+        materialise(reduce(DataFrame.unionByName, parts), "buckets")
+        .withColumns({"fullest": fullest, "filled": F.count_if(filled).over(column)})
+        .withColumn("flat", F.count_if(near).over(column) * FLAT_PART > F.count(F.lit(1)).over(column))
+        # The only bucket with values tells whether the column is constant.
+        .withColumn("first", (F.col("n") == F.col("fullest")) | F.col("flat") | (filled & (F.col("filled") == 1)))
+    )
     # One row per column comes to the driver, here and below.
     totals = sizes.groupBy("column").agg(
         F.sum("n").alias("rows"),
-        F.max_by("bucket", "n").alias("fullest"),
-        F.count_if(filled).alias("filled"),
-        F.max(F.when(filled, F.col("bucket"))).alias("last"),
+        F.first("filled").alias("filled"),
+        F.coalesce(F.max(F.when(~F.col("first"), F.col("n"))), F.lit(0)).alias("left"),
         *[F.sum(c).alias(f"{c}_rows") for c in carried],
     ).collect()
-    # The only bucket with values tells whether the column is constant.
-    first = {(r["column"], r["fullest"]) for r in totals}
-    first |= {(r["column"], r["last"]) for r in totals if r["filled"] == 1}
+    names = ["column", "dominant_value", "dominant_rows", "distinct_values", *[f"{c}_dominant" for c in carried]]
+    first = counted(columns, sizes.filter("first").select("column", "bucket"))
+    best = {r["column"]: r for r in dominant_value(first, carried).select(*names).collect()}
+    values = {c: r["distinct_values"] for c, r in best.items()}
     spark = frame.sparkSession
-    wanted = spark.createDataFrame(sorted(first), "column string, bucket long")
-    counts = materialise(counted(columns, wanted), "frequent")
-    best = counts.groupBy("column").agg(F.max("n").alias("best"))
-    still_open = (
-        sizes.join(F.broadcast(best), "column")
-        .filter(F.col("n") >= F.col("best"))
-        .join(F.broadcast(wanted), ["column", "bucket"], "left_anti")
-        .select("column", "bucket")
-    )
-    flat = [r["column"] for r in still_open.select("column").distinct().collect()]
-    if flat:
-        counts = counts.unionByName(counted([c for c in columns if c in set(flat)], still_open))
-
-    known = spark.createDataFrame(
-        [(r["column"], r["rows"], r["filled"], *[r[f"{c}_rows"] for c in carried]) for r in totals],
-        ", ".join(["column string, rows long, filled long", *[f"{c}_rows long" for c in carried]]),
-    )
-    found = dominant_value(counts, carried).drop("rows", "dominant_share", *[f"{c}_rows" for c in carried])
-    return found.join(F.broadcast(known), "column").select(
-        "column",
-        "dominant_value",
-        F.try_divide(F.col("dominant_rows"), F.col("rows")).alias("dominant_share"),
-        "rows",
-        "dominant_rows",
-        ((F.col("filled") == 0) | ((F.col("filled") == 1) & (F.col("distinct_values") <= 1))).alias("is_constant"),
-        *[f"{c}_rows" for c in carried],
-        *[f"{c}_dominant" for c in carried],
-    )
+    left = [r["column"] for r in totals if r["left"] >= best[r["column"]]["dominant_rows"]]
+    if left:
+        bar = spark.createDataFrame([(c, best[c]["dominant_rows"]) for c in left], "column string, bar long")
+        wanted = sizes.join(F.broadcast(bar), "column").filter(~F.col("first") & (F.col("n") >= F.col("bar")))
+        more = counted([c for c in columns if c in set(left)], wanted.select("column", "bucket"))
+        rank = lambda r: (-r["dominant_rows"], r["dominant_value"] is not None, r["dominant_value"])
+        for r in dominant_value(more, carried).select(*names).collect():
+            best[r["column"]] = min(best[r["column"]], r, key=rank)
+
+    rows = []
+    for r in totals:
+        top = best[r["column"]]
+        constant = r["filled"] == 0 or (r["filled"] == 1 and values[r["column"]] <= 1)
+        share = top["dominant_rows"] / r["rows"]
+        sides = [r[f"{c}_rows"] for c in carried] + [top[f"{c}_dominant"] for c in carried]
+        rows.append((r["column"], top["dominant_value"], share, r["rows"], top["dominant_rows"], constant, *sides))
+    sides = [f"{c}_rows long" for c in carried] + [f"{c}_dominant long" for c in carried]
+    return spark.createDataFrame(
+        rows,
+        ", ".join(
+            ["column string, dominant_value string, dominant_share double, rows long", "dominant_rows long", "is_constant boolean", *sides]
+        ),
+    )
 
 
 def near_constant_rescue(
