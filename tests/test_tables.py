@@ -140,6 +140,49 @@ def test_profile_counts(transactions):
     assert near["ProductCD"]["unique_count"] == 5 and abs(near["card1"]["unique_count"] - 100) <= 3
 
 
+def test_category_share_near_its_limit_is_counted(spark):
+    n = 20_000
+    frame = spark.range(n).select(
+        F.pmod("id", F.lit(n // 2 - 1)).cast("string").alias("below"),
+        F.pmod("id", F.lit(n // 2)).cast("string").alias("at"),
+        F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("null_tips"),
+        F.col("id").cast("string").alias("free"),
+        F.lit("x").alias("same"),
+        F.lit(None).cast("string").alias("none"),
+    )
+    got = {r["column"]: r["is_category"] for r in typing.narrowing_plan(frame).collect()}
+    assert got == {"below": True, "at": False, "null_tips": False, "free": False, "same": True, "none": True}
+    none = {r["column"]: r["is_category"] for r in typing.narrowing_plan(frame.filter("false")).collect()}
+    assert not any(none.values()) and len(none) == 6
+
+
+def test_sketches_of_parts_merge_within_their_bounds(spark, transactions):
+    names = ["ProductCD", "TransactionAmt", "TransactionID", "V1", "P_emaildomain"]
+    many = transactions.unionByName(transactions.withColumn("TransactionID", F.col("TransactionID") + 50_000))
+    exact = {r["column"]: r["unique_count"] for r in P.column_profile(many.select(*names)).collect()}
+    parts = P.distinct_sketches(many, names, F.when(F.col("card1") % 9 != 0, F.col("card1") % 9))
+    path = scratch_path(spark, "sketches")
+    parts.write.parquet(path)
+    for table, count in ((spark.read.parquet(path), 9), (P.distinct_sketches(many, names), 1)):
+        got = {r["column"]: r for r in P.merged_distinct(table).collect()}
+        assert set(got) == set(names) and all(r["parts"] == count for r in got.values())
+        for name, r in got.items():
+            assert r["unique_low"] <= exact[name] <= r["unique_high"] <= r["rows"]
+            assert abs(r["unique_estimate"] - exact[name]) <= 0.03 * exact[name]
+    none = spark.createDataFrame([(None,), (None,)], "x string")
+    assert P.merged_distinct(P.distinct_sketches(none, ["x"])).first()["unique_high"] == 0
+    assert P.distinct_sketches(none.filter("false"), ["x"], F.lit("a")).count() == 0
+
+
+def test_distinct_counts_are_exact_where_asked(transactions):
+    frame = transactions.select("TransactionID", "card1", "V1")
+    mixed = P.column_profile(frame, approximate_distinct=True, exact_distinct=["card1"])
+    rows = {r["column"]: r["unique_count"] for r in mixed.collect()}
+    assert rows["card1"] == 100 and abs(rows["TransactionID"] - 3000) <= 90
+    plan = P.column_profile(frame, approximate_distinct=True)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(column" not in plan
+
+
 def test_rate_table_counts_missing_and_drops_rare(transactions):
     rows = P.rate_by_category(transactions, "P_emaildomain", "isFraud", 500).collect()
     assert {r["category"] for r in rows} == {"gmail.com", "yahoo.com", "hotmail.co.uk", "(missing)"}

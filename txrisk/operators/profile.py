@@ -13,7 +13,15 @@ from pyspark.sql import types as T
 from txrisk.functions.scalar import column_family
 from txrisk.operators.joins import broadcast_if_small
 from txrisk.operators.ordering import exact_quantiles
-from txrisk.settings import MIN_CATEGORY_ROWS, MISSING, SCALE, SECONDS_PER_DAY, Scale
+from txrisk.settings import (
+    MIN_CATEGORY_ROWS,
+    MISSING,
+    SCALE,
+    SECONDS_PER_DAY,
+    SKETCH_BITS,
+    SKETCH_ERROR,
+    Scale,
+)
 
 # Families by exact name and by anchored pattern.
 FAMILY_NAMES = {
@@ -163,19 +171,57 @@ def value_counts_long(
     return reduce(DataFrame.unionByName, parts)
 
 
+def distinct_sketches(frame: DataFrame, columns: Sequence[str], part: Column | None = None) -> DataFrame:
+    """(part, column, rows, sketch): a distinct-count sketch of fixed size per
+    column and part (a day, a file, a load), to be stored and merged later.
+
+    No value is shuffled.  A null part is a part; ``rows`` counts non-null values,
+    a column of nulls has an empty sketch, and -0.0 equals 0.0.
+    """
+    aggs, cells = [], []
+    for i, name in enumerate(columns):
+        aggs += [F.count(F.col(f"`{name}`")).alias(f"n{i}"), value_sketch(frame, name).alias(f"s{i}")]
+        cells.append(F.struct(F.lit(name).alias("column"), F.col(f"n{i}").alias("rows"), F.col(f"s{i}").alias("sketch")))
+    label = F.lit(None).cast("string") if part is None else part.cast("string")
+    return frame.groupBy(label.alias("part")).agg(*aggs).select("part", F.inline(F.array(*cells)))
+
+
+def value_sketch(frame: DataFrame, name: str) -> Column:
+    return F.hll_sketch_agg(_value_text(frame, name), F.lit(SKETCH_BITS))
+
+
+def merged_distinct(sketches: DataFrame, errors: float = 3.0) -> DataFrame:
+    """Distinct values of each column over all parts of ``distinct_sketches``, with
+    the bounds that ``errors`` standard errors give (99.7% at three)."""
+    off = errors * SKETCH_ERROR
+    merged = sketches.groupBy("column").agg(
+        F.count(F.lit(1)).alias("parts"),
+        F.sum("rows").alias("rows"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique_estimate"),
+    )
+    # An estimate is off by a share of the true count, which is at most ``rows``.
+    low = F.floor(F.col("unique_estimate") / (1 + off))
+    high = F.least(F.ceil(F.col("unique_estimate") / (1 - off)), F.col("rows"))
+    return merged.withColumns({"unique_low": F.least(low, F.col("rows")), "unique_high": high})
+
+
 def column_profile(
     frame: DataFrame,
     families: dict[str, str] | None = None,
     patterns: Sequence[tuple[str, str]] | None = None,
     scale: Scale = SCALE,
     approximate_distinct: bool = False,
+    exact_distinct: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per column: family, type, missing count and share, distinct
     non-null values, and the range of numbers.
 
     Counts and ranges come from one aggregate; exact distinct counts from one
-    shuffle of pre-aggregated (column, value) pairs.
+    shuffle of pre-aggregated (column, value) pairs.  ``approximate_distinct``
+    takes distinct counts from sketches in that aggregate instead, but for the
+    columns named in ``exact_distinct``; no value of other columns is shuffled.
     """
+    exact = list(exact_distinct or []) if approximate_distinct else frame.columns
     aggs, cells = [], []
     for i, f in enumerate(frame.schema.fields):
         c = F.col(f"`{f.name}`")
@@ -183,8 +229,9 @@ def column_profile(
         aggs.append(F.count(c).alias(f"n{i}"))
         if numeric:
             aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
-        if approximate_distinct:
-            aggs.append(F.approx_count_distinct(c, 0.01).alias(f"d{i}"))
+        sketched = f.name not in exact
+        if sketched:
+            aggs.append(F.hll_sketch_estimate(value_sketch(frame, f.name)).alias(f"d{i}"))
         cells.append(
             F.struct(
                 F.lit(f.name).alias("column"),
@@ -192,20 +239,22 @@ def column_profile(
                 (F.col("rows") - F.col(f"n{i}")).alias("missing_count"),
                 (F.col(f"lo{i}") if numeric else F.lit(None)).cast("double").alias("min_value"),
                 (F.col(f"hi{i}") if numeric else F.lit(None)).cast("double").alias("max_value"),
-                (F.col(f"d{i}") if approximate_distinct else F.lit(None))
+                (F.col(f"d{i}") if sketched else F.lit(None))
                 .cast("long")
                 .alias("unique_count"),
             )
         )
     row = frame.agg(F.count(F.lit(1)).alias("rows"), *aggs)
     profile = row.select("rows", F.inline(F.array(*cells)))
-    if not approximate_distinct:
+    if exact:
         distinct = (
-            value_counts_long(frame, frame.columns, scale=scale)
+            value_counts_long(frame.select(*[f"`{c}`" for c in exact]), exact, scale=scale)
             .groupBy("column")
-            .agg(F.count("value").alias("unique_count"))
+            .agg(F.count("value").alias("counted"))
+        )
+        profile = profile.join(distinct, "column", "left").withColumn(
+            "unique_count", F.coalesce("counted", "unique_count")
         )
-        profile = profile.drop("unique_count").join(distinct, "column", "left")
     family = column_family(
         "column",
         FAMILY_NAMES if families is None else families,

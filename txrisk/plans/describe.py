@@ -217,6 +217,28 @@ def column_profile(spark, sf):
     return _profile(spark, sf)
 
 
+_SKETCHED = ["product", "card", "amount", "b_discount"]
+
+
+@query(
+    "distinct_sketches",
+    f"""WITH {ENRICHED} {" UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(DISTINCT product) + max(CASE WHEN product IS NULL THEN 1 ELSE 0 END) AS parts,
+          count({c}) AS rows, count(DISTINCT {c}) AS unique_count, true AS within_bounds FROM enriched"""
+        for c in _SKETCHED)}""",
+)
+def distinct_sketches(spark, sf):
+    """Sketches of each product's rows, stored, merged and held against exact counts."""
+    work = materialise(enriched(spark, sf).select(*_SKETCHED), "sketched")
+    stored = materialise(profile.distinct_sketches(work, _SKETCHED, F.col("product")), "sketches")
+    merged = profile.merged_distinct(stored, errors=5.0)
+    exact = profile.column_profile(work, _FAMILIES, _PATTERNS).select("column", "unique_count")
+    inside = F.col("unique_count").between(F.col("unique_low"), F.col("unique_high"))
+    return merged.join(exact, "column").select(
+        "column", "parts", "rows", "unique_count", inside.alias("within_bounds")
+    )
+
+
 @query(
     "missing_profile",
     f"""WITH {_PROFILE} SELECT "column", family, missing_pct,

@@ -39,6 +39,10 @@ ENTITY_FEATURE_MARKERS = ("_by_uid", "_to_uid_", "uid_freq")
 EXPLANATIONS_PER_ROW = 6
 INFLUENCE_FLOOR = 0.01
 
+# Distinct-count sketches have 2^14 registers; merged ones err by 1.04 / 2^7.
+SKETCH_BITS = 14
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
 
 @dataclass(frozen=True)
 class CostModel:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txrisk.settings import CATEGORY_DISTINCT_RATIO, FLOAT32_WHOLE_LIMIT
+from txrisk.settings import CATEGORY_DISTINCT_RATIO, FLOAT32_WHOLE_LIMIT, SKETCH_BITS, SKETCH_ERROR
 
 _INT_LIMITS = [("tinyint", 2**7), ("smallint", 2**15), ("int", 2**31)]
 
@@ -18,12 +18,16 @@ def _int_type(lo: Column, hi: Column) -> Column:
     return chain.otherwise("bigint")
 
 
-def narrowing_plan(frame: DataFrame, pinned: dict[str, str] | None = None) -> DataFrame:
+def narrowing_plan(
+    frame: DataFrame, pinned: dict[str, str] | None = None, errors: float = 5.0
+) -> DataFrame:
     """One row per column: its type, the narrowest lossless type, and whether
-    text repeats enough to be a category.
+    text repeats enough to be a category; null counts as a value.
 
-    Numbers need one aggregate over the table; text columns are counted by
-    value, with map-side combine, and null counts as a value.
+    One aggregate over the table tells all of it, distinct texts from sketches
+    of fixed size.  Only a text column whose distinct share lies within
+    ``errors`` standard errors of the limit is counted by value; free text, far
+    above it, is never shuffled.
     """
     pinned = pinned or {}
     aggs, cells, texts = [], [], []
@@ -47,6 +51,8 @@ def narrowing_plan(frame: DataFrame, pinned: dict[str, str] | None = None) -> Da
             chosen = F.lit(kind.simpleString())
             if isinstance(kind, T.StringType):
                 texts.append(f.name)
+                sketch = F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(SKETCH_BITS)))
+                aggs += [sketch.alias(f"d{i}"), F.max(c.isNull().cast("long")).alias(f"null{i}")]
         cells.append(
             F.struct(
                 F.lit(f.name).alias("column"),
@@ -55,25 +61,30 @@ def narrowing_plan(frame: DataFrame, pinned: dict[str, str] | None = None) -> Da
             )
         )
     row = frame.agg(F.count(F.lit(1)).alias("rows"), *aggs)
-    plan = row.select("rows", F.inline(F.array(*cells)))
-    if texts:
-        per_column = (
-            frame.select(*texts)
-            .unpivot([], texts, "column", "value")
+    place = {f.name: i for i, f in enumerate(frame.schema.fields)}
+    extra = [F.col(f"{kind}{place[c]}") for c in texts for kind in ("d", "null")]
+    # One row reaches the driver.
+    found = row.select("rows", F.array(*cells).alias("cells"), *extra).first()
+    limit, off = CATEGORY_DISTINCT_RATIO * found["rows"], errors * SKETCH_ERROR
+    repeats, unsure = {}, []
+    for c in texts:
+        about, null = (found[f"{kind}{place[c]}"] or 0 for kind in ("d", "null"))
+        repeats[c] = about / (1 - off) + null < limit
+        if not repeats[c] and about / (1 + off) + null < limit:
+            unsure.append(c)
+    if unsure:
+        distinct = (
+            frame.select(*[f"`{c}`" for c in unsure])
+            .unpivot([], unsure, "column", "value")
             .groupBy("column", "value")
             .agg(F.lit(1).alias("one"))
             .groupBy("column")
             .agg(F.count("one").alias("distinct_values"))
         )
-        plan = plan.join(per_column, "column", "left")
-    else:
-        plan = plan.withColumn("distinct_values", F.lit(None).cast("long"))
-    repeats = F.try_divide(F.col("distinct_values"), F.col("rows")) < CATEGORY_DISTINCT_RATIO
-    return plan.select(
-        "column",
-        "current_type",
-        "narrow_type",
-        F.coalesce(repeats, F.lit(False)).alias("is_category"),
+        repeats |= {r["column"]: r["distinct_values"] < limit for r in distinct.collect()}
+    return frame.sparkSession.createDataFrame(
+        [(*cell, repeats.get(cell["column"], False)) for cell in found["cells"]],
+        "column string, current_type string, narrow_type string, is_category boolean",
     )
 
 
