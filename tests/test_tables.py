@@ -285,6 +285,25 @@ def test_blocks_reduce(spark, transactions):
     assert C.block_reduce(never, [["a", "b"]])[0] == ["a"]
 
 
+def test_a_nan_is_no_complete_row_of_a_block(spark):
+    # a and b agree wherever both are numbers; NaN rows must count for neither side
+    frame = spark.range(400).select(
+        F.col("id").cast("double").alias("a"),
+        F.when(F.col("id") % 2 == 0, float("nan")).otherwise(F.col("id") * 2.0).alias("b"),
+    )
+    kept, evidence = C.block_reduce(frame, [["b", "a"]])
+    assert kept == ["b"] and evidence.first()["n_represented"] == 2
+    only = frame.select("a", F.lit(float("nan")).alias("b"))
+    assert C.block_reduce(only, [["a", "b"]])[0] == ["a"]
+
+
+def test_a_summary_is_run_once_and_broadcast_by_its_rows(spark):
+    plan = lambda f: f._jdf.queryExecution().analyzed().toString()
+    for rows, small in ((10, True), (11, False), (0, True)):
+        out = J.broadcast_if_small(spark.range(rows), limit=10)
+        assert "Range" not in plan(out) and ("broadcast" in plan(out)) == small and out.count() == rows
+
+
 def test_correlation_of_a_constant_is_null(transactions):
     row = C.block_correlation(transactions, ["V4", "flat"]).first()
     assert row["r"] is None

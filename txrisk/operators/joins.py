@@ -96,15 +96,12 @@ def key_uniqueness(frame: DataFrame, key: str, table: str) -> DataFrame:
 
 
 def broadcast_if_small(small: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Run a summary query once; if it has few rows, hand it to every task.
-
-    Beyond ``limit`` rows the frame is returned as it is and the planner picks
-    the join.
+    """Run a summary query once, write it, and hand it to every task if it has
+    few rows; beyond ``limit`` rows the planner picks the join.  No row reaches
+    the driver.
     """
-    rows = small.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return small
-    return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
+    written = materialise(small, "summary")
+    return F.broadcast(written) if written.count() <= limit else written
 
 
 def row_bytes(key: str, columns: Sequence[str]) -> Column:

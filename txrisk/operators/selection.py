@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -256,6 +256,11 @@ def greedy_clusters(matrix: list[list[float]], threshold: float) -> list[list[in
     return clusters
 
 
+def _complete(block: Sequence[str]) -> Column:
+    """Whether a row has a number in every column of a block; NaN is none."""
+    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").cast("double").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double")) for c in block])
+
+
 def block_reduce(
     frame: DataFrame,
     blocks: Sequence[Sequence[str]],
@@ -276,8 +281,7 @@ def block_reduce(
     if compared:
         masked = []
         for block in compared:
-            complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in block])
-            masked += [F.when(complete, F.col(c)).alias(c) for c in block]
+            masked += [F.when(_complete(block), F.col(c)).alias(c) for c in block]
         names = [c for b in compared for c in b]
         per_column = (
             value_counts_long(frame.select(*masked), names, scale=scale)
@@ -297,7 +301,7 @@ def block_reduce(
             # a single column, or nothing to correlate: the first one stays
             clusters = [list(range(len(present)))]
         else:
-            complete = frame.select(*present).na.drop(subset=present)
+            complete = frame.select(*present).filter(_complete(present))
             clusters = greedy_clusters(correlation_matrix(complete, present), threshold)
         for place, members in enumerate(clusters, start=1):
             names = [present[i] for i in members]
