@@ -11,7 +11,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from txrisk.session import build_session
+from txrisk.session import build_session, clear_scratch, run_root
 from txrisk.settings import Scale
 
 # Forces the distributed way on small tables.
@@ -32,7 +32,10 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
+    left = os.path.exists(run_root(session))
     session.stop()
+    assert not left
 
 
 @pytest.fixture(scope="session")
