@@ -115,3 +115,17 @@ def test_periods_below_the_floor_are_left_out(many):
     weeks = frame.withColumn("week", F.when(F.col("id") < 1900, "a").otherwise("b"))
     rows = R.period_performance(weeks, "week").collect()
     assert [r["period"] for r in rows] == ["a"] and not rows[0]["is_full_period"]
+
+
+def test_shares_round_as_the_sql_twins_do(spark):
+    import duckdb
+
+    from txrisk.plans.registry import rounded
+
+    rows = 6_000_000
+    shares = spark.range(1, 4001).select("id", (F.col("id") / F.lit(rows)).alias("share"))
+    got = {r["id"]: r["share"] for r in rounded(shares).collect()}
+    sql = f"SELECT i, round(i / CAST({rows} AS DOUBLE), 6) FROM range(1, 4001) t(i)"
+    assert got == dict(duckdb.sql(sql).fetchall())
+    odd = spark.sql("SELECT double('Infinity') AS a, -2.5D AS b, double(null) AS c, 1.7e308D AS d")
+    assert tuple(rounded(odd, at={"b": 0}).first()) == (float("inf"), -3.0, None, 1.7e308)

@@ -13,7 +13,7 @@ from txrisk.operators import modeling as M
 from txrisk.operators.joins import lookup_size
 from txrisk.operators.ranking import Scored, ranking_metrics
 from txrisk.plans.inputs import ENRICHED, FACTS, enriched, facts, scored
-from txrisk.plans.registry import mean_rounded, mean_rounded_sql, query, rounded
+from txrisk.plans.registry import mean_rounded, mean_rounded_sql, query, round_double, rounded
 from txrisk.session import materialise, scratch_path
 from txrisk.settings import ENTITY_FEATURE_MARKERS
 from txrisk.sources.tables import json_to_columns, plain_times, read_table
@@ -96,7 +96,7 @@ def category_map(spark, sf):
 def group_agg_map(spark, sf):
     train, _ = _split(spark, sf)
     learnt = E.group_aggregate_map(train, X.label_of(train, "card"), "amount")
-    return learnt.select("label", mean_rounded("mean").alias("mean"), F.round("std", 4).alias("std"))
+    return learnt.select("label", mean_rounded("mean").alias("mean"), round_double("std", 4).alias("std"))
 
 
 @query(
@@ -150,8 +150,8 @@ def group_agg_encode(spark, sf):
     return joined.select(
         "id",
         mean_rounded("mean").alias("amount_mean_by_card"),
-        F.round("std", 4).alias("amount_std_by_card"),
-        F.round(X.ratio_or_null(F.col("amount"), F.col("mean")), 6).alias("amount_ratio_to_card_mean"),
+        round_double("std", 4).alias("amount_std_by_card"),
+        round_double(X.ratio_or_null(F.col("amount"), F.col("mean")), 6).alias("amount_ratio_to_card_mean"),
     )
 
 
@@ -183,7 +183,7 @@ def encode_fit_state(spark, sf):
         "column",
         "label",
         "n",
-        F.round("share", 6).alias("share"),
+        round_double("share", 6).alias("share"),
         mean_rounded(f"mean_{values.index('amount')}").alias("amount_mean"),
         mean_rounded(f"mean_{values.index('balance')}").alias("balance_mean"),
         F.col("code").cast("long").alias("code"),
@@ -255,7 +255,7 @@ def encode_transform(spark, sf):
     return rounded(
         every.withColumns(
             {
-                c: mean_rounded(c) if "_mean_by_" in c else F.round(c, 4)
+                c: mean_rounded(c) if "_mean_by_" in c else round_double(c, 4)
                 for c in every.columns
                 if "_by_" in c or "_to_" in c or c in ("amount_log", "b_discount")
             }
@@ -431,7 +431,7 @@ def refit_rounds(spark, sf):
     return M.score(final, model, table, _FEATURES, ["id"]).agg(F.count("score").alias("scored_rows")).select(
         F.lit(n_train).cast("long").alias("train_rows"),
         F.lit(n_all).cast("long").alias("all_rows"),
-        F.round(F.lit(n_all / n_train), 6).alias("growth"),
+        round_double(F.lit(n_all / n_train), 6).alias("growth"),
         F.lit(followed).alias("rounds_follow_growth"),
         "scored_rows",
     )

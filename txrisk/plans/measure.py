@@ -76,13 +76,11 @@ _CURVE_COLUMNS = """n_flagged, round(review_rate, 6) AS review_rate, threshold,
     round(total_cost, 4) AS total_cost, round(savings, 4) AS savings"""
 _POINT_COLUMNS = """n_flagged, round(review_rate, 6) AS review_rate, threshold, round(recall, 6) AS recall,
     round(precision, 6) AS precision, round(total_cost, 4) AS total_cost, round(savings, 4) AS savings"""
-_MONEY = ["cost_missed", "cost_caught", "total_cost", "savings"]
+_MONEY = ["cost_missed", "cost_caught", "total_cost", "savings", "annual_savings"]
 
 
 def _rounded_money(frame):
-    return rounded(
-        frame.withColumns({c: F.round(c, 4) for c in _MONEY if c in frame.columns})
-    )
+    return rounded(frame, at=dict.fromkeys(_MONEY, 4))
 
 
 @query("cost_curve", f"WITH {CURVE} SELECT {_CURVE_COLUMNS} FROM curve")
@@ -124,9 +122,7 @@ def best_point_capacity(spark, sf):
         (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / 86400
     ).scalar()
     best = R.best_operating_point(R.cost_curve(frame), 0.02)
-    return _rounded_money(
-        best.withColumn("annual_savings", F.round(R.annualised(F.col("savings"), days), 4))
-    )
+    return _rounded_money(best.withColumn("annual_savings", R.annualised(F.col("savings"), days)))
 
 
 @query(
@@ -177,7 +173,7 @@ def _evaluate_sql() -> str:
 def evaluate_all(spark, sf):
     out = R.evaluate_all(scored(spark, sf), RATES)
     money = ["best_savings_unconstrained", "best_savings_within_capacity"]
-    return rounded(out.withColumns({c: F.round(c, 4) for c in money}))
+    return rounded(out, at=dict.fromkeys(money, 4))
 
 
 @query(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,15 +31,25 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def rounded(frame: DataFrame, places: int = 6) -> DataFrame:
-    """Plain report types: doubles rounded, small integers widened."""
+def round_double(value: Column | str, places: int) -> Column:
+    """Rounds a double as the SQL twins do: the scaled double goes to a whole number.
+
+    Spark's own ``round`` works on the printed digits, so a share that prints as
+    0.0001245 goes up where the scaled double lies just below the half.
+    """
+    x = (F.col(value) if isinstance(value, str) else value).cast("double")
+    scale = F.lit(10.0**places)
+    # A whole number is rounded right by either; a value too large to scale stays.
+    return F.when(F.abs(x * scale) < float("inf"), F.round(x * scale, 0) / scale).otherwise(x)
+
+
+def rounded(frame: DataFrame, places: int = 6, at: Mapping[str, int] | None = None) -> DataFrame:
+    """Plain report types: doubles rounded (columns of ``at`` to places of their own), small integers widened."""
     cells = []
     for f in frame.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), places)
-        elif isinstance(f.dataType, T.DecimalType):
-            c = F.round(c.cast("double"), places)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+            c = round_double(c, (at or {}).get(f.name, places))
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("long")
         cells.append(c.alias(f.name))
@@ -52,7 +62,7 @@ NUDGE = 1e-7
 
 
 def mean_rounded(name: str, places: int = 4) -> Column:
-    return F.round(F.col(name) + F.lit(NUDGE), places)
+    return round_double(F.col(name) + F.lit(NUDGE), places)
 
 
 def mean_rounded_sql(expression: str, places: int = 4) -> str:

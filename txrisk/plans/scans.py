@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from txrisk.operators import joins, profile
 from txrisk.plans.inputs import ENRICHED, ENRICHED_TYPES, FACTS, SCORED, enriched, facts, scored
-from txrisk.plans.registry import query
+from txrisk.plans.registry import query, round_double
 from txrisk.session import materialise, scratch_path
 from txrisk.sources import tables, typing
 from txrisk.sources.tables import read_table
@@ -36,7 +36,7 @@ def scan_csv(spark, sf):
     back = tables.read_csv(spark, path, orders.schema)
     total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
     return back.groupBy("o_orderpriority").agg(
-        F.count(F.lit(1)).alias("n"), F.round(total, 2).alias("total")
+        F.count(F.lit(1)).alias("n"), round_double(total, 2).alias("total")
     )
 
 
