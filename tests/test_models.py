@@ -133,3 +133,24 @@ def test_alert_volume_drops_late_rows(spark):
     out = spark.read.parquet(S.run_to_table(S.stream_alert_volume(stream, "ts", "score", 0.5, 0.1), "volume"))
     got = {r["window_start"]: r["rows"] for r in out.collect()}
     assert got["2024-01-11"] == 1 and got["2024-01-18"] == 2 and got["2024-01-04"] == 2
+
+
+def test_folds_read_what_is_behind_their_rows_once(spark, rows):
+    _, _, frame = rows
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        seen.add(1)
+        return v
+
+    work = frame.withColumn("b", F.udf(counted, "double")("b"))
+    M.cross_validate(M.logistic_candidate("y", 3), work, FEATURES, "t", NAMES, folds=2).collect()
+    assert seen.value == frame.count()
+
+
+def test_model_rows_are_written_once(spark):
+    from txrisk.plans.learn import _model_split
+    from txrisk.session import run_root
+
+    for half in _model_split(spark, "/root/testdata/sf0.001"):
+        assert half.inputFiles() and all(run_root(spark) in f for f in half.inputFiles())

@@ -301,7 +301,11 @@ def cross_validate(
     scale: Scale = SCALE,
 ) -> DataFrame:
     """Expanding-window folds with fixed rounds; metrics of all folds in one
-    plan over the stacked scores."""
+    plan over the stacked scores.
+
+    Every fold passes over the rows many times, so what the folds need of them is
+    written first: joins behind the frame, and their broadcasts, run once."""
+    frame = materialise(frame.select(*dict.fromkeys([time, names.label, *features])), "folds")
     edges = fold_edges(frame, time, folds, scale)
     t = F.col(time)
     scored = []
