@@ -129,3 +129,5 @@ def test_shares_round_as_the_sql_twins_do(spark):
     assert got == dict(duckdb.sql(sql).fetchall())
     odd = spark.sql("SELECT double('Infinity') AS a, -2.5D AS b, double(null) AS c, 1.7e308D AS d")
     assert tuple(rounded(odd, at={"b": 0}).first()) == (float("inf"), -3.0, None, 1.7e308)
+    third = spark.sql("SELECT 1D / 3 AS a, 1D / 3 AS b")
+    assert tuple(rounded(third, at={"a": None}).first()) == (1 / 3, 0.333333)

@@ -13,7 +13,7 @@ from txrisk.operators import modeling as M
 from txrisk.operators.joins import lookup_size
 from txrisk.operators.ranking import Scored, ranking_metrics
 from txrisk.plans.inputs import ENRICHED, FACTS, enriched, facts, scored
-from txrisk.plans.registry import mean_rounded, mean_rounded_sql, query, round_double, rounded
+from txrisk.plans.registry import NUDGE, mean_rounded, mean_rounded_sql, query, round_double, rounded
 from txrisk.session import materialise, scratch_path
 from txrisk.settings import ENTITY_FEATURE_MARKERS
 from txrisk.sources.tables import json_to_columns, plain_times, read_table
@@ -252,15 +252,12 @@ def _manifest_sql() -> str:
 def encode_transform(spark, sf):
     _, train, valid = _encoded(spark, sf)
     every = train.unionByName(valid)
-    return rounded(
-        every.withColumns(
-            {
-                c: mean_rounded(c) if "_mean_by_" in c else round_double(c, 4)
-                for c in every.columns
-                if "_by_" in c or "_to_" in c or c in ("amount_log", "b_discount")
-            }
-        )
-    )
+    learnt = [c for c in every.columns if "_by_" in c or "_to_" in c]
+    # Each column is rounded once; columns of the table itself are left as they are.
+    places = dict.fromkeys([*learnt, "amount_log", "b_discount"], 4)
+    places |= {c: None for c in every.columns if c not in places and not c.endswith("_freq")}
+    nudged = every.withColumns({c: F.col(c) + F.lit(NUDGE) for c in learnt if "_mean_by_" in c})
+    return rounded(nudged, at=places)
 
 
 @query(

@@ -43,13 +43,15 @@ def round_double(value: Column | str, places: int) -> Column:
     return F.when(F.abs(x * scale) < float("inf"), F.round(x * scale, 0) / scale).otherwise(x)
 
 
-def rounded(frame: DataFrame, places: int = 6, at: Mapping[str, int] | None = None) -> DataFrame:
-    """Plain report types: doubles rounded (columns of ``at`` to places of their own), small integers widened."""
+def rounded(frame: DataFrame, places: int = 6, at: Mapping[str, int | None] | None = None) -> DataFrame:
+    """Plain report types: doubles rounded (columns of ``at`` to places of their own, or
+    not at all with None), small integers widened."""
     cells = []
     for f in frame.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = round_double(c, (at or {}).get(f.name, places))
+            own = (at or {}).get(f.name, places)
+            c = c.cast("double") if own is None else round_double(c, own)
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("long")
         cells.append(c.alias(f.name))
