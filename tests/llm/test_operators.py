@@ -129,6 +129,33 @@ def test_toxicity_learns_pairs_as_registered(spark):
     assert ((scores["score"] > 0.5) == (scores["label"] == 1)).mean() > 0.95
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The rows of the sample never reach the driver, and the join is the same at any size."""
+    driver, descend = os.getpid(), toxicity._descend
+
+    def elsewhere(*given):
+        assert os.getpid() != driver
+        return descend(*given)
+
+    monkeypatch.setattr(toxicity, "_descend", elsewhere)
+    docs = spark.createDataFrame([(i, "bad word" if i % 2 else "good word") for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    plans = []
+    write = toxicity.materialise
+    monkeypatch.setattr(toxicity, "materialise", lambda f, name: plans.append(f._jdf.queryExecution().toString()) or write(f, name))
+    model = toxicity.fit(docs, labels)
+    assert len(model.index) and model.factor.shape == (len(model.index), toxicity.Settings().factors)
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
+def test_toxicity_sample_by_bounds(spark):
+    """Rows left out by the bound on the hash change nothing, also where one id has very many rows."""
+    frame = spark.range(3000).select(F.when(F.col("id") < 1500, 7).otherwise(F.col("id")).alias("doc_id"), (F.col("id") % 2).alias("label"))
+    for n in (0, 1, 50, 1499, 2999, 3000, 5000):
+        plain = frame.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(n)
+        assert toxicity.least_rows(frame, n, 3000).collect() == plain.collect()
+
+
 def test_classifiers_on_odd_rows(spark, docs, none):
     labels = spark.createDataFrame(
         [(i, 1, 0) for i in (1000, 993)] + [(None, 1, 1), (986, None, None), (979, 0, 1), (972, 0, 1)],

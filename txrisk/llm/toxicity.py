@@ -86,11 +86,10 @@ def _bucket_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"label": int(label), "bucket": found, "n": n})
 
 
-def counted_buckets(labelled: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+def counted_buckets(labelled: DataFrame, totals: dict[int, int], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """All buckets of the labelled rows, sorted, and which of them do not tell the classes apart alone.
 
     At most 2^bits pairs of numbers reach the driver."""
-    totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool)
@@ -224,27 +223,68 @@ def _descend(
     return Machine(index[moved], b, w[moved], v[moved])
 
 
+def least_rows(labelled: DataFrame, n: int, rows: int) -> DataFrame:
+    """The `n` of `rows` labelled rows with the least hash of doc_id, in that order.
+
+    No task holds more than about `n` of them with their terms: the others are left out by a
+    bound on the hash before any row is sorted."""
+    place = F.xxhash64("doc_id")
+    share, near = n / max(rows, 1), labelled
+    while share < 1:
+        share += 6 * (share / rows) ** 0.5
+        near = labelled.filter(place <= min(int((share - 0.5) * 2**64), 2**63 - 1))
+        if near.count() >= n:
+            break
+        share, near = 2 * share, labelled
+    return near.orderBy(place, "doc_id", "label").limit(n)
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Machine:
-    """Learns from documents with a label (doc_id, label in 0/1); other labels are ignored."""
+    """Learns from documents with a label (doc_id, label in 0/1); other labels are ignored.
+
+    One task fits the weights on the rows of the sample; only the buckets and the weights reach the driver."""
     wanted = labels.select("doc_id", F.col("label").cast("int").alias("label")).filter("label in (0, 1)")
 
     def listed(found: list) -> dict[str, list]:
         return {"terms": pa.array([terms(t, settings.bits, settings.stems) for t in found], pa.list_(pa.int32()))}
 
-    joined = texts(docs).join(wanted, "doc_id").select(F.struct("doc_id", "label").alias("of"), "text")
+    # Merged at any size: labels grow as the documents do, so a broadcast of them has no bound.
+    joined = texts(docs).join(wanted.hint("merge"), "doc_id").select(F.struct("doc_id", "label").alias("of"), "text")
     labelled = materialise(
         per_row(joined, "text", listed, "terms array<int>", carry="of").select("of.doc_id", "of.label", "terms"), "toxicity"
     )
-    index, held = counted_buckets(labelled, settings)
-    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(settings.sample)
-    kept = chosen.select("label", "terms").toArrow()
-    y = kept["label"].to_numpy().astype(np.float64)
-    if not len(index) or not len(y):
-        share = (y.sum() + 1) / (len(y) + 2)
-        return Machine(index, float(np.log(share / (1 - share))), np.zeros(len(index)), np.zeros((len(index), settings.factors)))
-    batches, judge, n_rows = _batches(kept["terms"], y, index, settings)
-    del kept
-    return _descend(batches, judge, n_rows, y, index, held, settings)
+    totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    index, held = counted_buckets(labelled, totals, settings)
+    chosen = least_rows(labelled, settings.sample, sum(totals.values()))
+    if not len(index):
+        seen = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
+        share = (seen["pos"] + 1) / (seen["n"] + 2)
+        return Machine(index, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, settings.factors)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([b for b in batches if b.num_rows])
+        y = table["label"].to_numpy().astype(np.float64)
+        arranged = _batches(table["terms"], y, index, settings)
+        del table
+        model = _descend(*arranged, y, index, held, settings)
+        yield _sent(-1, [model.bias], np.zeros((1, settings.factors), dtype=np.float32))
+        for at in range(0, len(model.index), 50_000):
+            part = slice(at, at + 50_000)
+            yield _sent(model.index[part], model.weight[part], model.factor[part])
+
+    fitted = chosen.select("label", "terms").mapInArrow(run, "bucket int, weight double, factor array<float>").toArrow()
+    bucket, weight = fitted["bucket"].to_numpy(), fitted["weight"].to_numpy()
+    factor = fitted["factor"].combine_chunks().flatten().to_numpy().reshape(len(bucket), settings.factors)
+    own = bucket >= 0  # the other row is the bias
+    return Machine(bucket[own], float(weight[~own][0]), weight[own].astype(np.float32), factor[own])
+
+
+def _sent(buckets, weights, factors: np.ndarray) -> pa.RecordBatch:
+    k = factors.shape[1]
+    starts = pa.array(np.arange(0, factors.size + 1, k, dtype=np.int32))
+    lists = pa.ListArray.from_arrays(starts, pa.array(factors.ravel(), pa.float32()))
+    columns = [pa.array(np.atleast_1d(buckets), pa.int32()), pa.array(weights, pa.float64()), lists]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "weight", "factor"])
 
 
 def _batches(terms: pa.ChunkedArray, labels: np.ndarray, index: np.ndarray, settings: Settings):
