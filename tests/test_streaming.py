@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from txrisk.operators import encoding as E
 from txrisk.operators import modeling as M
 from txrisk.session import scratch_path
+from txrisk.sources.tables import json_to_columns
 from txrisk.streaming import scoring as S
 
 
@@ -100,3 +101,14 @@ def test_open_windows_come_from_the_state(spark):
         "2024-01-18": (3, 2, True),
         "2024-01-25": (1, 1, False),
     }
+
+
+def test_a_filter_on_fields_does_not_parse_again(spark):
+    """The optimiser may not copy the parser into a filter, once for each term."""
+    rows = [('{"a": "1", "b": 2}',), ('{"a": 1}',), ("no json",), (None,), ("",), ('{"a": "x", "b": 3}',)]
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    typed = json_to_columns(spark.createDataFrame(rows, "r string").repartition(2), "r", schema)
+    assert sorted(map(tuple, typed.na.fill(-1).collect())) == [(-1, -1)] * 3 + [(-1, 3), (1, -1), (1, 2)]
+    valid, refused = S.quarantine(typed, ["a", "b"])
+    assert [tuple(r) for r in valid.collect()] == [(1, 2)] and refused.count() == 5
+    assert valid._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1

@@ -81,13 +81,17 @@ def json_to_columns(frame: DataFrame, column: str, schema: T.StructType) -> Data
 
     Every field is read as text first, so numbers may come quoted and whole
     numbers with a fraction of zero; what cannot be read is null.
+
+    The fields of a record come out of a generator: a filter on them, pushed
+    through a projection, would parse the record again for each of its terms.
     """
     kept = [c for c in frame.columns if c != column]
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     parsed = F.from_json(F.col(column), raw, {"mode": "PERMISSIVE"})
+    names = [f"__r{i}" for i in range(len(schema.fields))]
 
-    def typed(field: T.StructField) -> Column:
-        text = F.col(f"__r.`{field.name}`")
+    def typed(field: T.StructField, name: str) -> Column:
+        text = F.col(name)
         if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
             return F.from_json(text, field.dataType)
         if isinstance(field.dataType, _WHOLE):
@@ -96,8 +100,8 @@ def json_to_columns(frame: DataFrame, column: str, schema: T.StructType) -> Data
             return F.coalesce(text.try_cast(field.dataType), rounded)
         return text.try_cast(field.dataType)
 
-    return frame.select(*kept, parsed.alias("__r")).select(
-        *kept, *[typed(f).alias(f.name) for f in schema.fields]
+    return frame.select(*kept, F.inline(F.array(parsed)).alias(*names)).select(
+        *kept, *[typed(f, n).alias(f.name) for f, n in zip(schema.fields, names)]
     )
 
 
