@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import TINY
 from txrisk.operators import encoding as E
+from txrisk.plans import learn
 from txrisk.session import scratch_path
 
 
@@ -204,3 +205,18 @@ def test_manifest_and_checks(fitted, transactions):
     assert found["all_null"] == (False, "hour") and found["infinite"] == (False, "D1")
     assert not found["label_in_features"][0] and "card1_freq" in found["columns_differ"][1]
     assert 0 < E.unseen_share(test, ["uid_freq"]).first()[0] <= 1
+
+
+def test_encoder_queries_work_on_what_they_need(spark, monkeypatch):
+    """One join a query, no side encoded that is not read, nothing written that is read once."""
+    written, encoded, joined = [], [], []
+    write, transform, join = learn.materialise, E.RiskEncoderModel.transform, learn.enriched
+    monkeypatch.setattr(learn, "materialise", lambda frame, name: written.append(name) or write(frame, name))
+    monkeypatch.setattr(E.RiskEncoderModel, "transform", lambda *given: encoded.append(1) or transform(*given))
+    monkeypatch.setattr(learn, "enriched", lambda *given: joined.append(1) or join(*given))
+    sf = "/root/testdata/sf0.001"
+    for query, sides in ((learn.unseen_share, 1), (learn.feature_manifest, 2), (learn.encoder_reload_equal, 2)):
+        for seen in (written, encoded, joined):
+            seen.clear()
+        query(spark, sf)
+        assert (written, len(encoded), len(joined)) == (["joined"], sides, 1)

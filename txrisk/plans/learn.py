@@ -58,11 +58,10 @@ def _split(spark, sf):
     return _halves(enriched(spark, sf))
 
 
-def _encoded(spark, sf):
-    """The feature stage: write the join, fit on its earlier part, encode both."""
+def _fitted(spark, sf):
+    """The feature stage: write the join, fit on its earlier part; the rows before and after the cut."""
     train, valid = _halves(materialise(enriched(spark, sf), "joined"))
-    model = E.RiskEncoder(SPEC).fit(train)
-    return model, model.transform(train), model.transform(valid)
+    return E.RiskEncoder(SPEC).fit(train), train, valid
 
 
 # --------------------------------------------------------------------- lookups
@@ -250,8 +249,8 @@ def _manifest_sql() -> str:
 
 @query("encode_transform", f"{_ENCODED} SELECT * FROM enc_train UNION ALL SELECT * FROM enc_valid")
 def encode_transform(spark, sf):
-    _, train, valid = _encoded(spark, sf)
-    every = train.unionByName(valid)
+    model, train, valid = _fitted(spark, sf)
+    every = model.transform(train).unionByName(model.transform(valid))
     learnt = [c for c in every.columns if "_by_" in c or "_to_" in c]
     # Each column is rounded once; columns of the table itself are left as they are.
     places = dict.fromkeys([*learnt, "amount_log", "b_discount"], 4)
@@ -265,10 +264,10 @@ def encode_transform(spark, sf):
     f"WITH {_SPLIT} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS rows_changed FROM valid",
 )
 def encoder_reload_equal(spark, sf):
-    model, _, valid = _encoded(spark, sf)
+    model, _, later = _fitted(spark, sf)
     path = scratch_path(spark, "encoder")
     PipelineModel([model]).write().overwrite().save(path)
-    again = PipelineModel.load(path).transform(_split(spark, sf)[1])
+    valid, again = model.transform(later), PipelineModel.load(path).transform(later)
     digest = lambda t: F.xxhash64(*[F.col(c) for c in t.columns])
     left = valid.select("id", digest(valid).alias("a"))
     right = again.select("id", digest(again).alias("b"))
@@ -279,10 +278,9 @@ def encoder_reload_equal(spark, sf):
 
 @query("feature_manifest", _manifest_sql())
 def feature_manifest(spark, sf):
-    model, train, valid = _encoded(spark, sf)
-    return E.feature_manifest(
-        model, materialise(train, "features-train"), materialise(valid, "features-valid")
-    )
+    model, train, valid = _fitted(spark, sf)
+    # Each side is read once, for its nulls alone, so its features are not written.
+    return E.feature_manifest(model, model.transform(train), model.transform(valid))
 
 
 @query(
@@ -294,8 +292,8 @@ def feature_manifest(spark, sf):
         SELECT round(sum(zeros) / CAST(count(*) * 5 AS DOUBLE), 6) AS unseen_share FROM z""",
 )
 def unseen_share(spark, sf):
-    model, _, valid = _encoded(spark, sf)
-    return rounded(E.unseen_share(valid, [f for f in model.feature_names if f.endswith("_freq")]))
+    model, _, valid = _fitted(spark, sf)
+    return rounded(E.unseen_share(model.transform(valid), [f for f in model.feature_names if f.endswith("_freq")]))
 
 
 @query(
@@ -304,8 +302,8 @@ def unseen_share(spark, sf):
        FROM (SELECT count(*) AS n FROM orders) WHERE n > 0""",
 )
 def feature_checks(spark, sf):
-    model, train, valid = _encoded(spark, sf)
-    return E.feature_checks(train, valid, model.feature_names, "label")
+    model, train, valid = _fitted(spark, sf)
+    return E.feature_checks(model.transform(train), model.transform(valid), model.feature_names, "label")
 
 
 _CLOCK = ["amount", "card", "balance", "sec_twin", "r_value"]
@@ -365,8 +363,9 @@ def cv_summary(spark, sf):
 
 @query("ablation_compare")
 def ablation_compare(spark, sf):
-    model, train, valid = _encoded(spark, sf)
-    train, valid = materialise(train, "features-train"), materialise(valid, "features-valid")
+    model, train, valid = _fitted(spark, sf)
+    train = materialise(model.transform(train), "features-train")
+    valid = materialise(model.transform(valid), "features-valid")
     features = [c for c in model.feature_names if not c.endswith("_code")]
     kept = M.feature_columns(train.select(*features), [], ENTITY_FEATURE_MARKERS)
     return M.ablation(_logistic(), train, valid, features, [c for c in features if c not in kept], NAMES)
