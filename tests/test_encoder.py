@@ -208,7 +208,7 @@ def test_manifest_and_checks(fitted, transactions):
 
 
 def test_encoder_queries_work_on_what_they_need(spark, monkeypatch):
-    """One join a query, no side encoded that is not read, nothing written that is read once."""
+    """One join a query, no side encoded that is not read, nothing written that is read once; fits read written rows."""
     written, encoded, joined = [], [], []
     write, transform, join = learn.materialise, E.RiskEncoderModel.transform, learn.enriched
     monkeypatch.setattr(learn, "materialise", lambda frame, name: written.append(name) or write(frame, name))
@@ -220,3 +220,6 @@ def test_encoder_queries_work_on_what_they_need(spark, monkeypatch):
             seen.clear()
         query(spark, sf)
         assert (written, len(encoded), len(joined)) == (["joined"], sides, 1)
+    written.clear()
+    learn._online_scorer(spark, sf)
+    assert written == ["online-features"]

@@ -594,7 +594,9 @@ def _online_scorer(spark, sf):
     encoder = E.RiskEncoder(_ONLINE).fit(train)
     features = [*encoder.feature_names]
     candidate = _logistic()
-    model = M.fit(candidate, encoder.transform(train), features, "label")
+    # Written once: a fit passes over its rows many times.
+    encoded = materialise(encoder.transform(train).select("label", *features), "online-features")
+    model = M.fit(candidate, encoded, features, "label")
     return S.Scorer(
         _RECORD, ["o_orderkey", "sec", "o_totalprice", "o_custkey"], encoder, candidate, model, features, 0.33
     )
