@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from txrisk.llm.common import per_row, texts
+from txrisk.llm.common import give_back, per_row, texts
 from txrisk.llm.graph import components
 from txrisk.session import materialise
 
@@ -245,7 +245,7 @@ def candidates(frame: DataFrame, described: DataFrame, settings: Settings) -> Da
     """
     size = frame.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = int(min(1 << 20, max(16, size // settings.bucket_chars)))
-    tiles = frame.mapInArrow(_tiles(settings, buckets), "bucket int, low binary, high binary, names binary")
+    tiles = frame.mapInArrow(give_back(_tiles(settings, buckets)), "bucket int, low binary, high binary, names binary")
     shared = tiles.groupBy("bucket").applyInArrow(_shared, "bucket int, key long, short long, times long")
     cut = F.col("key").bitwiseAND(0xFF).cast("int")
     most = Window.partitionBy("short", "cut").orderBy(F.desc("times"), F.desc("key"), F.desc("bucket"))
@@ -468,4 +468,4 @@ def _incidence(found: DataFrame, settings: Settings) -> DataFrame:
                     names=["row", "root", "n_parts", "grams"],
                 )
 
-    return found.mapInArrow(run, "row binary, root long, n_parts long, grams array<long>")
+    return found.mapInArrow(give_back(run), "row binary, root long, n_parts long, grams array<long>")

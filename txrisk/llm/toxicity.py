@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import fold, per_row, texts
+from txrisk.llm.common import fold, give_back, per_row, texts
 from txrisk.session import materialise
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -93,7 +93,7 @@ def counted_buckets(labelled: DataFrame, totals: dict[int, int], settings: Setti
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool)
-    counted = labelled.select("label", "terms").mapInPandas(_bucket_counts, "label int, bucket int, n long")
+    counted = labelled.select("label", "terms").mapInPandas(give_back(_bucket_counts), "label int, bucket int, n long")
     sides = counted.groupBy("bucket").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"),
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q"),
@@ -272,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             part = slice(at, at + 50_000)
             yield _sent(model.index[part], model.weight[part], model.factor[part])
 
-    fitted = chosen.select("label", "terms").mapInArrow(run, "bucket int, weight double, factor array<float>").toArrow()
+    fitted = chosen.select("label", "terms").mapInArrow(give_back(run), "bucket int, weight double, factor array<float>").toArrow()
     bucket, weight = fitted["bucket"].to_numpy(), fitted["weight"].to_numpy()
     factor = fitted["factor"].combine_chunks().flatten().to_numpy().reshape(len(bucket), settings.factors)
     own = bucket >= 0  # the other row is the bias
@@ -343,4 +343,4 @@ def drop_toxic(
             ]
             yield batch.filter(pa.array(found, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(give_back(run), docs.schema)
