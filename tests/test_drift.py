@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -163,3 +165,13 @@ def test_score_drift_skips_short_periods(spark, sides):
     moved = next(x for x in rows if x["period"] == "3-moved")
     assert moved["features_significant"] == 2 and moved["top_features_significant"] == 2
     assert DRIFT.top_features == 20
+
+
+@pytest.mark.parametrize(("rows", "tasks"), [(1000, 60), (50, 200)])
+def test_ks_sorts_in_tasks_that_follow_the_rows(sides, rows, tasks):
+    _, _, r, c = sides
+    scale = Scale(single_task_rows=rows, ks_ranges=7)
+    plan = D.ks_by_period(r, c, ["a", "u"], "p", scale=scale)._jdf.queryExecution().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(feature#\d+, range#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert dealt
+    assert all(10 < n <= tasks for n in dealt)

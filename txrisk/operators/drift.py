@@ -24,6 +24,8 @@ from txrisk.session import materialise
 from txrisk.settings import DRIFT, SCALE, DriftRules, Scale
 
 _PERIODS_AT_ONCE = 60
+# Up to so many partitions Spark deals rows straight to their files; beyond, a task first holds and sorts its rows.
+_TASKS = 200
 
 
 def missing_rate(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -201,12 +203,16 @@ def _ks(reference, current, features, period, periods, rows, rules, scale):
     )
 
     wanted = known.filter("open")
-    unsure = sorted(r["feature"] for r in wanted.select("feature").distinct().collect())
-    # A range holds a small share of all rows: its values are put in order by one task.
+    open_rows = {r["feature"]: r["n"] for r in wanted.groupBy("feature").agg(F.sum("rows").alias("n")).collect()}
+    unsure = sorted(open_rows)
+    # A range holds a small share of all rows: its values are put in order by one task.  Tasks follow
+    # the rows, as their bytes tell little: values that recur shrink on the way, not in the sort.
+    tasks = min(_TASKS, max(1, -(-sum(open_rows.values()) // scale.single_task_rows)))
     upto = W.partitionBy("feature", "range").orderBy("v").rangeBetween(W.unboundedPreceding, W.currentRow)
     curves = (
         stacked(unsure or [0])
         .join(broadcast_if_small(wanted.select("feature", "range")), ["feature", "range"], "left_semi")
+        .repartition(tasks, "feature", "range")
         .select("feature", "range", *[F.count_if(F.col("side") == s).over(upto).alias(m) for s, m in zip(sides, names, strict=True)])
     )
     share = lambda m: F.try_divide(F.col(m) + F.col(f"before_{m}"), F.col(f"t_{m}"))
@@ -251,7 +257,11 @@ def _bounds(counted: DataFrame, names: Sequence[str], rules: DriftRules) -> Data
     asked = lambda m: (F.col(f"t_{m}") >= rules.min_rows) & (F.col("t_ref") >= rules.min_rows)
     beats = [asked(m) & (F.col(f"most_{m}") > F.max(f"gap_{m}").over(whole)) for m in names[1:]]
     several = F.col("lo") < F.col("hi")
-    return work.withColumn("open", F.coalesce(several & reduce(lambda a, b: a | b, beats), F.lit(False))).drop(
+    return work.select(
+        "*",
+        F.coalesce(several & reduce(lambda a, b: a | b, beats), F.lit(False)).alias("open"),
+        reduce(lambda a, b: a + b, [F.col(f"n_{m}") for m in names]).alias("rows"),
+    ).drop(
         "lo", "hi", *[f"n_{m}" for m in names], *[f"most_{m}" for m in names[1:]]
     )
 
