@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from txrisk.operators import imputing
 from txrisk.operators import modeling as M
-from txrisk.operators.ranking import Scored
+from txrisk.operators.ranking import Scored, ranking_metrics
 from txrisk.session import scratch_path
 from txrisk.streaming import scoring as S
 
@@ -58,6 +59,19 @@ def test_cross_validation_and_ablation(rows):
     assert not keep["drop_family"] and drop["drop_family"]
 
 
+def test_ablation_finds_medians_once_and_scores_the_same(rows, monkeypatch):
+    train, valid, _ = rows
+    candidate = M.logistic_candidate("y", 10)
+    found = []
+    learn = imputing.exact_quantiles
+    monkeypatch.setattr(imputing, "exact_quantiles", lambda *a, **b: found.append(a) or learn(*a, **b))
+    row = M.ablation(candidate, train, valid, FEATURES, ["b"], NAMES).first()
+    assert len(found) == 1
+    alone = M.fit(candidate, train, ["a", "noise"], "y")
+    scored = M.score(candidate, alone, valid, ["a", "noise"], ["y"])
+    assert ranking_metrics(scored, NAMES).first()["pr_auc"] == pytest.approx(row["without_pr_auc"], abs=1e-12)
+
+
 def test_refit_scales_rounds(rows):
     train, _, frame = rows
     seen = []

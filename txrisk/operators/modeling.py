@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from txrisk.functions.scalar import decision, iso_date, usable
 from txrisk.operators import boosting
-from txrisk.operators.imputing import ExactImputer
+from txrisk.operators.imputing import ExactImputer, ExactImputerModel
 from txrisk.operators.ordering import average_rank, exact_quantiles
 from txrisk.operators.ranking import Scored, evaluate_all, ranking_metrics
 from txrisk.session import materialise
@@ -332,6 +332,23 @@ def fold_stability(cv: DataFrame) -> DataFrame:
     )
 
 
+def _same_medians(candidate: Candidate, model: PipelineModel | boosting.BoostedModel) -> Candidate:
+    """The candidate with the medians that `model` learnt, for a fit on some of its features and the same rows."""
+    learnt = [s for s in getattr(model, "stages", []) if isinstance(s, ExactImputerModel)]
+    known = {c: m for s in learnt for c, m in s.surrogates().items()}
+
+    def taken(stage):
+        if not isinstance(stage, ExactImputer) or not set(stage.getInputCols()) <= set(known):
+            return stage
+        columns = stage.getInputCols()
+        return ExactImputerModel(inputCols=columns, outputCols=stage.getOutputCols(), medians=[known[c] for c in columns])
+
+    def build(features: Sequence[str]) -> Pipeline:
+        return Pipeline(stages=[taken(s) for s in candidate.pipeline(features).getStages()])
+
+    return replace(candidate, pipeline=build) if known else candidate
+
+
 def ablation(
     candidate: Candidate,
     train: DataFrame,
@@ -343,12 +360,15 @@ def ablation(
     scale: Scale = SCALE,
 ) -> DataFrame:
     """Train with and without a feature family; drop it when that costs less
-    average precision than a tolerance fixed beforehand."""
+    average precision than a tolerance fixed beforehand.
+
+    The second fit takes the medians of the first: its features are among those, its rows the same."""
     kept = [c for c in features if c not in set(removed)]
     scored = []
     for name, used in (("with", list(features)), ("without", kept)):
         model = fit(candidate, train, used, names.label, valid)
         part = score(candidate, model, valid, used, [names.label])
+        candidate = _same_medians(candidate, model)
         scored.append(part.select(F.lit(name).alias("variant"), names.label, F.col("score").alias(names.score)))
     metrics = ranking_metrics(scored[0].unionByName(scored[1]), names, ["variant"], scale)
     pick = lambda v: F.max(F.when(F.col("variant") == v, F.col("pr_auc")))
