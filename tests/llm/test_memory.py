@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-from txrisk.llm import exact
+from txrisk.llm import exact, jaccard
 from txrisk.llm.common import give_back
+from txrisk.session import materialise
 
 
 def _own_mb() -> float:
@@ -41,3 +42,21 @@ def test_no_state_store_stays_open_after_the_stream(spark, tmp_path):
     before = _open_stores(spark)
     assert exact.deduplicate(spark, path).filter("kept").count() == 7
     assert _open_stores(spark) <= before
+
+
+def test_a_task_of_the_join_holds_one_python_worker(spark, monkeypatch):
+    plans = {}
+
+    def noted(frame, name):
+        plans.setdefault(name, frame._jdf.queryExecution().executedPlan().toString())
+        return materialise(frame, name)
+
+    monkeypatch.setattr(jaccard, "materialise", noted)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join([*words, "end"]), "something else", None, "", " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {tuple(r) for r in jaccard.join_components(docs).collect()}
+    assert found == {(0, 58, 0), (1, 59, 0), (2, 1, 2), (3, 0, 3), (4, 0, 4), (5, 58, 0)}
+    assert plans["incidence"].count("MapInArrow") == 1
+    shuffled = jaccard.join_components(docs, jaccard.Settings(broadcast_rows=0))
+    assert {tuple(r) for r in shuffled.collect()} == found

@@ -411,9 +411,12 @@ def join_components(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         "candidates",
     )
     fixed = isinstance(wanted.schema["id"].dataType, T.NumericType)
-    few = F.broadcast(wanted) if fixed and wanted.count() <= settings.broadcast_rows else wanted
-    found = packed(frame).join(few, F.col("doc_id").eqNullSafe(F.col("id"))).select("row", "root", "n_parts", "packed")
-    matrix = materialise(_incidence(found, settings), "incidence")
+    if fixed and wanted.count() <= settings.broadcast_rows:
+        # texts stay where they are; a task that packed them first would hold a second Python worker
+        rows = frame.withColumnRenamed("text", "content").join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("id")))
+    else:
+        rows = packed(frame).withColumnRenamed("packed", "content").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
+    matrix = materialise(_incidence(rows.select("row", "root", "n_parts", "content"), settings), "incidence")
     links = _links(matrix, settings)
     classes = components(links)
 
@@ -450,15 +453,20 @@ def keep_one(docs: DataFrame, settings: Settings = Settings(shingle=5, percent=8
 
 
 def _incidence(found: DataFrame, settings: Settings) -> DataFrame:
-    """The n-grams of candidate rows.  A row that shares its doc_id with another text is left to that text's own row."""
+    """The n-grams of candidate rows, their content a text or a packed one.
+
+    A row that shares its doc_id with another text is left to that text's own row."""
+    plain = isinstance(found.schema["content"].dataType, T.StringType)
+    size = 4_000_000 if plain else 2_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            step = max(1, int(batch.num_rows * 2_000_000 / max(1, batch.nbytes)))
+            step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 piece = batch.slice(at, step)
-                sets = [shingles(unpack(t).decode(), settings.shingle) for t in piece.column("packed").to_pylist()]
+                held = piece.column("content").to_pylist()
+                sets = [shingles(t if plain else unpack(t).decode(), settings.shingle) for t in held]
                 names = piece.column("row").to_pylist()
                 mine = [k for k, s in enumerate(sets) if xxhash.xxh3_128_digest(s.tobytes()) == names[k]]
                 kept = piece.take(pa.array(mine, pa.int64()))
