@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-from txrisk.llm import exact, jaccard
+from txrisk.llm import exact, jaccard, packing
 from txrisk.llm.common import give_back
+from txrisk.llm.queries import tokenizer_path
 from txrisk.session import materialise
 
 
@@ -60,3 +61,14 @@ def test_a_task_of_the_join_holds_one_python_worker(spark, monkeypatch):
     assert plans["incidence"].count("MapInArrow") == 1
     shuffled = jaccard.join_components(docs, jaccard.Settings(broadcast_rows=0))
     assert {tuple(r) for r in shuffled.collect()} == found
+
+
+def test_words_in_use_stay_known_when_the_table_is_full(monkeypatch):
+    made, learnt = packing.Encoder(packing.Settings(tokenizer_path(), cached_bytes=0)), []
+    learn = made._learn
+    monkeypatch.setattr(made, "_learn", lambda new: (learnt.append(sorted(new)), learn(new)))
+    found = ["Some plain words, naïve ones", "some other words", "some other words"]
+    for text in found:
+        assert made.encode([text]) == [made._ids(text).tobytes()]
+    assert learnt == [sorted({",", "some", "plain", "words", "naïve", "ones"}), ["other"], []]
+    assert made.known.keys() == {"some", "other", "words"}

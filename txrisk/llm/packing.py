@@ -17,8 +17,9 @@ from __future__ import annotations
 import heapq
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -75,10 +76,21 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, new: list[str]) -> None:
-        """Encodes letters many at a time: each piece ends at its first closing token."""
+        """Encodes new pieces: a to z by the model alone, other letters many at a time.
+
+        Among the latter each piece ends at its first closing token."""
         known = self.known
         plain = [p for p in new if p.isalpha() and "\xff" >= max(p)]
         known.update((p, self._ids(p).tobytes()) for p in set(new).difference(plain))
+        letters = [p for p in plain if p.isascii()]
+        plain = [p for p in plain if not p.isascii()]
+        cut = self.tokenizer.model.tokenize  # the model's own letters: a to z stand for themselves
+        for at in range(0, len(letters), 500):
+            some = letters[at : at + 500]
+            ids = [[t.id for t in cut(p)] for p in some]
+            ends = (4 * np.cumsum([len(i) for i in ids])).tolist()
+            raw = np.array(list(chain.from_iterable(ids)), dtype="<u4").tobytes()
+            known.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         for at in range(0, len(plain), 500):
             some = plain[at : at + 500]
             ids = self._ids(" ".join(some))
@@ -105,15 +117,21 @@ class Encoder:
 
     def encode(self, found: list[str]) -> list[bytes]:
         pieces = [self._pieces(t) for t in found]
-        if self.held > self.most:
-            self.known.clear()
+        used = set().union(*pieces)
+        if self.held > self.most:  # the words of these texts stay known, the frequent ones among them
+            known = self.known
+            self.known = {p: known[p] for p in used if p in known}
             self.held = 0
-        new = list(set().union(*pieces) - self.known.keys())
+            self._count(self.known)
+        new = list(used - self.known.keys())
         self._learn(new)
-        known = self.known
+        self._count(new)
+        ids_of = self.known.__getitem__
+        return [b"".join(map(ids_of, ps)) for ps in pieces]
+
+    def _count(self, words: Collection[str]) -> None:
         # What Python needs for a word, its ids and their place in the table, beside their own bytes.
-        self.held += sum(150 + len(p) + len(known[p]) for p in new)
-        return [b"".join([known[p] for p in ps]) for ps in pieces]
+        self.held += 150 * len(words) + sum(map(len, words)) + sum(map(len, map(self.known.__getitem__, words)))
 
 
 def encoder(settings: Settings) -> Encoder:
