@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-from txrisk.llm import exact, jaccard, packing
+from txrisk.llm import decontaminate, exact, jaccard, packing
 from txrisk.llm.common import give_back
 from txrisk.llm.queries import tokenizer_path
 from txrisk.session import materialise
@@ -72,3 +72,33 @@ def test_words_in_use_stay_known_when_the_table_is_full(monkeypatch):
         assert made.encode([text]) == [made._ids(text).tobytes()]
     assert learnt == [sorted({",", "some", "plain", "words", "naïve", "ones"}), ["other"], []]
     assert made.known.keys() == {"some", "other", "words"}
+
+
+def test_seeds_and_alignments_carry_no_words(spark, monkeypatch):
+    """An item of 3,000 words has 15,000 seeds; with its words in each they would take gigabytes."""
+    written, sides = {}, []
+    monkeypatch.setattr(decontaminate, "materialise", lambda frame, name: written.setdefault(name, materialise(frame, name)))
+    seeds = decontaminate._seeds
+    monkeypatch.setattr(decontaminate, "_seeds", lambda *a: sides.append(seeds(*a)) or sides[-1])
+    item = [f"w{k * k % 1009}x{k}" for k in range(3000)]
+    rows = [(1, " ".join(["pre"] * 5 + item)), (2, " ".join(item[100:2900])), (2, " ".join(item[100:2900])), (3, "pre other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (7, " ".join(item[:20]))], "item_id long, text string")
+    found = {tuple(r) for r in decontaminate.leaks(docs, bench).drop("text_key").collect()}
+    assert found == {(1, 7, 5, 3000, 3000, 3000, 13), (1, 7, 5, 20, 20, 20, 13), (2, 7, -100, 3000, 2800, 2800, 13)}
+    theirs, ours = sides
+    assert theirs.columns == ["item_id", "item_key", "at", "mask", "seed"]
+    assert ours.columns == ["doc_id", "text_key", "at", "mask", "seed"]
+    assert written["alignments"].columns == ["doc_id", "text_key", "item_id", "item_key", "shift"]
+    assert written["alignments"].count() == 3
+
+
+def test_texts_stay_where_they_are_when_few_leak(spark):
+    words = [f"i{k}" for k in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "other text"), (None, " ".join(words)), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    kept = decontaminate.drop_leaking(docs.repartition(4), bench)
+    assert "BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString()
+    shuffled = decontaminate.drop_leaking(docs, bench, decontaminate.Settings(broadcast_seeds=0, broadcast_bytes=0))
+    for frame in kept, shuffled:
+        assert sorted(map(tuple, frame.collect()), key=str) == [(2, "other text"), (None, None)]
