@@ -6,12 +6,14 @@ kept.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from txrisk.llm import decontaminate, exact, jaccard, packing, toxicity
 from txrisk.llm.common import read
 from txrisk.llm.queries import tokenizer_path
-from txrisk.session import materialise
+from txrisk.session import give_heap_back, materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +36,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, packing.Settings(tokenizer_path()))
 
 
+def rested(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """`stage`, begun once executors have handed back what the one before it left in their heaps."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_heap_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact_dedup", drop_copies),
-    ("ngram_jaccard_join", drop_near_copies),
-    ("decontamination", drop_benchmark),
-    ("packing", pack),
+    ("toxicity", rested(drop_toxic)),
+    ("exact_dedup", rested(drop_copies)),
+    ("ngram_jaccard_join", rested(drop_near_copies)),
+    ("decontamination", rested(drop_benchmark)),
+    ("packing", rested(pack)),
 ]
 
 # A trained model decides in the first stage, which SQL cannot express; see tests/llm.

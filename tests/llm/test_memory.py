@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import re
+import subprocess
+import sys
 from pathlib import Path
+from types import SimpleNamespace
 
+import pyarrow as pa
+
+import corpus_pipeline
 from txrisk.llm import decontaminate, exact, jaccard, packing
 from txrisk.llm.common import give_back
 from txrisk.llm.queries import tokenizer_path
@@ -74,6 +80,44 @@ def test_words_in_use_stay_known_when_the_table_is_full(monkeypatch):
     assert made.known.keys() == {"some", "other", "words"}
 
 
+def test_workers_that_pack_hold_no_pandas():
+    loads = "import sys, pyspark.worker, txrisk.llm.packing; sys.exit('pandas' in sys.modules)"
+    root = Path(packing.__file__).parents[2]
+    assert subprocess.run([sys.executable, "-c", loads], cwd=root).returncode == 0
+
+
+def test_packing_takes_few_texts_at_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "")], "doc_id long, text string")
+    run = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: run.append(f) or self)
+    settings = packing.Settings(tokenizer_path(), block_tokens=3000, text_bytes=20_000)
+    packing.pack_documents(docs, settings)
+    taken, encode = [], packing.Encoder.encode
+    monkeypatch.setattr(packing.Encoder, "encode", lambda self, found: taken.append(sum(map(len, found))) or encode(self, found))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rows = [("some words " * 90) for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(200), pa.int64()), "text": rows})
+    packed = pa.Table.from_batches(list(run[0](iter([batch]))))
+    assert len(taken) >= 9 and max(taken) <= 20_000 and sum(taken) == sum(map(len, rows))
+    assert set(packed["doc_id"].to_pylist()) == set(range(200))
+
+
+def _full_collections(spark) -> int:
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+
+
+def test_each_stage_begins_with_collected_heaps(spark, monkeypatch):
+    before = _full_collections(spark)
+    corpus_pipeline.give_heap_back(spark)
+    assert _full_collections(spark) > before
+    begun = []
+    monkeypatch.setattr(corpus_pipeline, "give_heap_back", lambda spark: begun.append(1))
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(corpus_pipeline.packing, "pack_documents", lambda docs, settings: docs)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "") is docs and begun == [1]
+
+
 def test_seeds_and_alignments_carry_no_words(spark, monkeypatch):
     """An item of 3,000 words has 15,000 seeds; with its words in each they would take gigabytes."""
     written, sides = {}, []

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from txrisk.llm.common import SPACE, texts
+from txrisk.llm.common import SPACE, give_back, texts
 
 SCHEMA = (
     "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
@@ -43,6 +43,7 @@ class Settings:
     quadratic: float = 1.0 / 2048
     block_tokens: int = 1_000_000
     cached_bytes: int = 40_000_000
+    text_bytes: int = 2_000_000
 
     def cost(self, n: int) -> float:
         return self.linear * n + self.quadratic * n * n
@@ -80,10 +81,10 @@ class Encoder:
 
         Among the latter each piece ends at its first closing token."""
         known = self.known
-        plain = [p for p in new if p.isalpha() and "\xff" >= max(p)]
-        known.update((p, self._ids(p).tobytes()) for p in set(new).difference(plain))
-        letters = [p for p in plain if p.isascii()]
-        plain = [p for p in plain if not p.isascii()]
+        letters = [p for p in new if p.isascii() and p.isalpha()]
+        others = set(new).difference(letters) if len(letters) < len(new) else set()
+        plain = [p for p in others if p.isalpha() and "\xff" >= max(p)]
+        known.update((p, self._ids(p).tobytes()) for p in others.difference(plain))
         cut = self.tokenizer.model.tokenize  # the model's own letters: a to z stand for themselves
         for at in range(0, len(letters), 500):
             some = letters[at : at + 500]
@@ -218,7 +219,8 @@ def pack_documents(docs: DataFrame, settings: Settings, with_ids: bool = False)
         rows: list[bytes] = []
         held = 0
         for batch in batches:
-            step = max(1, int(batch.num_rows * 4_000_000 / max(1, batch.nbytes)))
+            # Python needs some ten times a text's bytes for its words
+            step = max(1, int(batch.num_rows * settings.text_bytes / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 piece = batch.slice(at, step)
                 ids.append(piece.column("doc_id"))
@@ -232,4 +234,4 @@ def pack_documents(docs: DataFrame, settings: Settings, with_ids: bool = False)
         if rows:
             yield flush(ids, rows, base)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(give_back(run), schema)
